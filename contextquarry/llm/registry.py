@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import exact_dedup, mixing, sharding
+from contextquarry.llm import exact_dedup, mixing, quality, sharding, toxicity
 
 
 def queries():
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op6_sharding": sharding.op6_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_quality": quality.op10_quality,
     }
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import exact_dedup, mixing, quality, sharding, toxicity
+from contextquarry.llm import exact_dedup, mixing, packing, quality, sharding, toxicity
 
 
 def queries():
     return {
         "op3_toxicity": toxicity.op3_toxicity,
+        "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import exact_dedup, mixing, packing, quality, sharding, toxicity
+from contextquarry.llm import exact_dedup, mixing, packing, quality, secrets, sharding, toxicity
 
 
 def queries():
     return {
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_secrets": secrets.op4_secrets,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op8_mixing": mixing.op8_mixing,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op4_secrets": secrets.OP4_SQL, "op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import exact_dedup, mixing, packing, quality, secrets, sharding, toxicity
+from contextquarry.llm import decontaminate, exact_dedup, mixing, packing, quality, secrets, sharding, toxicity
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_secrets": secrets.op4_secrets,
         "op5_packing": packing.op5_packing,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_secrets": secrets.OP4_SQL, "op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_secrets": secrets.OP4_SQL, "op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

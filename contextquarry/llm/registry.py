@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import decontaminate, exact_dedup, mixing, packing, quality, secrets, sharding, toxicity
+from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_secrets": secrets.op4_secrets,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_quality": quality.op10_quality,

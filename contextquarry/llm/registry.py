@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, toxicity
+from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_secrets": secrets.op4_secrets,
         "op5_packing": packing.op5_packing,

@@ -79,7 +79,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     turns = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t")).agg(F.max(times).alias("_turns"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    return docs.join(turns, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(*docs.columns)
+    return docs.hint("merge").join(turns, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -110,7 +110,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # rejoined at every size in the same way: matches may be many
     whole = rows.withColumnRenamed("_id", "_i").withColumnRenamed("_h", "_g")
     own = whole.hint("merge").join(grouped, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h"))).dropDuplicates(["_id", "_h", "item_id", "shift"])
-    own = own.withColumn("_words", _words(F.col("text")))
+    # written, so that words are split once per row and not in each step of the functions below
+    own = materialize(own.withColumn("_words", _words(F.col("text"))).drop("text"), "aligned-words")
 
     def pair(p: Column) -> Column:
         word = F.get("_words", p + F.col("shift").cast("int"))

@@ -1,11 +1,44 @@
-"""All queries of the library, and DuckDB SQL for those that SQL can express."""
+"""All queries of the library, and DuckDB SQL for those that SQL can express.
+
+Each module in queries_* registers its own with query(name, sql).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and its SQL if there is one."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from contextquarry.plans import queries_code, queries_context, queries_evaluate, queries_serve  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
 
-def queries():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["pack_selected"](spark, sf_dir)

@@ -16,8 +16,8 @@ ROUND = 20_000
 PLACED = "array<struct<id:string,tier:string,tokens:long,reason:string>>"
 
 
-def effective_budget(budget: Column) -> Column:
-    return F.floor(budget * RESERVE).cast("long")
+def effective_budget(budget: Column, reserve: float = RESERVE) -> Column:
+    return F.floor(budget * reserve).cast("long")
 
 
 def candidates(fused: DataFrame, requests: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def candidates(fused: DataFrame, requests: DataFrame) -> DataFrame:
     return fused.join(evicts, ["request_id", "id"], "left_anti").join(pins, ["request_id", "id"], "left")
 
 
-def fill(rows: DataFrame, requests: DataFrame, per_round: int = ROUND) -> DataFrame:
+def fill(rows: DataFrame, requests: DataFrame, per_round: int = ROUND, reserve: float = RESERVE) -> DataFrame:
     """request_id, pos, id, tier, tokens, reason of what is selected.
 
     Pins come first, in their order, at the first tier of full, skeleton, signature whose cost fits; then the positive scores, best first, ties by ord,
@@ -39,7 +39,7 @@ def fill(rows: DataFrame, requests: DataFrame, per_round: int = ROUND) -> DataFr
     key = F.struct((~is_pin).alias("late"), F.coalesce("pin", F.lit(0)).alias("pin"), F.when(is_pin, 0.0).otherwise(-F.col("final")).alias("rank"), "ord")
     least = reduce(F.least, (F.when(F.col(f"tokens.{t}") > 0, F.col(f"tokens.{t}")) for t in TIERS))
     open_rows = rows.where(is_pin | (F.col("final") > 0)).select("request_id", "id", "tokens", "reason", key.alias("key"), least.alias("least"))
-    state = requests.select("request_id", effective_budget(F.col("budget")).alias("remaining"), F.lit(0).alias("placed"))
+    state = requests.select("request_id", effective_budget(F.col("budget"), reserve).alias("remaining"), F.lit(0).alias("placed"))
     open_rows = materialize(open_rows, "pack-candidates")
     cut, selected = None, None
 

@@ -23,7 +23,11 @@ SHARED = 2.0
 #: Sets of a bucket that are compared with each other at once; larger buckets split, or are compared block by block.
 BUCKET = 256
 BLOCK = 512
-LEVELS = 6
+#: Bytes of a set's sketch, each of a minimum hash, and how many two sets must have in common to be compared in full. At the threshold
+#: fewer agree with a probability of 3e-5; each of a pair's meetings has the same sketches.
+SKETCH, ALIKE = 24, 11
+#: Bytes of a shingle's hash.
+TOKEN = 5
 _COLUMNS = 4096
 
 
@@ -40,8 +44,26 @@ def runs_for(recall: float, shared: float = SHARED) -> int:
 
 
 def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """The sorted set of hashes of five consecutive words; of all words, if there are fewer."""
-    return np.unique(runs_of(hashes.of(text.split()), SHINGLE_WORDS)) if text else np.zeros(0, np.uint64)
+    """The sorted set of hashes (TOKEN bytes) of five consecutive words; of all words, if there are fewer."""
+    return np.unique(runs_of(hashes.of(text.split()), SHINGLE_WORDS) >> np.uint64(64 - 8 * TOKEN)) if text else np.zeros(0, np.uint64)
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    return tokens.view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // TOKEN, 8), np.uint8)
+    out[:, :TOKEN] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN)
+    return out.view(np.uint64).ravel()
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """A byte of each of SKETCH minimum hashes."""
+    if not len(tokens):
+        return bytes(SKETCH)
+    seeds = mix(np.arange(101, 101 + SKETCH, dtype=np.uint64))
+    return mix(mix(tokens[None, :] ^ seeds[:, None]).min(axis=1)).astype(np.uint8).tobytes()
 
 
 def choose(tokens: np.ndarray, parents: np.ndarray, threshold: float) -> np.ndarray:
@@ -50,7 +72,7 @@ def choose(tokens: np.ndarray, parents: np.ndarray, threshold: float) -> np.ndar
         return np.zeros(0, np.uint64)
     share = SHARED / (threshold * len(tokens))
     limit = np.uint64(min(share, 1.0) * (2**64 - 2**12))
-    node, token = np.nonzero(mix(tokens[None, :] ^ parents[:, None]) <= limit)
+    node, token = np.nonzero(mix((tokens[None, :] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ^ parents[:, None]) <= limit)
     return np.unique(mix(parents[node] * np.uint64(0x9E3779B97F4A7C15) + tokens[token]))
 
 
@@ -65,24 +87,26 @@ def _longs(lists: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """doc_id, k (hash of the set), size, sign (a minimum hash), nodes (of the first level, of all runs)."""
+    """doc_id, k (hash of the set), size, sketch, nodes (of the first level, of all runs) and kids (the next level's, for each node)."""
+    schema = "doc_id long, k long, size int, sketch binary, nodes array<long>, kids array<array<long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, roots = WordHashes(), mix(np.arange(1, runs + 1, dtype=np.uint64))
         for batch in batches:
-            key, size, sign, nodes = [], [], [], []
+            key, size, signs, nodes, kids = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, hashes)
                 key.append(_key(own.tobytes()))
                 size.append(len(own))
-                sign.append(int(mix(own ^ np.uint64(77)).min() >> np.uint64(33)) if len(own) else 0)
+                signs.append(sketch(own))
                 nodes.append(choose(own, roots, threshold))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(sign, pa.int32()), _longs(nodes)],
-                names=["doc_id", "k", "size", "sign", "nodes"],
-            )
+                kids.extend(choose(own, n[None], threshold) for n in nodes[-1])
+            tops = _longs(nodes)
+            below = pa.ListArray.from_arrays(tops.offsets, _longs(kids))
+            columns = [batch.column("doc_id"), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(signs, pa.binary()), tops, below]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "size", "sketch", "nodes", "kids"])
 
-    return arrow_batches(docs).mapInArrow(run, "doc_id long, k long, size int, sign int, nodes array<long>")
+    return arrow_batches(docs).mapInArrow(run, schema)
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -91,26 +115,13 @@ def _tokens(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            same = pa.array([_key(t) == k for t, k in zip(found, batch.column("k").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, pa.binary())], names=["k", "tokens"]).filter(same)
+            found = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
+            same = pa.array([_key(t.tobytes()) == k for t, k in zip(found, batch.column("k").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([pack(t) for t in found], pa.binary())], names=["k", "tokens"]).filter(same)
 
     return arrow_batches(docs).mapInArrow(run, "k long, tokens binary")
 
 
-def _children(rows: DataFrame, threshold: float) -> DataFrame:
-    """The next level of (node, k, size, sign, tokens)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column("node").to_numpy().view(np.uint64)
-            lists = [choose(np.frombuffer(t, np.uint64), nodes[i : i + 1], threshold) for i, t in enumerate(batch.column("tokens").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "size", "sign")), _longs(lists)], names=["k", "size", "sign", "nodes"])
-
-    found = arrow_batches(rows).mapInArrow(run, "k long, size int, sign int, nodes array<long>")
-    return found.select(F.explode("nodes").alias("node"), "k", "size", "sign")
-
-
 def _together(lists: list[np.ndarray], rows: int) -> np.ndarray:
     """How many values each two lists share; a list has no value twice. The columns are taken some thousands at a time."""
     row = np.repeat(np.arange(rows), [len(x) for x in lists])
@@ -155,42 +166,77 @@ def compare(node: int, side: np.ndarray, leaves: list[np.ndarray], sets: list[np
     return linked.sum(axis=1), label
 
 
-def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """k, root, links of each set with a link, for rows sorted by (node, left, right, k)."""
+def screen(node: int, side: np.ndarray, leaves: list[np.ndarray], size: np.ndarray, sketches: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets have a pair to compare at this leaf: of sizes and sketches that agree, and with no lesser leaf in common."""
+    n = len(size)
+    alike = np.zeros((n, n), np.uint8)
+    for column in sketches.T:
+        alike += column[:, None] == column[None, :]
+    near = (alike >= ALIKE) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-6)
+    np.fill_diagonal(near, False)
+    if side.min() != side.max():
+        near &= side[:, None] != side[None, :]
+    if near.any():
+        near &= _together([x[x < node] for x in leaves], n) == 0
+    return near.any(axis=1)
+
+
+def _by_group(rows: DataFrame, value: str, schema: str, handle) -> DataFrame:
+    """Rows (node, left, right, k, block, leaves, size, value), dealt and sorted by group, through handle(group, ks, rows) -> columns."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "node", "left", "right").sortWithinPartitions("node", "left", "right", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, out = None, [], [[], [], []]
+        key, own, out = None, [], [[] for _ in names]
 
         def close() -> None:
             if len(own) > 1:
-                links, label = compare(key[0], np.array([r[1] for r in own]), [r[2] for r in own], [r[3] for r in own], threshold)
-                ids = np.array([r[0] for r in own])
-                good = np.flatnonzero((links > 0) | (label != np.arange(len(own))))
-                for column, v in zip(out, (ids[good], ids[label[good]], links[good]), strict=True):
+                for column, v in zip(out, handle(key, own), strict=True):
                     column.extend(v.tolist())
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["k", "root", "links"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "block" else pa.int64()) for c, n in zip(out, names, strict=True)], names=names)
             for c in out:
                 c.clear()
             return batch
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("node", "left", "right", "k", "block", "leaves", "tokens")]
-            for node, left, right, k, block, leaves, tokens in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("node", "left", "right", "k", "block", "leaves", "size", value)]
+            for node, left, right, k, block, leaves, size, v in zip(*cols, strict=True):
                 if key != (node, left, right):
                     close()
                     key, own = (node, left, right), []
                 if own and own[-1][0] == k:
                     continue  # repeated rows of one document
-                own.append((k, block, np.array(leaves, np.int64), np.frombuffer(tokens, np.uint64)))
+                own.append((k, block, np.array(leaves, np.int64), size, v))
             if len(out[0]) > 10_000:
                 yield flush()
         close()
         if out[0]:
             yield flush()
 
-    return rows.mapInArrow(run, "k long, root long, links long")
+    return arrow_batches(dealt).mapInArrow(run, schema)
+
+
+def _screened(rows: DataFrame, threshold: float) -> DataFrame:
+    def handle(key, own):
+        sketches = np.frombuffer(b"".join(r[4] for r in own), np.uint8).reshape(len(own), SKETCH)
+        side, size = np.array([r[1] for r in own]), np.array([r[3] for r in own], float)
+        good = np.flatnonzero(screen(key[0], side, [r[2] for r in own], size, sketches, threshold))
+        return [np.full(len(good), x) for x in key] + [np.array([r[0] for r in own])[good], side[good]]
+
+    return _by_group(rows, "sketch", "node long, left long, right long, k long, block int", handle)
+
+
+def _verified(rows: DataFrame, threshold: float) -> DataFrame:
+    def handle(key, own):
+        links, label = compare(key[0], np.array([r[1] for r in own]), [r[2] for r in own], [unpack(r[4]) for r in own], threshold)
+        ids = np.array([r[0] for r in own])
+        good = np.flatnonzero((links > 0) | (label != np.arange(len(own))))
+        return ids[good], ids[label[good]], links[good]
+
+    return _by_group(rows, "tokens", "k long, root long, links long", handle)
 
 
 def _counted(members: DataFrame) -> DataFrame:
@@ -199,14 +245,42 @@ def _counted(members: DataFrame) -> DataFrame:
     return members.join(counts, F.col("node") == F.col("_n")).drop("_n")
 
 
+def _leaves(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, k, members: the buckets in which sets are compared.
+
+    Buckets of up to BUCKET sets, and larger ones whose sets are alike (their sketches begin with few different bytes), as splitting these
+    would only repeat them. Others split by the sets' next choices; what is large and mixed after that splits by size, so that sets whose sizes allow
+    the threshold meet still: a class of sizes spans that factor, and each set is in its own and the next.
+    """
+    large = lambda df: df.where(F.col("members") > BUCKET)
+    head = F.substring("sketch", 1, 3)
+
+    def mixed(level: DataFrame) -> DataFrame:
+        kinds = large(level).groupBy("node", "head").agg(F.first("members").alias("members")).groupBy("node").agg(F.count(F.lit(1)).alias("kinds"), F.first("members").alias("members"))
+        return materialize(kinds.where(F.col("kinds") * 3 > F.col("members")).select(F.col("node").alias("_m")), "cp-mixed")
+
+    first = materialize(_counted(sets.select(F.explode("nodes").alias("node"), "k", "size", head.alias("head")).distinct()), "cp-members")
+    split = mixed(first)
+    leaves = first.join(split, F.col("node") == F.col("_m"), "left_anti").select("node", "k", "members")
+    if split.take(1):
+        kids = sets.select("k", "size", head.alias("head"), F.explode(F.arrays_zip("nodes", "kids")).alias("x")).join(split, F.col("x.nodes") == F.col("_m"), "left_semi")
+        second = materialize(_counted(kids.select(F.explode("x.kids").alias("node"), "k", "size", "head").distinct()), "cp-members")
+        again = mixed(second)
+        leaves = leaves.unionByName(second.join(again, F.col("node") == F.col("_m"), "left_anti").select("node", "k", "members"))
+        if again.take(1):
+            of_size = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold)).cast("long")
+            third = second.join(again, F.col("node") == F.col("_m"), "left_semi").withColumn("_c", F.explode(F.array(of_size, of_size + 1)))
+            leaves = leaves.unionByName(_counted(third.select(F.xxhash64("node", "_c").alias("node"), "k").distinct()))
+    return leaves
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_copies, size (of its set).
 
     Sets of hashed five-word shingles; texts of equal sets are copies, and one set stands for them. Each set chooses some of its
-    tokens, and sets that chose the same meet in a bucket. Buckets of more than BUCKET sets split on further tokens, unless their
-    sets are alike (few different minimum hashes), in which case splitting would only repeat them; these are compared in pairs of blocks. All pairs
-    of a bucket are compared exactly, inside a task, and none are emitted: a set gets its number of links and the first set it hangs together with.
-    A pair that meets in several buckets counts in the least. Runs repeat until a pair at the threshold has met with probability `recall`.
+    tokens, and sets that chose the same meet in a bucket. Large buckets split on further tokens (see _leaves) or are compared in pairs of blocks. All pairs
+    of a bucket are compared inside a task, by sketches and then exactly, and none are emitted: a set gets its number of links and the first set it hangs together with.
+    A pair that meets in several buckets is compared in the least. Runs repeat until a pair at the threshold has met with probability `recall`.
 
     class_id is the least doc_id of the component of links and copies; n_links is the number of different sets linked; n_copies is the number of rows of
     the same set. Words are separated by ASCII white space and not changed. Texts of one to four words are one shingle; null, empty and blank texts have the empty set and are
@@ -216,39 +290,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = materialize(_sets(rows, threshold, runs), "cp-sets")
     of_set = sets.groupBy("k").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("n_copies"))
-    members = sets.select(F.explode("nodes").alias("node"), "k", "size", "sign").distinct()
-    members = materialize(_counted(members), "cp-members")
-    # one text for each set that meets another; a set of null ids only is found by its hash alone
-    needed = members.select("k").distinct().join(of_set, "k").select(F.col("k").alias("_k"), "_id")
-    keyed = sets.select("doc_id", "k").distinct().join(needed, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("_id"), F.col("k").alias("_k"))
-    texts = rows.hint("merge").join(keyed, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("_k").alias("k"), "text")
-    tokens = materialize(_tokens(texts), "cp-tokens")
-
-    leaves, level = [], members
-    for depth in range(LEVELS):
-        large = level.where(F.col("members") > BUCKET)
-        if depth == LEVELS - 1 or not large.take(1):
-            leaves.append(level)
-            break
-        kinds = large.groupBy("node", "sign").agg(F.first("members").alias("members")).groupBy(F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("_kinds"), F.first("members").alias("_m"))
-        mixed = kinds.where(F.col("_kinds") * 3 > F.col("_m")).select("_n")
-        leaves.append(level.join(mixed, F.col("node") == F.col("_n"), "left_anti"))
-        split = large.join(mixed, F.col("node") == F.col("_n"), "left_semi").join(tokens, "k")
-        level = materialize(_counted(_children(split, threshold).distinct()), "cp-members")
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.unionByName(more)
-    leaf = materialize(leaf.select("node", "k", "members"), "cp-leaves")
+    leaf = materialize(_leaves(sets, threshold), "cp-leaves")
 
     lists = leaf.groupBy("k").agg(F.collect_list("node").alias("leaves"))
-    payload = tokens.join(lists, "k")
+    about = lists.join(sets.select("k", "size", "sketch").dropDuplicates(["k"]), "k")
     blocks = F.ceil(F.col("members") / F.when(F.col("members") > BUCKET, BLOCK).otherwise(F.col("members"))).cast("int")
     placed = leaf.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = placed.select("node", "k", "block", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"))
-    spark = docs.sparkSession
-    ready = placed.join(payload, "k").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "left", "right").sortWithinPartitions("node", "left", "right", "k")
-    links = materialize(_verified(arrow_batches(ready), threshold), "cp-links")
+    placed = placed.select("node", "k", "block", F.least("block", "_other").cast("long").alias("left"), F.greatest("block", "_other").cast("long").alias("right"))
+    worthy = materialize(_screened(placed.join(about, "k"), threshold), "cp-worthy")
+
+    # one text for each set that is compared
+    needed = worthy.select("k").distinct().join(of_set, "k").select(F.col("k").alias("_k"), "_id")
+    texts = rows.hint("merge").join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("_k").alias("k"), "text")
+    tokens = materialize(_tokens(texts), "cp-tokens")
+    links = materialize(_verified(worthy.join(lists, "k").join(tokens.withColumn("size", F.lit(0)), "k"), threshold), "cp-links")
 
     labels = components(links.select(F.col("k").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("k").agg(F.sum("links").alias("n_links"))

@@ -1 +1,105 @@
-"""Queries."""
+"""Queries of retrieval evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from contextquarry.catalog import query
+from contextquarry.operators import evaluate, graph, packer
+from contextquarry.plans.pack import fuse, scored
+from contextquarry.plans.queries_context import EXPANDED, _edges
+from contextquarry.scratch import materialize
+from contextquarry.sources import tables as T
+
+TOP = 50
+#: What a request should find: the first documents of good quality in its slice, or some parts.
+_EXPECTED = """expected AS (
+  SELECT a.request_id, s.id, s.kind FROM asked a JOIN (
+    SELECT d.doc_id, row_number() OVER (PARTITION BY d.doc_id % 5 ORDER BY d.doc_id) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1) x
+  ON a.repo = 'documents' AND x.doc_id % 5 = a.request_id % 5 AND x.n <= 5 JOIN symbols s ON s.repo = 'documents' AND s.ord = x.doc_id
+  UNION ALL SELECT a.request_id, s.id, s.kind FROM asked a JOIN symbols s ON s.repo = 'parts' AND a.repo = 'parts' AND s.ord IN (a.request_id, 2 * a.request_id, 3 * a.request_id, (1::BIGINT << 40) + 1))"""
+_MAX = "ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final DESC, ord) AS rank FROM fused)"
+_RECALL = "recalls AS (SELECT e.request_id, k, avg((coalesce(r.rank, 1000000000) <= k)::INT) AS recall FROM expected e LEFT JOIN ranked r ON r.request_id = e.request_id AND r.id = e.id, (VALUES (20::BIGINT), (50)) v(k) GROUP BY ALL)"
+
+
+def expected(spark, d):
+    from pyspark.sql import Window
+
+    asked = T.requests(spark, d).select("request_id", "repo")
+    good = T.table(spark, d, "documents").join(T.table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id", (F.col("doc_id") % 5).alias("slice"))
+    good = good.withColumn("n", F.row_number().over(Window.partitionBy("slice").orderBy("doc_id"))).where("n <= 5")
+    symbols = T.symbols(spark, d).select("repo", "ord", "id", "kind")
+    docs = asked.where("repo = 'documents'").join(good, F.col("request_id") % 5 == F.col("slice")).select("request_id", "repo", F.col("doc_id").alias("ord"))
+    r = F.col("request_id")
+    parts = asked.where("repo = 'parts'").select("request_id", "repo", F.explode(F.array(r, 2 * r, 3 * r, F.lit((1 << 40) + 1))).alias("ord"))
+    return docs.unionByName(parts).join(symbols, ["repo", "ord"]).select("request_id", "id", "kind")
+
+
+def fused(spark, d):
+    scores = scored(T.symbols(spark, d), T.requests(spark, d))
+    contrib = graph.contributions(graph.reached(graph.top_seeds(scores), _edges(spark, d), 1))
+    return materialize(fuse(scores, contrib), "fused")
+
+
+@query("rank_max", f"WITH {EXPANDED}, {_MAX} SELECT request_id, id, rank, round(final, 6) AS final FROM ranked WHERE rank <= {TOP}")
+def rank_max(spark, d):
+    return evaluate.rank_max(fused(spark, d)).where(F.col("rank") <= TOP).select("request_id", "id", F.col("rank").cast("long").alias("rank"), F.round("final", 6).alias("final"))
+
+
+@query(
+    "rank_rrf",
+    f"""WITH {EXPANDED}, places AS (
+      SELECT f.request_id, f.id, row_number() OVER (PARTITION BY f.request_id ORDER BY f.score DESC, f.ord) - 1 AS a,
+             CASE WHEN c.id IS NOT NULL THEN row_number() OVER (PARTITION BY f.request_id ORDER BY c.graph_score DESC NULLS LAST, c.first) - 1 END AS b
+      FROM fused f LEFT JOIN contrib c ON c.request_id = f.request_id AND c.id = f.id),
+    r AS (SELECT *, 1 / ({evaluate.RRF_K} + a) + coalesce(1 / ({evaluate.RRF_K} + b), 0) AS rrf FROM places)
+    SELECT request_id, id, round(rrf, 6) AS rrf, row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, a) AS rank FROM r QUALIFY rank <= {TOP}""",
+)
+def rank_rrf(spark, d):
+    return evaluate.rank_rrf(fused(spark, d)).where(F.col("rank") <= TOP).select("request_id", "id", F.round("rrf", 6).alias("rrf"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("recall_at_k", f"WITH {EXPANDED}, {_MAX}, {_EXPECTED}, {_RECALL} SELECT request_id, k, round(recall, 6) AS recall FROM recalls")
+def recall_at_k(spark, d):
+    rows = evaluate.recall(evaluate.rank_max(fused(spark, d)), expected(spark, d))
+    return rows.select("request_id", "k", F.round("recall", 6).alias("recall"))
+
+
+@query(
+    "recall_macro",
+    f"""WITH {EXPANDED}, {_MAX}, {_EXPECTED}, {_RECALL}, t AS (SELECT k, a.repo, recall FROM recalls r JOIN asked a ON a.request_id = r.request_id),
+    repos AS (SELECT k, repo, avg(recall) AS recall FROM t GROUP BY k, repo)
+    SELECT k, repo, round(recall, 6) AS recall FROM repos UNION ALL SELECT k, 'mean of repos', round(avg(recall), 6) FROM repos GROUP BY k UNION ALL SELECT k, 'mean of tasks', round(avg(recall), 6) FROM t GROUP BY k""",
+)
+def recall_macro(spark, d):
+    rows = evaluate.macro(evaluate.recall(evaluate.rank_max(fused(spark, d)), expected(spark, d)), T.requests(spark, d))
+    return rows.select("k", "repo", F.round("recall", 6).alias("recall"))
+
+
+@query(
+    "recall_by_kind",
+    f"""WITH {EXPANDED}, {_MAX}, {_EXPECTED}, r AS (SELECT e.request_id, e.kind, k, avg((coalesce(r.rank, 1000000000) <= k)::INT) AS recall
+      FROM expected e LEFT JOIN ranked r ON r.request_id = e.request_id AND r.id = e.id, (VALUES (20::BIGINT), (50)) v(k) GROUP BY ALL)
+    SELECT kind, k, count(*) AS tasks, round(avg(recall), 6) AS recall FROM r GROUP BY kind, k""",
+)
+def recall_by_kind(spark, d):
+    rows = evaluate.recall(evaluate.rank_max(fused(spark, d)), expected(spark, d), by=("kind",))
+    return rows.groupBy("kind", "k").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+_FILL_ALL = packer.FILL_SQL.replace(f"floor(budget * {packer.RESERVE})::BIGINT", "budget")
+
+
+@query(
+    "recall_at_budget_full",
+    f"""WITH RECURSIVE {EXPANDED}, {_EXPECTED} , {_FILL_ALL.replace("FROM fused f LEFT JOIN (SELECT request_id, id, min(place) AS place FROM pins GROUP BY ALL)", "FROM (SELECT * REPLACE (final + 1 AS final) FROM fused) f LEFT JOIN (SELECT request_id, id, place FROM pins WHERE false)").replace("FROM evicts e WHERE", "FROM evicts e WHERE false AND")}
+    SELECT a.repo, round(count(s.id)::DOUBLE / count(*), 6) AS recall FROM expected e JOIN asked a ON a.request_id = e.request_id
+    LEFT JOIN selected s ON s.request_id = e.request_id AND s.id = e.id AND s.tier = 'full' GROUP BY a.repo""",
+)
+def recall_at_budget_full(spark, d):
+    """Of all expected ids of a repo, the share that a fill of the whole ranking, without pins and reserve, has at full detail."""
+    rows = fused(spark, d).withColumn("final", F.col("final") + 1).withColumn("pin", F.lit(None).cast("int"))
+    requests = T.requests(spark, d)
+    full = packer.fill(rows, requests, reserve=1.0).where("tier = 'full'").select("request_id", "id", F.lit(1).alias("hit"))
+    hits = expected(spark, d).join(full, ["request_id", "id"], "left").join(requests.select("request_id", "repo"), "request_id")
+    return hits.groupBy("repo").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="contextquarry-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="contextquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """The shared folder: spark.checkpoint.dir, or a temporary one where none is set (one machine, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
     return f"{base.rstrip('/')}/contextquarry-{spark.sparkContext.applicationId}"
 
 

@@ -1,13 +1,14 @@
-"""What several corpus operators share: words, scratch tables, distributed ranks."""
+"""What several corpus operators share: words, Arrow batches, distributed ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contextquarry.scratch import materialize
+
+__all__ = ["SPACES", "WORD", "arrow_batches", "hash_bucket", "materialize", "n_words", "running"]
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -15,23 +16,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="contextquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/contextquarry-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_batches(df: DataFrame) -> DataFrame:
     """Keep Arrow batches of texts small."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

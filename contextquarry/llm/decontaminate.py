@@ -137,8 +137,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found; same columns as docs. All rows of an id with a leak go."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.hint("merge").join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__cq_id")).distinct()
+    return docs.hint("merge").join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -317,8 +317,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one document of each class, that of the least id; same columns as docs. Classes without an id keep all their rows; of repeated rows of the document all stay."""
-    gone = jaccard_classes(docs, **options).where("doc_id <> class_id OR (doc_id IS NULL AND class_id IS NOT NULL)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.hint("merge").join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = jaccard_classes(docs, **options).where("doc_id <> class_id OR (doc_id IS NULL AND class_id IS NOT NULL)").select(F.col("doc_id").alias("__cq_id")).distinct()
+    return docs.hint("merge").join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")), "left_anti")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

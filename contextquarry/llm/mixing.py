@@ -77,9 +77,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     chosen = mix(docs, whole_documents=True, **options).where("taken > 0")
     # repeated rows of one document and text get the same number of turns each: one row of the choice is enough
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    turns = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t")).agg(F.max(times).alias("_turns"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    return docs.hint("merge").join(turns, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(*docs.columns)
+    turns = chosen.groupBy(F.col("doc_id").alias("__cq_id"), F.col("_tie").alias("__cq_tie")).agg(F.max(times).alias("__cq_turns"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")) & (F.xxhash64("text") == F.col("__cq_tie"))
+    return docs.hint("merge").join(turns, same).withColumn("__cq_turn", F.explode(F.sequence(F.lit(1), F.col("__cq_turns")))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,44 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """The powers of _P and of its inverse modulo 2 ** 64, up to n at least."""
+    if len(_powers[0]) <= n:
+        size = max(1 << 16, 1 << int(n).bit_length())
+        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+        for i, base in enumerate((_P, inverse)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each range, from running sums of a polynomial."""
+    up, down = _power_tables(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * up[: len(values)], dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def words_of(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts that follow each other in a buffer of bytes: where each begins and ends, and the first word of each text (with the end of the last)."""
+    word = np.ones(len(buffer) + 1, bool)
+    word[:-1] = (buffer != 32) & ((buffer < 9) | (buffer > 13))
+    word[-1] = False
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(buffer)]
+    first[inner] = word[inner]  # a text's first byte begins a word, even if another text ends just before
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    last[inner[inner > 0] - 1] = word[inner[inner > 0] - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * _A

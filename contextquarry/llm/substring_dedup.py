@@ -7,13 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextquarry.llm.common import arrow_batches, materialize
 from contextquarry.llm.fm_index import FMIndex
-from contextquarry.llm.rolling import WordHashes, mix, runs_of, window_minima
+from contextquarry.llm.rolling import mix, range_hashes, runs_of, window_minima, words_of
 
 WINDOW = 35
 #: Words of an anchor.
@@ -25,58 +24,100 @@ SHARD_WORDS = 1_000_000
 #: Different segments of an anchor at least, and parts of all segments, for the anchor to be hot: so there are at most PARTS hot ones.
 HOT, PARTS = 4096, 1_000_000
 
+#: Bytes of texts that are cut into segments at once.
+_PART = 8_000_000
+
 SEGMENTS = "anchor array<long>, seg array<long>, start array<int>, n array<int>, many array<int>"
 
 
-def segments(hashes: np.ndarray, window: int, hot: np.ndarray, only_hot: bool = False) -> tuple[np.ndarray, ...]:
-    """anchor, seg, start, n, many of a text's segments.
+class Segments:
+    """The segments of a batch of texts: text (its place in the batch), anchor, seg, start, n and many, one entry per segment.
 
     The anchor of a window is the least hash of ANCHOR consecutive words in it, so equal windows have equal anchors. A segment is a
-    run of n <= RUN windows of one anchor; seg is the hash of its words; many is 2 if its anchor is in the text more than once, as it
+    run of n <= RUN windows of one anchor that begins at word start of its text; seg is the hash of its words; many is 2 if its anchor is in the text more than once, as it
     is if two windows of one segment are equal. With only_hot, windows of hot anchors are given, each a segment
     of its own, anchored by its own hash; otherwise hot anchors are left out.
     """
-    if len(hashes) < window:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
-    short = runs_of(hashes, ANCHOR)
-    anchors = window_minima(short, window - ANCHOR + 1)
-    if only_hot:
-        start = np.flatnonzero(np.isin(anchors, hot))
-        own = runs_of(hashes, window)[start]
-        return mix(own + np.uint64(1)).view(np.int64), own.view(np.int64), start, np.ones(len(start), np.int64), np.ones(len(start), np.int64)
-    first = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
-    size = np.diff(np.concatenate([first, [len(anchors)]]))
-    pieces = -(-size // RUN)
-    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(first, pieces) + RUN * within
-    n = np.minimum(np.repeat(size, pieces) - RUN * within, RUN)
-    if len(hot):
-        cool = ~np.isin(anchors[start], hot)
-        start, n = start[cool], n[cool]
-    raw = hashes.tobytes()
-    seg = np.array([xxhash.xxh3_64_intdigest(raw[8 * s : 8 * e]) for s, e in zip(start.tolist(), (start + n + window - 1).tolist(), strict=True)], np.uint64)
-    kinds, count = np.unique(short, return_counts=True)
-    many = np.minimum(count[np.searchsorted(kinds, anchors[start])], 2)
-    return anchors[start].view(np.int64), seg.view(np.int64), start, n, many
-
 
-def _lists(columns: list[list[np.ndarray]]) -> list[pa.Array]:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    ends = pa.array(np.cumsum([0, *(len(x) for x in columns[0])]).astype(np.int32))
-    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*c, np.zeros(0, np.int64)])).cast(t)) for c, t in zip(columns, types, strict=True)]
+    def __init__(self, column: pa.Array, window: int, hot: np.ndarray, only_hot: bool = False):
+        self.buffer, offsets = _bytes(column)
+        self.word_start, self.word_end, first_word = words_of(self.buffer, offsets)
+        self.first_word = first_word
+        hashes = range_hashes(self.buffer.astype(np.uint64), self.word_start, self.word_end)
+        size = np.diff(first_word)
+        text = np.repeat(np.arange(len(size)), size)
+        if len(hashes) < window:
+            self._set(*(np.zeros(0, np.int64) for _ in range(6)))
+            return
+        short = runs_of(hashes, ANCHOR)
+        anchors = window_minima(short, window - ANCHOR + 1)
+        at = np.flatnonzero(np.arange(len(anchors)) + window <= first_word[1:][text[: len(anchors)]])
+        anchors = anchors[at]
+        is_hot = hot[np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)] == anchors if len(hot) else np.zeros(len(at), bool)
+        if only_hot:
+            at = at[is_hot]
+            own = range_hashes(hashes, at, at + window)
+            self._set(text[at], mix(own + np.uint64(1)), own, at - first_word[text[at]], np.ones(len(at), np.int64), np.ones(len(at), np.int64))
+            return
+        new = np.ones(len(at), bool)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        length = np.diff(np.concatenate([first, [len(at)]]))
+        pieces = -(-length // RUN)
+        within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        index = np.repeat(first, pieces) + RUN * within
+        n = np.minimum(np.repeat(length, pieces) - RUN * within, RUN)
+        cool = ~is_hot[index]
+        index, n = index[cool], n[cool]
+        start, anchor = at[index], anchors[index]
+        own = mix(text.astype(np.uint64) + np.uint64(1))
+        kinds, count = np.unique(short ^ own[: len(short)], return_counts=True)
+        many = np.minimum(count[np.searchsorted(kinds, anchor ^ own[start])], 2)
+        self._set(text[start], anchor, range_hashes(hashes, start, start + n + window - 1), start - first_word[text[start]], n, many)
+
+    def _set(self, text, anchor, seg, start, n, many) -> None:
+        self.text, self.anchor, self.seg, self.start, self.n, self.many = text, anchor.astype(np.uint64).view(np.int64), seg.astype(np.uint64).view(np.int64), start, n, many
+
+    def words(self, i: int, window: int) -> bytes:
+        first = self.first_word[self.text[i]] + self.start[i]
+        return self.buffer[self.word_start[first] : self.word_end[first + self.n[i] + window - 2]].tobytes()
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binaries, and where each begins."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]] if len(column) else whole[:0], offsets - offsets[0]
+
+
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a few MB of text each."""
+    total = np.cumsum([len(t) if t is not None else 0 for t in batch.column(batch.schema.get_field_index("text"))] or [0]) if batch.nbytes > _PART else np.zeros(1)
+    if total[-1] <= _PART:
+        yield batch
+        return
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PART)))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _occurrences(docs: DataFrame, window: int, hot: np.ndarray, only_hot: bool = False) -> DataFrame:
-    """_id, _h, anchor, seg, start, n, many: one row per segment."""
+    """_id, _h, anchor, seg, start, n, many: one row per segment. Written, since it is read twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            found = [segments(words.of(t.split()), window, hot, only_hot) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *_lists(list(zip(*found, strict=True)))], names=["_id", "_h", "anchor", "seg", "start", "n", "many"])
+        for whole in batches:
+            for batch in _in_parts(whole):
+                s = Segments(batch.column("text"), window, hot, only_hot)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(s.text, minlength=batch.num_rows))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v).cast(t)) for v, t in ((s.anchor, pa.int64()), (s.seg, pa.int64()), (s.start, pa.int32()), (s.n, pa.int32()), (s.many, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *lists], names=["_id", "_h", "anchor", "seg", "start", "n", "many"])
 
     found = arrow_batches(docs.where("text IS NOT NULL")).mapInArrow(run, f"_id long, _h long, {SEGMENTS}")
+    found = materialize(found.where(F.size("anchor") > 0), "all-segments")
     return found.select("_id", "_h", F.explode(F.arrays_zip("anchor", "seg", "start", "n", "many")).alias("s")).select("_id", "_h", "s.*")
 
 
@@ -87,22 +128,27 @@ def _repeated(found: DataFrame) -> DataFrame:
 
 
 def _words_of(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
-    """anchor, seg, weight, words: the words of the wanted segments of each document (rows with want: array of seg, weight)."""
+    """anchor, seg, weight, words: the words of the wanted segments of each document (rows with want: array of anchor, seg, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, want in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), strict=True):
-                words = text.split()
-                own, wanted = hashes.of(words), {(w["anchor"], w["seg"]): w["weight"] for w in want}
+        for whole in batches:
+            for batch in _in_parts(whole):
+                want = batch.column("want")
+                item = want.flatten()
+                row = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
+                anchor, seg, weight = (item.field(c).to_numpy() for c in ("anchor", "seg", "weight"))
+                key = lambda text, a, b: mix(mix(mix(text.astype(np.uint64)) ^ a.view(np.uint64)) ^ b.view(np.uint64))
+                wanted = key(row, anchor, seg)
+                order = np.argsort(wanted)
+                wanted, weight = wanted[order], weight[order]
                 for only_hot in (False, True) if len(hot) else (False,):
-                    for anchor, seg, start, n, _ in zip(*(x.tolist() for x in segments(own, window, hot, only_hot)), strict=True):
-                        weight = wanted.pop((anchor, seg), None)
-                        if weight is not None:
-                            for c, v in zip(out, (anchor, seg, weight, b" ".join(words[start : start + n + window - 1])), strict=True):
-                                c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "seg", "weight", "words"])
+                    s = Segments(batch.column("text"), window, hot, only_hot)
+                    own = key(s.text, s.anchor, s.seg)
+                    place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1) if len(wanted) else np.zeros(0, int)
+                    good = np.flatnonzero(wanted[place] == own) if len(wanted) else place
+                    good = good[np.unique(own[good], return_index=True)[1]]
+                    words = pa.array([s.words(i, window) for i in good], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(s.anchor[good]), pa.array(s.seg[good]), pa.array(weight[place[good]]), words], names=["anchor", "seg", "weight", "words"])
 
     return arrow_batches(docs).mapInArrow(run, "anchor long, seg long, weight long, words binary")
 

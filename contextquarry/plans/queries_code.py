@@ -1 +1,41 @@
-"""Queries."""
+"""Queries of the code index. Their input is a package of the Python standard library at hand, so they have no SQL."""
+
+from __future__ import annotations
+
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from contextquarry.catalog import query
+from contextquarry.functions.text import with_costs
+from contextquarry.operators import code_index
+from contextquarry.scratch import materialize
+
+ROOT = os.path.dirname(json.__file__)
+
+
+def _parsed(spark):
+    return materialize(code_index.parse(code_index.scan(spark, ROOT)), "parsed")
+
+
+@query("src_scan")
+def src_scan(spark, d):
+    return code_index.scan(spark, ROOT).select("file", F.length("content").alias("n_chars"))
+
+
+@query("code_symbols")
+def code_symbols(spark, d):
+    rows = with_costs(code_index.symbols(_parsed(spark)))
+    return rows.select("id", "file", "kind", "name", "qualname", "line_start", "line_end", F.col("tokens.full").alias("full_tokens"))
+
+
+@query("code_exports")
+def code_exports(spark, d):
+    parsed = _parsed(spark)
+    return code_index.exports(parsed, code_index.modules(parsed))
+
+
+@query("code_edges")
+def code_edges(spark, d):
+    return code_index.edges(_parsed(spark))

@@ -323,3 +323,20 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k")
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE_WORDS} THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - {SHINGLE_WORDS - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE_WORDS - 1}], ' ')))) END AS s FROM w),
+keyed AS (SELECT doc_id, s, md5(array_to_string(s, chr(10))) AS k FROM shingles),
+sets AS (SELECT k, len(any_value(s)) AS size, any_value(s) AS s, min(doc_id) AS rep, count(*) AS copies FROM keyed GROUP BY k),
+tokens AS (SELECT k, size, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.k AS ka, b.k AS kb, a.size AS na, b.size AS nb, count(*) AS n FROM tokens a JOIN tokens b ON a.t = b.t AND a.k <> b.k GROUP BY ALL),
+links AS (SELECT ka, kb FROM pairs WHERE n >= {THRESHOLD} * (na + nb - n) - 1e-9),
+reach(k, r) AS (SELECT k, k FROM sets UNION SELECT reach.k, l.kb FROM reach JOIN links l ON l.ka = reach.r),
+classes AS (SELECT reach.k, min(s.rep) AS class_id FROM reach JOIN sets s ON s.k = reach.r GROUP BY reach.k)
+SELECT d.doc_id, c.class_id, (SELECT count(*) FROM links l WHERE l.ka = d.k) AS n_links, s.copies AS n_copies, s.size::BIGINT AS size
+FROM keyed d JOIN sets s ON s.k = d.k JOIN classes c ON c.k = d.k
+"""

@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_secrets": secrets.OP4_SQL, "op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op4_secrets": secrets.OP4_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity
@@ -114,6 +115,15 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 104)}
 
 
+def test_components_of_long_chains(spark):
+    at = np.random.default_rng(8).permutation(1000)
+    edges = [(int(a), int(b)) for a, b in zip(at, at[1:])]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), rounds=15).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
+
+
 def test_sharding(odd, empty, rows):
     got = sharding.shard_documents(odd, 3).collect()
     assert len(got) == len(rows)

@@ -87,6 +87,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     Null and empty texts match nothing, nor do items of slots only. Repeated rows of a document give one result; null ids stay null. Items with a null id are
     left out, and of repeated item ids all texts count as one item's. Extra columns don't matter; empty tables give no rows.
     """
+    best = F.max(F.struct("n_matched", "coverage", "n_slots", (~F.col("reworded")).alias("same")))
+    result = _alignments(docs, benchmark, window, coverage).groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return result.select("doc_id", "item_id", "b.n_matched", F.round("b.coverage", 6).alias("coverage"), "b.n_slots", (~F.col("b.same")).alias("reworded"))
+
+
+def _alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """The columns of leaks and h, the hash of the document's text: one row for each alignment that counts."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct()
     items = materialize(templates(items).select("item_id", F.xxhash64("text").alias("_t"), "plain", "slots", "heads"), "items")
     wanted = materialize(_item_windows(items.withColumn("item_id", F.struct("item_id", "_t")), window), "item-windows")
@@ -119,26 +126,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         return F.struct(F.get("_slots", p).alias("slot"), F.get("_plain", p).alias("item"), F.when(bare == "", word).otherwise(bare).alias("doc"))
 
     filled = F.filter(F.transform("_covered", pair), lambda x: x["slot"].isin(NUMBER, UNIT, NAME))
-    own = own.select("_id", "item_id", "at", "n_windows", filled.alias("filled"))
+    own = own.select("_id", "_h", "item_id", "at", "n_windows", filled.alias("filled"))
     side = lambda name: F.size(F.array_distinct(F.transform("filled", lambda x: F.struct(x["slot"], x[name]))))
     pairs = F.size(F.array_distinct("filled"))
     own = own.where((pairs == side("item")) & (pairs == side("doc")))
-    result = own.select(
+    return own.select(
         F.col("_id").alias("doc_id"),
+        F.col("_h").alias("h"),
         F.col("item_id.item_id").alias("item_id"),
         F.size("at").cast("long").alias("n_matched"),
         (F.size("at") / F.col("n_windows")).alias("coverage"),
         F.size("filled").cast("long").alias("n_slots"),
         F.exists("filled", lambda x: x["item"] != x["doc"]).alias("reworded"),
     )
-    best = F.max(F.struct("n_matched", "coverage", "n_slots", (~F.col("reworded")).alias("same")))
-    return result.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_matched", F.round("b.coverage", 6).alias("coverage"), "b.n_slots", (~F.col("b.same")).alias("reworded"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no item is found; same columns as docs. All rows of an id with a leak go."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__cq_id")).distinct()
-    return docs.hint("merge").join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")), "left_anti")
+    """The rows of docs in which no item is found; same columns as docs. Rows go by their id and text, so others of the same id, or without one, stay."""
+    found = _alignments(docs, benchmark, **options).select(F.col("doc_id").alias("__cq_id"), F.col("h").alias("__cq_h")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")) & (F.xxhash64(docs["text"]) == F.col("__cq_h"))
+    return docs.hint("merge").join(found, same, "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

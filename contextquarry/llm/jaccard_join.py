@@ -87,8 +87,8 @@ def _longs(lists: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """doc_id, k (hash of the set), size, sketch, nodes (of the first level, of all runs) and kids (the next level's, for each node)."""
-    schema = "doc_id long, k long, size int, sketch binary, nodes array<long>, kids array<array<long>>"
+    """doc_id, h, k (hash of the set), size, sketch, nodes (of the first level, of all runs) and kids (the next level's, for each node)."""
+    schema = "doc_id long, h long, k long, size int, sketch binary, nodes array<long>, kids array<array<long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, roots = WordHashes(), mix(np.arange(1, runs + 1, dtype=np.uint64))
@@ -103,8 +103,8 @@ def _sets(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                 kids.extend(choose(own, n[None], threshold) for n in nodes[-1])
             tops = _longs(nodes)
             below = pa.ListArray.from_arrays(tops.offsets, _longs(kids))
-            columns = [batch.column("doc_id"), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(signs, pa.binary()), tops, below]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "size", "sketch", "nodes", "kids"])
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(signs, pa.binary()), tops, below]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "k", "size", "sketch", "nodes", "kids"])
 
     return arrow_batches(docs).mapInArrow(run, schema)
 
@@ -286,8 +286,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     the same set. Words are separated by ASCII white space and not changed. Texts of one to four words are one shingle; null, empty and blank texts have the empty set and are
     copies of each other without links. Null ids take part; class_id is null only if all ids of a class are. Extra columns are ignored, empty tables give no rows.
     """
+    return _classes(docs, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies", "size", "k")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The columns of jaccard_classes, with h (hash of the text) and label (of the class; class_id may be null, or the id of rows of two classes)."""
     runs = runs_for(recall)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     sets = materialize(_sets(rows, threshold, runs), "cp-sets")
     of_set = sets.groupBy("k").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("n_copies"))
     leaf = materialize(_leaves(sets, threshold), "cp-leaves")
@@ -311,14 +316,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = of_set.join(labels.withColumnRenamed("node", "k"), "k", "left").join(counted, "k", "left")
     classes = classes.withColumn("label", F.coalesce("label", "k"))
     first = classes.groupBy("label").agg(F.min("_id").alias("class_id"))
-    classes = classes.join(first, "label").select(F.col("k").alias("_k"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").cast("long"))
-    return sets.select("doc_id", "k", "size").join(classes, F.col("k") == F.col("_k")).select("doc_id", "class_id", "n_links", "n_copies", F.col("size").cast("long").alias("size"), "k")
+    classes = classes.join(first, "label").select(F.col("k").alias("_k"), "label", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").cast("long"))
+    return sets.select("doc_id", "h", "k", "size").join(classes, F.col("k") == F.col("_k")).select("doc_id", "h", "label", "class_id", "n_links", "n_copies", F.col("size").cast("long").alias("size"), "k")
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with one document of each class, that of the least id; same columns as docs. Classes without an id keep all their rows; of repeated rows of the document all stay."""
-    gone = jaccard_classes(docs, **options).where("doc_id <> class_id OR (doc_id IS NULL AND class_id IS NOT NULL)").select(F.col("doc_id").alias("__cq_id")).distinct()
-    return docs.hint("merge").join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")), "left_anti")
+def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of docs for each class; same columns as docs.
+
+    That of the least id, a null id being greater than any other, and of equal ids the least hash of the text. Of repeated rows (same id and text) one stays, whichever.
+    """
+    key = lambda i, h: (i.isNull().alias("__cq_null"), F.coalesce(i, F.lit(0)).alias("__cq_id"), h.alias("__cq_h"))
+    heads = _classes(docs, threshold, recall).groupBy("label").agg(F.min(F.struct(*key(F.col("doc_id"), F.col("h")))).alias("head")).select("head.*")
+    names = heads.columns
+    rows = docs.select("*", *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    # both steps go by the same key, so texts are dealt and sorted once
+    return rows.hint("merge").join(heads, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

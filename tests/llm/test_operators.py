@@ -93,6 +93,16 @@ def test_jaccard_join(odd, empty, rows):
     assert not jaccard_join.jaccard_classes(empty).collect()
 
 
+def test_distinct_documents_by_content(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = a.replace("a59", "changed")
+    # a null id in a class with an id, unique texts without id, an id of two texts, repeated rows, copies without any id
+    rows = [(1, a), (None, near), (None, b), (2, near), (2, c), (3, c), (4, d), (4, d), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.distinct_documents(docs).collect())
+    assert got == Counter([(1, a), (None, b), (2, c), (4, d), (None, "x y z")])
+
+
 def test_jaccard_join_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
@@ -209,6 +219,13 @@ def test_decontamination(spark, odd, empty):
     assert not decontaminate.leaks(empty, bench).collect() and not decontaminate.leaks(docs, bench.limit(0)).collect()
 
 
+def test_clean_documents_by_content(spark):
+    item = "every morning the old miller walked along the river and counted seven grey herons near the broken wooden bridge"
+    rows = [(None, f"Before it. {item} and after it."), (None, "a clean text without any id"), (1, item), (1, "another text of the same id"), (2, "clean too"), (None, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert Counter(map(tuple, decontaminate.clean_documents(docs, bench).collect())) == Counter([rows[1], *rows[3:]])
+
+
 def test_packing_round_trip(odd, empty, rows):
     length = 64
     parts = defaultdict(list)

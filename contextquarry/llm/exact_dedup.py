@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     # two blocks a partition: small, whatever the input
     joined = runs.join(F.broadcast(whole), F.col("edge") & (F.col("text_sha256") == F.col("_sha")), "left")
     keep, size = F.coalesce("_head", "head"), F.coalesce("_n", "n")
-    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

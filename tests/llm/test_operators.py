@@ -32,6 +32,12 @@ def test_exact_dedup(odd, empty, rows):
     assert not exact_dedup.exact_dedup(empty).collect()
 
 
+def test_exact_dedup_of_groups_with_null_ids(spark):
+    rows = [(1, "a"), (None, "a"), (5, "a"), (None, "b"), (None, "b")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.kept) for r in got) == Counter([(1, 5, False), (None, 5, False), (5, 5, True), (None, None, True), (None, None, True)])
+
+
 def test_exact_dedup_group_over_many_partitions(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "same text").otherwise(F.concat(F.lit("other "), F.col("id").cast("string"))).alias("text"))
     got = exact_dedup.exact_dedup(docs, partitions=9).where("group_size > 1").select("keep_id", "group_size").distinct().collect()

@@ -20,15 +20,19 @@ THRESHOLD = 0.8
 RECALL = 0.999
 #: Tokens of a pair at the threshold that both its sets choose at a node, on average.
 SHARED = 2.0
-#: Sets of a bucket that are compared with each other at once; larger buckets split, or are compared block by block.
+#: Larger buckets split, unless their sets are alike.
 BUCKET = 256
-BLOCK = 512
+#: Sets that are compared with each other at once, and shingles of them: what a task holds. Buckets of more are compared block by block.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 #: Bytes of a set's sketch, each of a minimum hash, and how many two sets must have in common to be compared in full. At the threshold
 #: fewer agree with a probability of 3e-5; each of a pair's meetings has the same sketches.
 SKETCH, ALIKE = 24, 11
 #: Bytes of a shingle's hash.
 TOKEN = 5
 _COLUMNS = 4096
+_ROWS = 256
+#: Shingles of a set that meet all nodes at once.
+_CHUNK = 1 << 16
 
 
 def runs_for(recall: float, shared: float = SHARED) -> int:
@@ -59,21 +63,26 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A byte of each of SKETCH minimum hashes."""
+    """A byte of each of SKETCH minimum hashes: of products with odd numbers, as the tokens are spread already."""
     if not len(tokens):
         return bytes(SKETCH)
-    seeds = mix(np.arange(101, 101 + SKETCH, dtype=np.uint64))
-    return mix(mix(tokens[None, :] ^ seeds[:, None]).min(axis=1)).astype(np.uint8).tobytes()
+    spread, odd = mix(tokens + np.uint64(1)), mix(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
+    return mix(np.array([(spread * k).min() for k in odd])).astype(np.uint8).tobytes()
 
 
-def choose(tokens: np.ndarray, parents: np.ndarray, threshold: float) -> np.ndarray:
-    """The children of the parents' nodes for this set: each token is chosen with the probability shared / (threshold * size), by a hash of node and token."""
-    if not len(tokens):
-        return np.zeros(0, np.uint64)
-    share = SHARED / (threshold * len(tokens))
+def choose(tokens: np.ndarray, parents: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The children of each parent's node for this set: each token is chosen with the probability shared / (threshold * size), by a hash of node and token."""
+    share = SHARED / (threshold * max(1, len(tokens)))
     limit = np.uint64(min(share, 1.0) * (2**64 - 2**12))
-    node, token = np.nonzero(mix((tokens[None, :] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ^ parents[:, None]) <= limit)
-    return np.unique(mix(parents[node] * np.uint64(0x9E3779B97F4A7C15) + tokens[token]))
+    of, kids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for begin in range(0, len(tokens), _CHUNK):
+        own = tokens[begin : begin + _CHUNK]
+        node, token = np.nonzero(mix((own[None, :] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ^ parents[:, None]) <= limit)
+        of.append(node)
+        kids.append(mix(parents[node] * np.uint64(0x9E3779B97F4A7C15) + own[token]))
+    of, kids = np.concatenate(of), np.concatenate(kids)
+    order = np.argsort(of, kind="stable")
+    return np.split(kids[order], np.searchsorted(of[order], np.arange(1, len(parents))))
 
 
 def _key(tokens: bytes) -> int:
@@ -99,8 +108,9 @@ def _sets(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                 key.append(_key(own.tobytes()))
                 size.append(len(own))
                 signs.append(sketch(own))
-                nodes.append(choose(own, roots, threshold))
-                kids.extend(choose(own, n[None], threshold) for n in nodes[-1])
+                nodes.append(np.unique(np.concatenate(choose(own, roots, threshold))))
+                if len(nodes[-1]):
+                    kids.extend(choose(own, nodes[-1], threshold))
             tops = _longs(nodes)
             below = pa.ListArray.from_arrays(tops.offsets, _longs(kids))
             columns = [batch.column("doc_id"), batch.column("h"), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(signs, pa.binary()), tops, below]
@@ -110,75 +120,119 @@ def _sets(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """k and the set itself, for rows (k, text) whose set it is."""
+    """k and the set itself, for rows (k, text); of rows of one k that follow each other, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, before = WordHashes(), None
         for batch in batches:
-            found = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
-            same = pa.array([_key(t.tobytes()) == k for t, k in zip(found, batch.column("k").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([pack(t) for t in found], pa.binary())], names=["k", "tokens"]).filter(same)
+            keys = batch.column("k").to_pylist()
+            new = [k != p for k, p in zip(keys, [before, *keys], strict=False)]
+            own = batch.filter(pa.array(new))
+            before = keys[-1] if keys else before
+            yield pa.RecordBatch.from_arrays([own.column("k"), pa.array([pack(shingles(t, hashes)) for t in own.column("text").to_pylist()], pa.binary())], names=["k", "tokens"])
 
     return arrow_batches(docs).mapInArrow(run, "k long, tokens binary")
 
 
-def _together(lists: list[np.ndarray], rows: int) -> np.ndarray:
-    """How many values each two lists share; a list has no value twice. The columns are taken some thousands at a time."""
-    row = np.repeat(np.arange(rows), [len(x) for x in lists])
-    values, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    used = np.flatnonzero(count > 1)
-    place = np.full(len(values), -1)
-    place[used] = np.arange(len(used))
-    at = place[column]
-    row, at = row[at >= 0], at[at >= 0]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    out = np.zeros((rows, rows), np.float32)
+def _together(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each list of the left shares with each of the right; a list has no value twice. The columns are taken some thousands at a time."""
+    if not left or not right:
+        return np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), len(lists)) for lists in (left, right)]
+    if left is right:
+        kinds, count = np.unique(sides[0][0], return_counts=True)
+        used = kinds[count > 1]
+    else:
+        used = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for values, row, rows in sides:
+        at = np.minimum(np.searchsorted(used, values), max(0, len(used) - 1))
+        good = used[at] == values if len(used) else np.zeros(len(values), bool)
+        at, row = at[good], row[good]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], row[order], rows))
+    out = np.zeros((len(left), len(right)), np.float32)
     for begin in range(0, len(used), _COLUMNS):
-        a, b = np.searchsorted(at, (begin, begin + _COLUMNS))
-        dense = np.zeros((rows, min(_COLUMNS, len(used) - begin)), np.float32)
-        dense[row[a:b], at[a:b] - begin] = 1
-        out += dense @ dense.T
+        dense = []
+        for at, row, rows in placed[: 1 if left is right else 2]:
+            a, b = np.searchsorted(at, (begin, begin + _COLUMNS))
+            dense.append(np.zeros((rows, min(_COLUMNS, len(used) - begin)), np.float32))
+            dense[-1][row[a:b], at[a:b] - begin] = 1
+        out += dense[0] @ dense[-1].T
     return out
 
 
-def compare(node: int, side: np.ndarray, leaves: list[np.ndarray], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that are counted at this leaf, per set, and the first set of each one's local component.
+def _sides(key: tuple[int, int, int], own: list[tuple]) -> tuple[list[int], list[int]]:
+    """The positions of the two blocks of a group (node, left, right); twice the same list if it is one block with itself."""
+    left = [i for i, r in enumerate(own) if r[1] == key[1]]
+    return left, left if key[1] == key[2] else [i for i, r in enumerate(own) if r[1] == key[2]]
+
+
+def _met_before(node: int, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether the sets of a pair are together in a lesser leaf."""
+    lesser = [x[x < node] for x in left]
+    return _together(lesser, lesser if left is right else [x[x < node] for x in right]) > 0
+
+
+def compare(key: tuple[int, int, int], own: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that are counted at this leaf, per row (k, block, leaves, size, set), and the first row of each one's local component.
 
-    side: the block of a set; of two blocks only links across count. A link counts at the least leaf that both sets are in.
+    Of two blocks only links across count. A link counts at the least leaf that both sets are in.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.float64)
-    shared = _together(sets, n)
-    linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
-    np.fill_diagonal(linked, False)
-    if side.min() != side.max():
-        linked &= side[:, None] != side[None, :]
-    label = np.arange(n)
+    n, (left, right) = len(own), _sides(key, own)
+    sets = [[own[i][4] for i in left]]
+    sets.append(sets[0] if left is right else [own[i][4] for i in right])
+    a, b = (np.array([len(s) for s in x], np.float32) for x in sets)
+    linked = _together(*sets)
+    for at in range(0, len(left), _ROWS):  # shared >= threshold * (a + b - shared)
+        rows = linked[at : at + _ROWS]
+        rows[:] = rows >= (threshold * (a[at : at + _ROWS, None].astype(np.float64) + b[None, :]) - 1e-6) / (1 + threshold)
+    linked = linked.astype(bool)
+    if left is right:
+        np.fill_diagonal(linked, False)
+    label, i, j = np.arange(n), np.array(left, int), np.array(right, int)
+    edge = np.nonzero(linked)
+    ends = i[edge[0]], j[edge[1]]
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        new = label.copy()
+        np.minimum.at(new, ends[0], label[ends[1]])
+        np.minimum.at(new, ends[1], label[ends[0]])
         new = new[new]
         if (new == label).all():
             break
         label = new
-    if linked.any():
-        linked &= _together([x[x < node] for x in leaves], n) == 0
-    return linked.sum(axis=1), label
-
-
-def screen(node: int, side: np.ndarray, leaves: list[np.ndarray], size: np.ndarray, sketches: np.ndarray, threshold: float) -> np.ndarray:
-    """Which sets have a pair to compare at this leaf: of sizes and sketches that agree, and with no lesser leaf in common."""
-    n = len(size)
-    alike = np.zeros((n, n), np.uint8)
-    for column in sketches.T:
-        alike += column[:, None] == column[None, :]
-    near = (alike >= ALIKE) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-6)
-    np.fill_diagonal(near, False)
-    if side.min() != side.max():
-        near &= side[:, None] != side[None, :]
+    links = np.zeros(n, np.int64)
+    if len(edge[0]):
+        leaves = [own[x][2] for x in left]
+        linked &= ~_met_before(key[0], leaves, leaves if left is right else [own[x][2] for x in right])
+        links[i] += linked.sum(axis=1)
+        if left is not right:
+            links[j] += linked.sum(axis=0)
+    return links, label
+
+
+def screen(key: tuple[int, int, int], own: list[tuple], threshold: float) -> np.ndarray:
+    """Which rows (k, block, leaves, size, sketch) have a pair to compare at this leaf: of sizes and sketches that agree, and with no lesser leaf in common."""
+    left, right = _sides(key, own)
+    sketches = np.frombuffer(b"".join(r[4] for r in own), np.uint8).reshape(len(own), SKETCH)
+    size = np.array([r[3] for r in own], np.float32)
+    near = np.zeros((len(left), len(right)), bool)
+    for at in range(0, len(left), _ROWS):
+        rows = left[at : at + _ROWS]
+        alike = np.zeros((len(rows), len(right)), np.uint8)
+        for x, y in zip(sketches[rows].T, sketches[right].T, strict=True):
+            alike += x[:, None] == y[None, :]
+        a, b = size[rows][:, None], size[right][None, :]
+        near[at : at + _ROWS] = (alike >= ALIKE) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-3)
+    if left is right:
+        np.fill_diagonal(near, False)
     if near.any():
-        near &= _together([x[x < node] for x in leaves], n) == 0
-    return near.any(axis=1)
+        leaves = [own[x][2] for x in left]
+        near &= ~_met_before(key[0], leaves, leaves if left is right else [own[x][2] for x in right])
+    good = np.zeros(len(own), bool)
+    good[np.array(left, int)[near.any(axis=1)]] = True
+    good[np.array(right, int)[near.any(axis=0)]] = True
+    return good
 
 
 def _by_group(rows: DataFrame, value: str, schema: str, handle) -> DataFrame:
@@ -221,17 +275,16 @@ def _by_group(rows: DataFrame, value: str, schema: str, handle) -> DataFrame:
 
 def _screened(rows: DataFrame, threshold: float) -> DataFrame:
     def handle(key, own):
-        sketches = np.frombuffer(b"".join(r[4] for r in own), np.uint8).reshape(len(own), SKETCH)
-        side, size = np.array([r[1] for r in own]), np.array([r[3] for r in own], float)
-        good = np.flatnonzero(screen(key[0], side, [r[2] for r in own], size, sketches, threshold))
-        return [np.full(len(good), x) for x in key] + [np.array([r[0] for r in own])[good], side[good]]
+        good = np.flatnonzero(screen(key, own, threshold))
+        return [np.full(len(good), x) for x in key] + [np.array([r[0] for r in own])[good], np.array([r[1] for r in own])[good]]
 
     return _by_group(rows, "sketch", "node long, left long, right long, k long, block int", handle)
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     def handle(key, own):
-        links, label = compare(key[0], np.array([r[1] for r in own]), [r[2] for r in own], [unpack(r[4]) for r in own], threshold)
+        own = [(*r[:4], unpack(r[4])) for r in own]
+        links, label = compare(key, own, threshold)
         ids = np.array([r[0] for r in own])
         good = np.flatnonzero((links > 0) | (label != np.arange(len(own))))
         return ids[good], ids[label[good]], links[good]
@@ -240,13 +293,13 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _counted(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's number of members."""
-    counts = members.groupBy(F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    """Members of buckets of two or more, with the bucket's number of members and of their shingles."""
+    counts = members.groupBy(F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).where("members > 1")
     return members.join(counts, F.col("node") == F.col("_n")).drop("_n")
 
 
 def _leaves(sets: DataFrame, threshold: float) -> DataFrame:
-    """node, k, members: the buckets in which sets are compared.
+    """node, k, members, shingles: the buckets in which sets are compared.
 
     Buckets of up to BUCKET sets, and larger ones whose sets are alike (their sketches begin with few different bytes), as splitting these
     would only repeat them. Others split by the sets' next choices; what is large and mixed after that splits by size, so that sets whose sizes allow
@@ -261,16 +314,16 @@ def _leaves(sets: DataFrame, threshold: float) -> DataFrame:
 
     first = materialize(_counted(sets.select(F.explode("nodes").alias("node"), "k", "size", head.alias("head")).distinct()), "cp-members")
     split = mixed(first)
-    leaves = first.join(split, F.col("node") == F.col("_m"), "left_anti").select("node", "k", "members")
+    leaves = first.join(split, F.col("node") == F.col("_m"), "left_anti").select("node", "k", "members", "shingles")
     if split.take(1):
         kids = sets.select("k", "size", head.alias("head"), F.explode(F.arrays_zip("nodes", "kids")).alias("x")).join(split, F.col("x.nodes") == F.col("_m"), "left_semi")
         second = materialize(_counted(kids.select(F.explode("x.kids").alias("node"), "k", "size", "head").distinct()), "cp-members")
         again = mixed(second)
-        leaves = leaves.unionByName(second.join(again, F.col("node") == F.col("_m"), "left_anti").select("node", "k", "members"))
+        leaves = leaves.unionByName(second.join(again, F.col("node") == F.col("_m"), "left_anti").select("node", "k", "members", "shingles"))
         if again.take(1):
             of_size = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold)).cast("long")
             third = second.join(again, F.col("node") == F.col("_m"), "left_semi").withColumn("_c", F.explode(F.array(of_size, of_size + 1)))
-            leaves = leaves.unionByName(_counted(third.select(F.xxhash64("node", "_c").alias("node"), "k").distinct()))
+            leaves = leaves.unionByName(_counted(third.select(F.xxhash64("node", "_c").alias("node"), "k", "size").distinct()).select("node", "k", "members", "shingles"))
     return leaves
 
 
@@ -294,26 +347,27 @@ def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     runs = runs_for(recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     sets = materialize(_sets(rows, threshold, runs), "cp-sets")
-    of_set = sets.groupBy("k").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("n_copies"))
+    # a set's text is that of one row: its id and its hash, as ids may be null or repeat
+    of_set = sets.groupBy("k").agg(F.min("doc_id").alias("_id"), F.min(F.struct("doc_id", "h")).alias("_row"), F.count(F.lit(1)).alias("n_copies"))
     leaf = materialize(_leaves(sets, threshold), "cp-leaves")
 
     lists = leaf.groupBy("k").agg(F.collect_list("node").alias("leaves"))
     about = lists.join(sets.select("k", "size", "sketch").dropDuplicates(["k"]), "k")
-    blocks = F.ceil(F.col("members") / F.when(F.col("members") > BUCKET, BLOCK).otherwise(F.col("members"))).cast("int")
+    blocks = F.when(F.col("members") > BUCKET, F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_TOKENS))).otherwise(1).cast("int")
     placed = leaf.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     placed = placed.select("node", "k", "block", F.least("block", "_other").cast("long").alias("left"), F.greatest("block", "_other").cast("long").alias("right"))
     worthy = materialize(_screened(placed.join(about, "k"), threshold), "cp-worthy")
 
     # one text for each set that is compared
-    needed = worthy.select("k").distinct().join(of_set, "k").select(F.col("k").alias("_k"), "_id")
-    texts = rows.hint("merge").join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("_k").alias("k"), "text")
+    needed = worthy.select("k").distinct().join(of_set, "k").select(F.col("k").alias("_k"), F.col("_row.doc_id").alias("_i"), F.col("_row.h").alias("_h"))
+    texts = rows.hint("merge").join(needed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select(F.col("_k").alias("k"), "text")
     tokens = materialize(_tokens(texts), "cp-tokens")
     links = materialize(_verified(worthy.join(lists, "k").join(tokens.withColumn("size", F.lit(0)), "k"), threshold), "cp-links")
 
     labels = components(links.select(F.col("k").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("k").agg(F.sum("links").alias("n_links"))
-    classes = of_set.join(labels.withColumnRenamed("node", "k"), "k", "left").join(counted, "k", "left")
+    classes = of_set.drop("_row").join(labels.withColumnRenamed("node", "k"), "k", "left").join(counted, "k", "left")
     classes = classes.withColumn("label", F.coalesce("label", "k"))
     first = classes.groupBy("label").agg(F.min("_id").alias("class_id"))
     classes = classes.join(first, "label").select(F.col("k").alias("_k"), "label", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").cast("long"))

@@ -12,13 +12,15 @@ __all__ = ["SPACES", "WORD", "arrow_batches", "hash_bucket", "materialize", "n_w
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; with texts of a few kB a batch is a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch, at most; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
 
 
 def arrow_batches(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches of texts small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small, whatever the length of texts. Both settings are the same for all operators, as Spark reads them when a job starts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

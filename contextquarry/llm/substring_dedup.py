@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from contextquarry.llm.common import arrow_batches, materialize
 from contextquarry.llm.fm_index import FMIndex
-from contextquarry.llm.rolling import mix, range_hashes, runs_of, window_minima, words_of
+from contextquarry.llm.rolling import bytes_of, mix, range_hashes, runs_of, window_minima, words_of
 
 WINDOW = 35
 #: Words of an anchor.
@@ -40,7 +40,7 @@ class Segments:
     """
 
     def __init__(self, column: pa.Array, window: int, hot: np.ndarray, only_hot: bool = False):
-        self.buffer, offsets = _bytes(column)
+        self.buffer, offsets = bytes_of(column)
         self.word_start, self.word_end, first_word = words_of(self.buffer, offsets)
         self.first_word = first_word
         hashes = range_hashes(self.buffer.astype(np.uint64), self.word_start, self.word_end)
@@ -83,15 +83,6 @@ class Segments:
         return self.buffer[self.word_start[first] : self.word_end[first + self.n[i] + window - 2]].tobytes()
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of binaries, and where each begins."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return whole[offsets[0] : offsets[-1]] if len(column) else whole[:0], offsets - offsets[0]
-
-
 def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a few MB of text each."""
     total = np.cumsum([len(t) if t is not None else 0 for t in batch.column(batch.schema.get_field_index("text"))] or [0]) if batch.nbytes > _PART else np.zeros(1)

@@ -75,50 +75,57 @@ class FactorizationMachine:
         return cls(a[1 : 1 + COLUMNS], float(a[0]), a[1 + COLUMNS : 1 + 2 * COLUMNS], a[1 + 2 * COLUMNS :].reshape(COLUMNS, -1))
 
 
-def fit(columns: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float = 0.15, absent: float = 2.0, decay: float = 0.01, batch: int = 128, least: int = 4) -> FactorizationMachine:
-    """Logistic loss, mini-batches in a fixed order.
+def fit(columns: list[np.ndarray], labels: np.ndarray, first: int = 15, joint: int = 8, rate: float = 1.0, pair_rate: float = 0.05, absent: float = 12.0, apart: float = 0.1, decay: float = 0.01, batch: int = 128, least: int = 4) -> FactorizationMachine:
+    """Logistic loss, mini-batches in a fixed order: `first` epochs of the linear part, and `joint` epochs of both parts.
 
-    Linear weights follow the regularised leader with an absolute penalty: a column that isn't needed has weight 0, and none is
-    below 0, else a long text's common words would outweigh an insult. Only columns with a weight have factors, with steps by the sums of their squared gradients. Columns of fewer than `least` documents are left out.
+    A column's presence weighs 1, or less if it is in more than a quarter of the documents. Linear weights of either sign follow the regularised leader
+    with an absolute penalty. Factors belong to all columns of at least one document in 50 (20 at least), whatever their linear weights; steps
+    go by the sums of squared gradients, and a penalty on the length of a column's factors ends at zero if its pairs tell nothing. Columns of fewer than `least` documents are left out.
     """
     n = len(labels)
     seen = np.bincount(np.concatenate([*columns, np.zeros(0, np.int64)]).astype(np.int64), minlength=COLUMNS)
     rng = np.random.default_rng(7)
     share = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-    fm = FactorizationMachine((seen >= least).astype(float), float(np.log(share / (1 - share))), np.zeros(COLUMNS), np.zeros((COLUMNS, FACTORS)))
+    scale = np.where(seen >= least, np.clip(np.log(max(n, 1) / np.maximum(seen, 1)) / np.log(4), 0, 1), 0)
+    fm = FactorizationMachine(scale, float(np.log(share / (1 - share))), np.zeros(COLUMNS), np.zeros((COLUMNS, FACTORS)))
     if n == 0 or labels.min() == labels.max():
         return fm  # nothing to tell apart: everything has the share of the label
-    start = rng.normal(0, 0.05, (COLUMNS, FACTORS))
+    paired = (seen >= max(20, n // 50)) & (scale > 0)
+    fm.factors[paired] = rng.normal(0, 0.02, (int(paired.sum()), FACTORS))
     lead, squares, factor_squares, bias_squares = np.zeros(COLUMNS), np.zeros(COLUMNS), np.zeros((COLUMNS, FACTORS)), 1.0
-    own_columns = [c[fm.scale[c] > 0] for c in columns]
-    for _ in range(epochs):
+    own_columns = [c[scale[c] > 0] for c in columns]
+    for epoch in range(first + joint):
         order = rng.permutation(n)
         for at in range(0, n, batch):
             own = order[at : at + batch]
             col = np.concatenate([own_columns[i] for i in own]).astype(np.int64)
             row = np.repeat(np.arange(len(own)), [len(own_columns[i]) for i in own])
-            active = fm.linear[col] != 0
-            c, r = col[active], row[active]
-            fresh = ~fm.factors[c].any(axis=1)
-            fm.factors[c[fresh]] = start[c[fresh]]
-            v = fm.factors[c]
-            sums = np.column_stack([np.bincount(r, v[:, f], len(own)) for f in range(FACTORS)])
-            z = fm.bias + np.bincount(row, fm.linear[col], len(own)) + 0.5 * ((sums**2).sum(1) - np.bincount(r, (v**2).sum(1), len(own)))
+            x = scale[col]
+            z = fm.bias + np.bincount(row, fm.linear[col] * x, len(own))
+            if epoch >= first:
+                many = paired[col]
+                c, r, w = col[many], row[many], x[many]
+                v = fm.factors[c] * w[:, None]
+                sums = np.column_stack([np.bincount(r, v[:, f], len(own)) for f in range(FACTORS)])
+                z += 0.5 * ((sums**2).sum(1) - np.bincount(r, (v**2).sum(1), len(own)))
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]
             bias_squares += error.sum() ** 2
             fm.bias -= rate * error.sum() / np.sqrt(bias_squares)
             found, place = np.unique(col, return_inverse=True)
-            grad = np.bincount(place, error[row], len(found))
+            grad = np.bincount(place, error[row] * x, len(found))
             step = (np.sqrt(squares[found] + grad**2) - np.sqrt(squares[found])) / rate
             lead[found] += grad - step * fm.linear[found]
             squares[found] += grad**2
-            fm.linear[found] = np.maximum(-lead[found] - absent, 0) / ((1 + np.sqrt(squares[found])) / rate + decay)
-            found, place = np.unique(c, return_inverse=True)
-            g = error[r][:, None] * (sums[r] - v)
-            g = np.column_stack([np.bincount(place, g[:, f], len(found)) for f in range(FACTORS)]) + decay * fm.factors[found]
-            factor_squares[found] += g**2
-            fm.factors[found] -= 0.3 * rate * g / np.sqrt(1 + factor_squares[found])
-    fm.factors[fm.linear == 0] = 0
+            fm.linear[found] = -np.sign(lead[found]) * np.maximum(np.abs(lead[found]) - absent, 0) / ((1 + np.sqrt(squares[found])) / rate + decay)
+            if epoch >= first:
+                found, place = np.unique(c, return_inverse=True)
+                g = (error[r] * w)[:, None] * (sums[r] - v)
+                g = np.column_stack([np.bincount(place, g[:, f], len(found)) for f in range(FACTORS)]) + decay * fm.factors[found]
+                factor_squares[found] += g**2
+                step = pair_rate / np.sqrt(1 + factor_squares[found])
+                new = fm.factors[found] - step * g
+                length = np.sqrt((new**2).sum(axis=1, keepdims=True))
+                fm.factors[found] = new * np.maximum(0, 1 - apart * step.mean(axis=1, keepdims=True) / np.maximum(length, 1e-12))
     return fm
 
 

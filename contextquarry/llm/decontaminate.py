@@ -10,7 +10,7 @@ from contextquarry.llm.common import SPACES, materialize
 WINDOW = 8
 #: Words of a window that are no slots, at least; for windows of fewer words, half of them.
 LITERALS = 4
-#: Share of an item's windows that a document must have, in one alignment.
+#: Share of an item's windows that a document must have, wherever they stand in it.
 COVERAGE = 0.25
 #: Benchmark windows that are broadcast at most (about 40 MB); more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -76,13 +76,27 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
     return every.join(sizes, F.col("item_id") == F.col("_i")).drop("_i")
 
 
+def _place(at: Column, shift: Column) -> Column:
+    return F.shiftleft(shift.cast("long"), 32) + at.cast("long")
+
+
+def _at(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _reach(places: str, first: Column | int, last: Column | int) -> Column:
+    """The places from `first` to `last` after each of a list, each once."""
+    whole = lambda c: c.cast("long") if isinstance(c, Column) else F.lit(c).cast("long")
+    return F.array_distinct(F.flatten(F.transform(places, lambda x: F.sequence(x + whole(first), x + whole(last)))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_matched, coverage, n_slots, reworded.
 
-    Windows of the documents' templates meet those of the items by hash. Matches of one document and item with the same distance of
-    positions are an alignment. It counts if it has the share `coverage` of the item's windows and its slots are consistent: equal
-    values of the item became equal values of the document, and different ones different. reworded: some value differs. The
-    alignment with most windows is reported.
+    Windows of the documents' templates meet those of the items by hash, at whatever distance of positions, so words put in between don't matter. Slots
+    have to be consistent: equal values of the item became equal values of the document, and different ones different. Where values conflict,
+    the pair of values that fills most slots stands, and windows that hold another one don't count. What is left must have the share `coverage` of
+    the item's windows. n_matched: these; n_slots: slots of the item in them; reworded: some value differs. Of repeated items or texts of an id, that with most windows is reported.
 
     Null and empty texts match nothing, nor do items of slots only. Repeated rows of a document give one result; null ids stay null. Items with a null id are
     left out, and of repeated item ids all texts count as one item's. Extra columns don't matter; empty tables give no rows.
@@ -93,7 +107,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def _alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The columns of leaks and h, the hash of the document's text: one row for each alignment that counts."""
+    """The columns of leaks and h, the hash of the document's text: one row for each document and item's text that count."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct()
     items = materialize(templates(items).select("item_id", F.xxhash64("text").alias("_t"), "plain", "slots", "heads"), "items")
     wanted = materialize(_item_windows(items.withColumn("item_id", F.struct("item_id", "_t")), window), "item-windows")
@@ -108,36 +122,50 @@ def _alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cov
         found = told.select("_id", "_h", F.posexplode(_keys(window)).alias("pos", "key"))
     small = F.broadcast(wanted) if n <= BROADCAST_WINDOWS else wanted
     met = found.join(small, "key").withColumn("shift", F.col("pos") - F.col("at"))
-    grouped = met.groupBy("_id", "_h", "item_id", "shift", "n_windows", "size").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    grouped = grouped.where(F.size("at") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * coverage)))
-    grouped = materialize(grouped, "alignments")
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("size") - 1))))
+    # a place is one long, (shift << 32) + position in the item: sets of longs are hashed, however often a document repeats an item
+    grouped = met.groupBy("_id", "_h", "item_id", "n_windows", "size").agg(F.collect_set(_place(F.col("at"), F.col("shift"))).alias("windows"))
+    enough = lambda windows: F.size(F.array_distinct(F.transform(windows, _at))) >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * coverage))
+    grouped = materialize(grouped.where(enough("windows")), "alignments")
     texts = items.select(F.struct("item_id", "_t").alias("item_id"), F.col("plain").alias("_plain"), F.col("slots").alias("_slots"))
-    grouped = grouped.withColumn("_covered", covered).join(texts, "item_id")
+    grouped = grouped.withColumn("_covered", _reach("windows", 0, F.col("size") - 1)).join(texts, "item_id")
     # rejoined at every size in the same way: matches may be many
     whole = rows.withColumnRenamed("_id", "_i").withColumnRenamed("_h", "_g")
-    own = whole.hint("merge").join(grouped, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h"))).dropDuplicates(["_id", "_h", "item_id", "shift"])
+    own = whole.hint("merge").join(grouped, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h"))).dropDuplicates(["_id", "_h", "item_id"])
     # written, so that words are split once per row and not in each step of the functions below
     own = materialize(own.withColumn("_words", _words(F.col("text"))).drop("text"), "aligned-words")
 
-    def pair(p: Column) -> Column:
-        word = F.get("_words", p + F.col("shift").cast("int"))
+    def pair(place: Column) -> Column:
+        word = F.get("_words", (_at(place) + F.shiftright(place, 32)).cast("int"))
         bare = F.btrim(F.lower(word), F.lit(PUNCTUATION))
-        return F.struct(F.get("_slots", p).alias("slot"), F.get("_plain", p).alias("item"), F.when(bare == "", word).otherwise(bare).alias("doc"))
+        p = _at(place).cast("int")
+        return F.struct(place.alias("place"), F.get("_slots", p).alias("slot"), F.get("_plain", p).alias("item"), F.when(bare == "", word).otherwise(bare).alias("doc"))
 
     filled = F.filter(F.transform("_covered", pair), lambda x: x["slot"].isin(NUMBER, UNIT, NAME))
-    own = own.select("_id", "_h", "item_id", "at", "n_windows", filled.alias("filled"))
-    side = lambda name: F.size(F.array_distinct(F.transform("filled", lambda x: F.struct(x["slot"], x[name]))))
-    pairs = F.size(F.array_distinct("filled"))
-    own = own.where((pairs == side("item")) & (pairs == side("doc")))
+    own = materialize(own.select("_id", "_h", "item_id", "windows", "size", "n_windows", filled.alias("filled")), "slots")
+    same = lambda a, b: (a["slot"] == b["slot"]) & (a["item"] == b["item"]) & (a["doc"] == b["doc"])
+    kinds = F.array_distinct(F.transform("filled", lambda x: F.struct(x["slot"], x["item"], x["doc"])))
+    counted = F.transform(kinds, lambda k: F.struct(k["slot"].alias("slot"), k["item"].alias("item"), k["doc"].alias("doc"), F.size(F.filter("filled", lambda x: same(x, k))).alias("n")))
+    own = own.withColumn("_kinds", counted)
+
+    def beats(o: Column, k: Column) -> Column:
+        conflict = (o["slot"] == k["slot"]) & ((o["item"] == k["item"]) != (o["doc"] == k["doc"]))
+        return conflict & ((o["n"] > k["n"]) | ((o["n"] == k["n"]) & ((o["item"] < k["item"]) | ((o["item"] == k["item"]) & (o["doc"] < k["doc"])))))
+
+    own = own.withColumn("_lost", F.filter("_kinds", lambda k: F.exists("_kinds", lambda o: beats(o, k))))
+    own = own.withColumn("_bad", F.filter("filled", lambda x: F.exists("_lost", lambda k: same(x, k)))["place"])
+    own = own.withColumn("windows", F.array_except("windows", _reach("_bad", 1 - F.col("size"), 0))).where(enough("windows"))
+    own = own.withColumn("_covered", _reach("windows", 0, F.col("size") - 1))
+    n = F.size(F.array_distinct(F.transform("windows", _at)))
+    slots = F.array_intersect(F.col("filled.place"), F.col("_covered"))
+    changed = F.filter("filled", lambda x: x["item"] != x["doc"])["place"]
     return own.select(
         F.col("_id").alias("doc_id"),
         F.col("_h").alias("h"),
         F.col("item_id.item_id").alias("item_id"),
-        F.size("at").cast("long").alias("n_matched"),
-        (F.size("at") / F.col("n_windows")).alias("coverage"),
-        F.size("filled").cast("long").alias("n_slots"),
-        F.exists("filled", lambda x: x["item"] != x["doc"]).alias("reworded"),
+        n.cast("long").alias("n_matched"),
+        (n / F.col("n_windows")).alias("coverage"),
+        F.size(F.array_distinct(F.transform(slots, _at))).cast("long").alias("n_slots"),
+        F.arrays_overlap(changed, F.col("_covered")).alias("reworded"),
     )
 
 
@@ -178,20 +206,25 @@ OP1_SQL = f"""
 WITH {_canon_sql("documents", "doc_id")}, {_canon_sql("benchmark", "item_id")},
 wanted AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM benchmark_windows WHERE key IS NOT NULL AND literals >= {LITERALS}),
 met AS (SELECT DISTINCT d.k AS doc_id, b.k AS item_id, d.i - b.i AS shift, b.i AS at, b.n FROM documents_windows d JOIN wanted b ON d.key = b.key),
-aligned AS (SELECT doc_id, item_id, shift, n, count(*) AS m FROM met GROUP BY ALL HAVING count(*) >= greatest(1, ceil(n * {COVERAGE}))),
+candidates AS (SELECT doc_id, item_id FROM met GROUP BY doc_id, item_id, n HAVING count(DISTINCT at) >= greatest(1, ceil(n * {COVERAGE}))),
 filled AS (
-  SELECT DISTINCT a.doc_id, a.item_id, a.shift, b.i, b.slot, b.plain AS item, d.plain AS doc
-  FROM aligned a JOIN benchmark_slots b ON b.k = a.item_id AND b.slot IN ('{NUMBER}', '{UNIT}', '{NAME}')
-  JOIN met ON met.doc_id = a.doc_id AND met.item_id = a.item_id AND met.shift = a.shift AND b.i BETWEEN met.at AND met.at + {WINDOW - 1}
-  JOIN documents_slots d ON d.k = a.doc_id AND d.i = b.i + a.shift),
-checked AS (
-  SELECT doc_id, item_id, shift, count(*) AS n_slots, bool_or(item <> doc) AS reworded, count(DISTINCT (slot, item, doc)) AS pairs,
-         count(DISTINCT (slot, item)) AS items, count(DISTINCT (slot, doc)) AS docs
-  FROM filled GROUP BY ALL),
-result AS (
-  SELECT a.doc_id, a.item_id, a.m AS n_matched, a.m / a.n AS coverage, coalesce(c.n_slots, 0) AS n_slots, coalesce(c.reworded, false) AS reworded
-  FROM aligned a LEFT JOIN checked c ON c.doc_id = a.doc_id AND c.item_id = a.item_id AND c.shift = a.shift
-  WHERE c.doc_id IS NULL OR (pairs = items AND pairs = docs))
-SELECT doc_id, item_id, n_matched, round(coverage, 6) AS coverage, n_slots, reworded FROM result
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, coverage DESC, n_slots DESC, reworded) = 1
+  SELECT DISTINCT m.doc_id, m.item_id, m.shift, b.i, b.slot, b.plain AS item, d.plain AS doc
+  FROM met m JOIN candidates c ON c.doc_id = m.doc_id AND c.item_id = m.item_id
+  JOIN benchmark_slots b ON b.k = m.item_id AND b.slot IN ('{NUMBER}', '{UNIT}', '{NAME}') AND b.i BETWEEN m.at AND m.at + {WINDOW - 1}
+  JOIN documents_slots d ON d.k = m.doc_id AND d.i = b.i + m.shift),
+kinds AS (SELECT doc_id, item_id, slot, item, doc, count(*) AS n FROM filled GROUP BY ALL),
+lost AS (
+  SELECT k.* FROM kinds k WHERE EXISTS (
+    SELECT 1 FROM kinds o WHERE o.doc_id = k.doc_id AND o.item_id = k.item_id AND o.slot = k.slot AND (o.item = k.item) <> (o.doc = k.doc)
+    AND (o.n > k.n OR (o.n = k.n AND (o.item < k.item OR (o.item = k.item AND o.doc < k.doc)))))),
+bad AS (SELECT f.* FROM filled f JOIN lost l ON l.doc_id = f.doc_id AND l.item_id = f.item_id AND l.slot = f.slot AND l.item = f.item AND l.doc = f.doc),
+kept AS (
+  SELECT m.* FROM met m JOIN candidates c ON c.doc_id = m.doc_id AND c.item_id = m.item_id
+  WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.doc_id = m.doc_id AND b.item_id = m.item_id AND b.shift = m.shift AND b.i BETWEEN m.at AND m.at + {WINDOW - 1})),
+counts AS (SELECT doc_id, item_id, n, count(DISTINCT at) AS n_matched FROM kept GROUP BY ALL HAVING count(DISTINCT at) >= greatest(1, ceil(n * {COVERAGE}))),
+slots AS (
+  SELECT f.doc_id, f.item_id, count(DISTINCT f.i) AS n_slots, bool_or(f.item <> f.doc) AS reworded FROM filled f
+  WHERE EXISTS (SELECT 1 FROM kept m WHERE m.doc_id = f.doc_id AND m.item_id = f.item_id AND m.shift = f.shift AND f.i BETWEEN m.at AND m.at + {WINDOW - 1}) GROUP BY ALL)
+SELECT c.doc_id, c.item_id, c.n_matched, round(c.n_matched / c.n, 6) AS coverage, coalesce(s.n_slots, 0) AS n_slots, coalesce(s.reworded, false) AS reworded
+FROM counts c LEFT JOIN slots s ON s.doc_id = c.doc_id AND s.item_id = c.item_id
 """

@@ -21,6 +21,19 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The positions of the ones with the numbers k, from 0."""
+        word = np.searchsorted(self.before, k, side="right") - 1
+        rest, bits, at = k - self.before[word], self.words[word], word << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            low = bits & np.uint64((1 << width) - 1)
+            count = np.bitwise_count(low).astype(np.int64)
+            above = rest >= count
+            rest, at = rest - count * above, at + width * above
+            bits = np.where(above, bits >> np.uint64(width), low)
+        return at
+
+
 class WaveletTree:
     """The levels of a sequence's bits, highest first, each sorted stably by the bits above: rank in as many steps as bits."""
 
@@ -44,17 +57,17 @@ class WaveletTree:
 class FMIndex:
     """An index of texts (arrays of symbols from 1 on) for patterns of up to `depth` symbols.
 
-    Suffixes are sorted by their first 2 ** r >= depth symbols, which fixes the interval of every pattern that is searched
-    here. A zero ends each text; patterns hold none.
+    Suffixes are sorted by their first 2 ** r >= depth symbols. Kept are the wavelet tree of the symbols before them, for each length up to depth a bit vector of
+    the suffixes that differ from the one before within that length, and one of the suffixes of texts of weight 2 (the others weigh 1). A zero ends each text; patterns hold none.
     """
 
     def __init__(self, texts: list[np.ndarray], weights: np.ndarray, depth: int):
-        ends = np.cumsum([len(t) + 1 for t in texts])
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
         n = int(ends[-1]) if len(texts) else 0
         symbols = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends - 1] = False
-        symbols[inside] = np.concatenate(texts)
+        symbols[inside] = np.concatenate([*texts, np.zeros(0, np.int64)])
         self.size, self.depth = n, depth
         rank, have, ranks = symbols, 1, {1: symbols}
         while have < depth:
@@ -62,21 +75,20 @@ class FMIndex:
             have *= 2
             ranks[have] = rank
         order = np.argsort(rank, kind="stable")
-        # where the first depth - 1 symbols differ from the row before
-        lead, left, at = np.arange(n) == 0, depth - 1, 0
+        # how many symbols a suffix shares with the one before it, up to depth: widths from the longest on, while ranks are equal
+        shared = np.zeros(n, np.int64)
         for width in sorted(ranks, reverse=True):
-            while width <= left:
-                part = self._shifted(ranks[width], at)[order]
-                lead[1:] |= part[1:] != part[:-1]
-                at, left = at + width, left - width
-        begins = np.flatnonzero(lead)
-        self.group = np.cumsum(lead) - 1
-        self.begin, self.end = begins, np.concatenate([begins[1:], [n]])
+            a, b = order[1:] + shared[1:], order[:-1] + shared[1:]
+            good = np.flatnonzero((a < n) & (b < n))
+            equal = good[ranks[width][a[good]] == ranks[width][b[good]]]
+            shared[1 + equal] += width
+        shared[:1] = -1
+        self.differs = [Bits(shared < length) for length in range(1, depth + 1)]
         before = symbols[order - 1]  # the last text ends in a zero
-        self.tree = WaveletTree(before, int(symbols.max(initial=0)))
+        self.largest = int(symbols.max(initial=0))
+        self.tree = WaveletTree(before, self.largest)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols))])
-        weight = np.repeat(weights, [len(t) + 1 for t in texts])
-        self.weight = np.concatenate([[0], np.cumsum(weight[order])])
+        self.heavy = Bits((np.repeat(weights, [len(t) + 1 for t in texts]) > 1)[order]) if n else Bits(np.zeros(0, bool))
 
     @staticmethod
     def _shifted(rank: np.ndarray, by: int) -> np.ndarray:
@@ -91,34 +103,59 @@ class FMIndex:
         return new
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of the patterns with one more symbol in front."""
-        _, a, b = self.tree.rank(symbol, low, high)
-        return self.first[symbol] + a, self.first[symbol] + b
-
-    def matching(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text and each start of `depth` of its symbols: the weight of all places where they stand in the index.
-
-        The texts are read from their ends, all in step. An interval of `depth` symbols is widened to that of the first
-        depth - 1, and extended by the symbol in front. The texts must be among those of the index.
+        """The intervals of the patterns with one more symbol in front; empty for symbols that the index doesn't have."""
+        known = (symbol > 0) & (symbol <= self.largest)
+        own = np.where(known, symbol, 0)
+        _, a, b = self.tree.rank(own, low, high)
+        return self.first[own] + a, self.first[own] + np.where(known, b, a)
+
+    def shorten(self, length: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the patterns' first `length` symbols, the same for all with that length."""
+        low, high = low.copy(), high.copy()
+        for k in np.unique(length):
+            own = np.flatnonzero(length == k)
+            if k == 0:
+                low[own], high[own] = 0, self.size
+                continue
+            bits, ones = self.differs[k - 1], self.size - self.differs[k - 1].zeros
+            group = bits.ones(low[own] + 1) - 1
+            low[own] = bits.select(group)
+            last = group + 1 >= ones
+            high[own] = np.where(last, self.size, bits.select(np.minimum(group + 1, ones - 1)))
+        return low, high
+
+    def weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return high - low + self.heavy.ones(high) - self.heavy.ones(low)
+
+    def matching(self, texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The matching statistics of any texts: for each start, how many symbols from there on stand somewhere in the index, up to depth, and the weight of all places where they do.
+
+        The texts are read from their ends, all in step. Where no place has one more symbol in front, the pattern loses symbols at its end until one
+        has, or none is left.
         """
-        size = np.array([len(t) for t in texts])
-        found = [np.zeros(max(0, k - self.depth + 1), np.int64) for k in size]
-        flat, starts = np.concatenate(texts), np.concatenate([[0], np.cumsum(size)])
-        out = np.zeros(int(starts[-1]), np.int64)
-        own = np.flatnonzero(size >= self.depth)
-        low, high = np.zeros(len(own), np.int64), np.full(len(own), self.size, np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
+        flat, starts = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
+        lengths, weights = np.zeros(int(starts[-1]), np.int64), np.zeros(int(starts[-1]), np.int64)
+        own = np.flatnonzero(size > 0)
+        low, high, length = np.zeros(len(own), np.int64), np.full(len(own), self.size, np.int64), np.zeros(len(own), np.int64)
         for step in range(int(size.max(initial=0))):
             on = size[own] > step
-            own, low, high = own[on], low[on], high[on]
-            if not len(own):
-                break
+            own, low, high, length = own[on], low[on], high[on], length[on]
             place = starts[own] + size[own] - 1 - step
-            if step >= self.depth:
-                group = self.group[low]
-                low, high = self.begin[group], self.end[group]
-            low, high = self.extend(flat[place], low, high)
-            if step >= self.depth - 1:
-                out[place] = self.weight[high] - self.weight[low]
-        for i in np.flatnonzero(size >= self.depth):
-            found[i] = out[starts[i] : starts[i + 1] - self.depth + 1]
-        return found
+            full = np.flatnonzero(length == self.depth)
+            length[full] -= 1
+            low[full], high[full] = self.shorten(length[full], low[full], high[full])
+            todo = np.arange(len(own))
+            while len(todo):
+                a, b = self.extend(flat[place[todo]], low[todo], high[todo])
+                found = a < b
+                good, rest = todo[found], todo[~found]
+                low[good], high[good] = a[found], b[found]
+                length[good] += 1
+                todo = rest[length[rest] > 0]
+                length[todo] -= 1
+                low[todo], high[todo] = self.shorten(length[todo], low[todo], high[todo])
+            lengths[place] = length
+            some = length > 0
+            weights[place[some]] = self.weight(low[some], high[some])
+        return [(lengths[a:b], weights[a:b]) for a, b in zip(starts, starts[1:], strict=False)]

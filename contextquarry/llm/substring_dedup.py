@@ -153,8 +153,8 @@ def _search(rows: DataFrame, window: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             ids: dict[bytes, int] = {}
             coded = [np.fromiter((ids.setdefault(w, len(ids) + 1) for w in t.split()), np.int64) for t in texts]
-            index = FMIndex(coded, np.array(weights, np.int64), window)
-            masks = [int(np.bitwise_or.reduce(np.where(c > 1, np.int64(1) << np.arange(len(c)), 0), initial=0)) for c in index.matching(coded)]
+            index = FMIndex(coded, np.minimum(weights, 2), window)
+            masks = [int(np.bitwise_or.reduce(np.int64(1) << np.flatnonzero((n == window) & (w > 1)), initial=0)) for n, w in index.matching(coded)]
             out = [[k[0] for k in keys], [k[1] for k in keys], masks]
             for x in (keys, weights, texts):
                 x.clear()

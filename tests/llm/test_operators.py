@@ -58,17 +58,24 @@ def test_substring_dedup(odd, empty, rows):
     assert not substring_dedup.remove_repeats(empty).collect()
 
 
-def test_fm_index_counts_windows():
+def test_fm_index_gives_matching_statistics():
     rng = np.random.default_rng(1)
     for depth in (1, 2, 5, 35):
-        texts = [rng.integers(1, 3, rng.integers(1, 90)) for _ in range(30)]
+        texts = [rng.integers(1, 4, rng.integers(0, 90)) for _ in range(30)]
         weights = rng.integers(1, 3, 30)
         count = Counter()
         for t, w in zip(texts, weights, strict=True):
-            for i in range(len(t) - depth + 1):
-                count[tuple(t[i : i + depth])] += w
-        for t, got in zip(texts, FMIndex(texts, weights, depth).matching(texts), strict=True):
-            assert got.tolist() == [count[tuple(t[i : i + depth])] for i in range(len(t) - depth + 1)]
+            for n in range(1, depth + 1):
+                for i in range(len(t) - n + 1):
+                    count[tuple(t[i : i + n])] += w
+        # the texts themselves, and documents that the index doesn't hold, with symbols that it doesn't know
+        foreign = [rng.integers(1, 6, rng.integers(0, 60)) for _ in range(10)] + [np.concatenate([texts[3][5:40], [9], texts[4]]), np.array([7, 7])]
+        index = FMIndex(texts, weights, depth)
+        for t, (lengths, found) in zip([*texts, *foreign], index.matching([*texts, *foreign]), strict=True):
+            for i in range(len(t)):
+                n = max((k for k in range(min(depth, len(t) - i) + 1) if k == 0 or count[tuple(t[i : i + k])]), default=0)
+                assert (lengths[i], found[i]) == (n, count[tuple(t[i : i + n])] if n else 0)
+    assert FMIndex([], np.zeros(0, int), 3).matching([np.array([1, 2])])[0][0].tolist() == [0, 0]
 
 
 def brute_classes(rows):
@@ -218,13 +225,47 @@ def test_decontamination(spark, odd, empty):
     bench = spark.createDataFrame([(7, item, 1), (8, "one two three four", 1), (None, item, 1), (9, None, 1)], "item_id long, text string, key int")
     docs = spark.createDataFrame([*rows, (10, "zero one two three four five")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.reworded for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 7): False, (2, 7): True, (10, 8): False}
-    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5, 6}
+    assert got == {(1, 7): False, (2, 7): True, (3, 7): False, (10, 8): False}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {4, 5, 6}
     clean = decontaminate.clean_documents(odd, bench)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     assert not decontaminate.leaks(empty, bench).collect() and not decontaminate.leaks(docs, bench.limit(0)).collect()
 
 
+def brute_leaks(doc, item, window=8, coverage=0.25):
+    """n_matched, n_slots, reworded of plain words in small letters and numbers."""
+    number = re.compile("[0-9]+")
+    a, b = item.split(), doc.split()
+    slot = lambda w: "#" if number.fullmatch(w) else w
+    windows = [i for i in range(len(a) - window + 1) if sum(slot(w) != "#" for w in a[i : i + window]) >= 4]
+    met = {(i, j - i) for i in windows for j in range(len(b) - window + 1) if [slot(w) for w in a[i : i + window]] == [slot(w) for w in b[j : j + window]]}
+    places = {(p, s) for i, s in met for p in range(i, i + window) if slot(a[p]) == "#"}
+    n = Counter((a[p], b[p + s]) for p, s in places)
+    lost = {x for x in n for y in n if x != y and (x[0] == y[0] or x[1] == y[1]) and (-n[y], y) < (-n[x], x)}
+    bad = {(p, s) for p, s in places if (a[p], b[p + s]) in lost}
+    kept = {(i, s) for i, s in met if not any((p, s) in bad for p in range(i, i + window))}
+    if len({i for i, _ in kept}) < max(1, coverage * len(windows)):
+        return None
+    left = {(p, s) for i, s in kept for p in range(i, i + window)} & places
+    return len({i for i, _ in kept}), len({p for p, _ in left}), any(a[p] != b[p + s] for p, s in left)
+
+
+def test_decontamination_is_brute_force(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: str(rng.integers(1, 5)) if rng.random() < 0.25 else "abcdefghijklmnop"[rng.integers(0, 16)] * 3
+    items = [" ".join(word() for _ in range(int(rng.integers(9, 60)))) for _ in range(12)]
+    docs = []
+    for i in range(90):
+        own = items[i % 12].split()
+        for _ in range(int(rng.integers(0, 6))):  # put words in, leave some out, change numbers
+            at = int(rng.integers(0, len(own)))
+            own[at : at + 1] = [[word(), own[at]], [], [str(rng.integers(1, 5)) if own[at].isdigit() else own[at]]][int(rng.integers(0, 3))]
+        docs.append(" ".join([*(word() for _ in range(9)), *own, *(own if i % 9 == 0 else [])]))
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = {(i, j): x for i, d in enumerate(docs) for j, item in enumerate(items) if (x := brute_leaks(d, item))}
+    assert {(r.doc_id, r.item_id): (r.n_matched, r.n_slots, r.reworded) for r in found} == want and len(want) > 50
+
+
 def test_clean_documents_by_content(spark):
     item = "every morning the old miller walked along the river and counted seven grey herons near the broken wooden bridge"
     rows = [(None, f"Before it. {item} and after it."), (None, "a clean text without any id"), (1, item), (1, "another text of the same id"), (2, "clean too"), (None, None)]
@@ -265,20 +306,88 @@ def test_best_fit_is_best_fit():
 
 def test_quality(spark, sf, odd, empty):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = quality.classify(docs, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    trusted = labels.where("quality = 1").select("doc_id")
+    got = quality.classify(docs, trusted).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     share = dict(map(tuple, got))
     assert share[1] > 0.97 and share[0] < 0.3
     trusted = odd.select("doc_id").where("doc_id < 4")
     assert quality.classify(odd, trusted).count() == odd.count()
     assert quality.good_documents(odd, trusted).columns == odd.columns
     assert quality.classify(odd, trusted.limit(0)).where("kept").count() == odd.count()
-    assert not quality.classify(empty, trusted).collect()
-
-
-def test_kneser_ney_sums_to_one(spark):
-    model = quality.train(spark.createDataFrame([("abc abd abc xyz",), (None,), ("aa bb",)], "text string"))
-    p = np.exp(model.log_p.astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
+    assert not quality.classify(empty, trusted).collect() and not quality.good_documents(empty, trusted).collect()
+
+
+def tokens_in_place(text):
+    """Each word with its place: after the end of a sentence, or not."""
+    words = split(text)
+    return [(quality.FIRST if i == 0 or words[i - 1][-1] in ".!?:" else quality.WITHIN, w) for i, w in enumerate(words)]
+
+
+def brute_word_costs(fit_texts, texts):
+    """-log of the probability of each text's words, by dictionaries and recursion."""
+    table = quality.symbol_table()
+    seen = Counter(t for x in fit_texts for t in tokens_in_place(x))
+
+    def path(token):
+        place, word = token
+        return [quality.PAD] * (quality.ORDER - 2) + [quality.PAD if place == quality.FIRST else quality.WORD_END] + [int(table[ord(c)]) for c in word] + [quality.WORD_END]
+
+    grams = {quality.ORDER: Counter(tuple(p[i - quality.ORDER + 1 : i + 1]) for p in map(path, seen) for i in range(quality.ORDER - 1, len(p)))}
+    for k in range(quality.ORDER - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    sizes = lambda values: [sum(v == i for v in values) for i in (1, 2, 3, 4)]
+    cut = {k: (0.0, *quality.discounts(*sizes(g.values()))) for k, g in grams.items()}
+
+    def p(k, gram):
+        if k == 0:
+            return 1 / quality.SYMBOLS
+        own = {g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}
+        lower = p(k - 1, gram[1:])
+        if not own:
+            return lower
+        total, n = sum(own.values()), own.get(gram, 0)
+        return (n - cut[k][min(n, 3)] + sum(cut[k][min(x, 3)] for x in own.values()) * lower) / total
+
+    def cost(token):
+        steps = path(token)
+        spelled = np.prod([p(quality.ORDER, tuple(steps[i - quality.ORDER + 1 : i + 1])) for i in range(quality.ORDER - 1, len(steps))])
+        own = {t: n for t, n in seen.items() if t[0] == token[0]}
+        if not own:
+            return -np.log(spelled)
+        c = (0.0, *quality.discounts(*sizes(own.values())))
+        total, n = sum(own.values()), own.get(token, 0)
+        return -np.log((n - c[min(n, 3)] + sum(c[min(x, 3)] for x in own.values()) * spelled) / total)
+
+    return [sum(map(cost, tokens_in_place(x))) for x in texts]
+
+
+def test_quality_is_kneser_ney(spark, monkeypatch):
+    texts = ["The cat saw the dog. The dog saw a cat.", "A dog! The end: no cat", "cat cat cat  Dog's 12 cats", "日本語 のテキスト です。 cat", "", None, "the\tcat\nsat  on Łódź", "unseen wörds ONLY"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 3)], "doc_id long")
+    got = sorted(quality.score_documents(docs, trusted).collect(), key=lambda r: r.doc_id)
+    fit = [texts[r.doc_id] for r in got if r.role == 1]
+    assert fit and [r.nll for r in got] == pytest.approx(brute_word_costs(fit, texts), rel=1e-5)
+    assert [(r.n_words, r.n_chars) for r in got] == [(len(split(t)), sum(len(w) + 1 for w in split(t))) for t in texts]
+
+
+def test_quality_reads_long_texts_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 50, 3000))
+    docs = spark.createDataFrame([(1, long, None), (2, long, None), (3, "w1 w2", "x")], "doc_id long, text string, lang string").coalesce(1)
+    none = docs.select("doc_id").limit(0)
+    want = {r.doc_id: (r.n_words, r.n_chars, round(r.nll)) for r in quality.score_documents(docs, none).collect()}
+    found = [x for first, part, ends in quality._parts(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)])) for x in split(part.tobytes().decode())]
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 700)
+    parts = [split(part.tobytes().decode()) for _, part, _ in quality._parts(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))]
+    assert len(parts) > 10 and [x for p in parts for x in p] == found == split(long)
+    assert want[1] == want[2] and want[1][0] == 3000
+
+
+def test_spelling_sums_to_one(spark):
+    words = [bytes([p]) + w.encode() for p, w in ((quality.FIRST, "abc"), (quality.WITHIN, "abd"), (quality.WITHIN, "xyz"), (quality.FIRST, "aa"))]
+    log_p = quality.spelling(spark.createDataFrame([(bytearray(w),) for w in words], "word binary"))
+    assert np.allclose(np.exp(log_p.astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1), 1, atol=1e-4)
 
 
 def test_toxicity(spark, sf, odd, empty):
@@ -292,14 +401,43 @@ def test_toxicity(spark, sf, odd, empty):
     assert not toxicity.toxicity(empty, few).collect()
 
 
-def test_pairs_matter_to_the_machine():
+def machine_data(label, rows=4000, fill=50):
+    """Rows of columns 1 and 2, each by chance, and others; labelled by what is known of the two."""
     rng = np.random.default_rng(6)
     columns, labels = [], []
-    for _ in range(1500):
+    for _ in range(rows):
         a, b = rng.integers(0, 2, 2)
-        columns.append(np.array(sorted(([1] if a else []) + ([2] if b else []) + list({*rng.integers(10, 40, 4).tolist()}))))
-        labels.append(float(a and b))
-    fm = toxicity.fit(columns, np.array(labels))
-    begin = np.array([0, 1, 2, 4])
-    one, two, both = fm.margin(np.array([1, 2, 1, 2]), begin)
+        columns.append(np.unique(np.array([*([1] if a else []), *([2] if b else []), *rng.integers(10, 10 + fill, 5)])))
+        labels.append(float(label(a, b)))
+    return columns, np.array(labels)
+
+
+def test_pairs_matter_to_the_machine():
+    fm = toxicity.fit(*machine_data(lambda a, b: a and b))
+    one, two, both = fm.margin(np.array([1, 2, 1, 2]), np.array([0, 1, 2, 4]))
     assert both > 0 > max(one, two)
+
+
+def test_terms_that_tell_nothing_alone():
+    """Whether two terms agree: neither says anything by itself, so only their interaction can be learnt."""
+    columns, labels = machine_data(lambda a, b: a == b)
+    fm = toxicity.fit(columns, labels)
+    begin = np.concatenate([[0], np.cumsum([len(c) for c in columns])])
+    right = (fm.margin(np.concatenate(columns), begin) > 0) == labels
+    assert right.mean() > 0.95
+    fm.factors[:] = 0
+    right = (fm.margin(np.concatenate(columns), begin) > 0) == labels
+    assert right.mean() < 0.8
+
+
+def test_margin_is_the_double_sum():
+    rng = np.random.default_rng(9)
+    fm = toxicity.FactorizationMachine(rng.random(toxicity.COLUMNS), 0.3, rng.normal(size=toxicity.COLUMNS), rng.normal(size=(toxicity.COLUMNS, toxicity.FACTORS)))
+    rows = [np.unique(rng.integers(0, toxicity.COLUMNS, n)) for n in (0, 1, 2, 9)]
+    want = []
+    for own in rows:
+        x = fm.scale[own]
+        z = fm.bias + x @ fm.linear[own]
+        z += sum(fm.factors[own[i]] @ fm.factors[own[j]] * x[i] * x[j] for i in range(len(own)) for j in range(i))
+        want.append(z)
+    assert fm.margin(np.concatenate(rows).astype(int), np.concatenate([[0], np.cumsum([len(r) for r in rows])])) == pytest.approx(want)

@@ -365,9 +365,11 @@ def test_quality_is_kneser_ney(spark, monkeypatch):
     texts = ["The cat saw the dog. The dog saw a cat.", "A dog! The end: no cat", "cat cat cat  Dog's 12 cats", "日本語 のテキスト です。 cat", "", None, "the\tcat\nsat  on Łódź", "unseen wörds ONLY"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
     trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 3)], "doc_id long")
-    got = sorted(quality.score_documents(docs, trusted).collect(), key=lambda r: r.doc_id)
-    fit = [texts[r.doc_id] for r in got if r.role == 1]
-    assert fit and [r.nll for r in got] == pytest.approx(brute_word_costs(fit, texts), rel=1e-5)
+    for head in (quality.HEAD, 3):  # all words that are known are common ones; few are
+        monkeypatch.setattr(quality, "HEAD", head)
+        got = sorted(quality.score_documents(docs, trusted).collect(), key=lambda r: r.doc_id)
+        fit = [texts[r.doc_id] for r in got if r.role == 1]
+        assert fit and [r.nll for r in got] == pytest.approx(brute_word_costs(fit, texts), rel=1e-5)
     assert [(r.n_words, r.n_chars) for r in got] == [(len(split(t)), sum(len(w) + 1 for w in split(t))) for t in texts]
 
 

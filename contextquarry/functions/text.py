@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where an identifier's parts meet: underscores, case and digit changes.
+#: Where an identifier's parts meet, at underscores and changes of case or to and from digits.
 BOUNDARY = "_|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])"
+#: Whether a word has such a place: most words of a text have none, and aren't cut.
+BOUNDED = "_|[a-z][A-Z0-9]|[0-9][a-z]|[A-Z][A-Z][a-z]"
 TIERS = ("full", "skeleton", "signature")
 
 
@@ -27,7 +29,7 @@ def tokens(text: Column) -> Column:
     def parts(word: Column) -> Column:
         whole = F.lower(word)
         own = F.filter(F.transform(F.split(word, BOUNDARY), F.lower), lambda p: (p != "") & (p != F.lower(word)))
-        return F.concat(F.array(whole), own)
+        return F.when(word.rlike(BOUNDED), F.concat(F.array(whole), own)).otherwise(F.array(whole))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), parts))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextquarry.functions.text import tokenize, tokens
+from contextquarry.scratch import materialize
+from contextquarry.session import spread
 
 K1, B = 1.5, 0.75
 NAME_WEIGHT, TEXT_WEIGHT = 3.0, 1.0
@@ -31,15 +33,18 @@ def _counts(found: Column, wanted: Column) -> Column:
 
 
 def frequencies(symbols: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
-    """Add len_<field> and tf_<field> (how often each term occurs): one pass, no shuffle."""
+    """Add len_<field> and tf_<field> (how often each term occurs): one pass, no shuffle but to spread a small scan. Only tokens that are terms are counted."""
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    symbols = spread(symbols)
     for f in fields:
         symbols = symbols.withColumn(f"_t_{f}", tokens(FIELDS[f]()))
+    for f in fields:
+        asked = F.filter(f"_t_{f}", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+        symbols = symbols.withColumn(f"len_{f}", F.size(f"_t_{f}").cast("long")).withColumn(f"_q_{f}", asked)
     out = symbols
     for f in fields:
-        found = F.col(f"_t_{f}")
-        out = out.withColumn(f"len_{f}", F.size(found).cast("long")).withColumn(f"tf_{f}", _counts(found, wanted))
-    return out.drop(*(f"_t_{f}" for f in fields))
+        out = out.withColumn(f"tf_{f}", _counts(F.col(f"_q_{f}"), wanted))
+    return out.drop(*(f"_{x}_{f}" for f in fields for x in "tq"))
 
 
 def statistics(counted: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
@@ -64,14 +69,27 @@ def field_score(field: str, places: list[int]) -> Column:
     return reduce(lambda a, b: a + b, map(term, places), F.lit(0.0))
 
 
-def scores(symbols: DataFrame, tasks: dict[int, str], fielded: bool = True, keep: tuple[str, ...] = ("repo", "ord", "id")) -> DataFrame:
-    """request_id, the kept columns, name_score and text_score (or single_score), and score, for every symbol and task."""
+def scores(symbols: DataFrame, tasks: dict[int, str], fielded: bool = True, keep: tuple[str, ...] = ("repo", "ord", "id"), repos: dict[int, str] | None = None) -> DataFrame:
+    """request_id, the kept columns, name_score and text_score (or single_score), and score, for every symbol and task.
+
+    repos: the repo of each task; its other symbols get no row. Without it all do. What is counted is written once, a few longs a
+    row, and read for the statistics and for the scores. No tasks, no rows.
+    """
     fields = ["name", "text"] if fielded else ["single"]
     terms, places = query_terms(tasks)
     counted = frequencies(symbols, terms, fields).select(*keep, *(f"{p}_{f}" for f in fields for p in ("len", "tf")))
+    if tasks:
+        counted = materialize(counted, "bm25-counted")
     joined = counted.join(statistics(counted, terms, fields).withColumnRenamed("repo", "_repo"), F.col("repo") == F.col("_repo")).drop("_repo")
-    each = [F.struct(F.lit(k).cast("long").alias("request_id"), *(field_score(f, own).alias(f"{f}_score") for f in fields)) for k, own in places.items()]
-    flat = joined.select(*keep, F.explode(F.array(*each)).alias("s")).select(*keep, "s.*")
+    each = {k: F.struct(F.lit(k).cast("long").alias("request_id"), *(field_score(f, own).alias(f"{f}_score") for f in fields)) for k, own in places.items()}
+    none = F.array().cast(f"array<struct<request_id:long,{','.join(f'{f}_score:double' for f in fields)}>>")
+    if repos is None:
+        asked = F.array(*each.values()) if each else none
+    else:
+        asked = none
+        for repo in dict.fromkeys(repos[k] for k in each):
+            asked = F.when(F.col("repo") == repo, F.array(*(x for k, x in each.items() if repos[k] == repo))).otherwise(asked)
+    flat = joined.select(*keep, F.explode(asked).alias("s")).select(*keep, "s.*")
     total = NAME_WEIGHT * F.col("name_score") + TEXT_WEIGHT * F.col("text_score") if fielded else F.col("single_score")
     return flat.withColumn("score", total)
 

@@ -6,8 +6,11 @@ Each file is parsed inside a task, by the standard library's ast; what it says o
 from __future__ import annotations
 
 import ast
+import itertools
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,8 +22,10 @@ from contextquarry.scratch import materialize
 
 MODULE = "<module>"
 SYMBOL = "file string, ord long, kind string, name string, qualname string, line_start long, line_end long, signature string, doc_first string, doc_rest string, body string"
-#: A reference: owner uses a dotted name, or (module set) imports name from it. rel: levels of a relative import.
-REF = "file string, owner string, kind string, name string, module string, rel long, alias string, direct boolean"
+_SYMBOL_NAMES = [x.split()[0] for x in SYMBOL.split(", ")]
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: A reference: owner uses a dotted name, or (module set) imports name from it. rel: levels of a relative import; at: its place in the file.
+REF = "file string, owner string, kind string, name string, module string, rel long, alias string, at long"
 PARSED = f"symbols array<struct<{', '.join(x.replace(' ', ':') for x in SYMBOL.split(', '))}>>, refs array<struct<{', '.join(x.replace(' ', ':') for x in REF.split(', '))}>>, error string"
 
 
@@ -54,114 +59,129 @@ def package_root(root: str) -> str:
     return os.path.join(root, found[0])
 
 
-class _File:
-    """Symbols and references of one file, as plain rows."""
+@dataclass(frozen=True)
+class Definition:
+    """A symbol before its texts: what it is called, the node, and its body's spans of bytes; head is the span of its signature."""
+
+    kind: str
+    name: str
+    qualname: str
+    node: ast.AST
+    first_line: int
+    last_line: int
+    head: tuple[int, int] = (0, 0)
+    body: tuple[tuple[int, int], ...] = ()
+
+
+class Source:
+    """A file's bytes and its tree. Places of the tree (line, column in bytes) become offsets, so every text is one slice."""
 
     def __init__(self, file: str, content: str):
-        self.file, self.lines = file, content.encode().split(b"\n")
-        self.symbols: list[dict] = []
-        self.refs: list[dict] = []
-        tree = ast.parse(content)
-        short = file.rsplit("/", 1)[-1]
-        self._symbol("module", file.split("/")[-2] if short == "__init__.py" else short[:-3], MODULE, tree, 1, len(self.lines), "", "")
-        self._body(tree.body, MODULE)
-        for node in tree.body:
-            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                self._function(node, node.name, "func")
+        self.file, self.raw, self.tree = file, content.encode("utf-8", "surrogatepass"), ast.parse(content)
+        self.line_at = [0, *(m.end() for m in re.finditer(rb"\r\n?|\n", self.raw))]
+
+    def start(self, node: ast.AST) -> int:
+        return self.line_at[node.lineno - 1] + node.col_offset
+
+    def end(self, node: ast.AST) -> int:
+        return self.line_at[node.end_lineno - 1] + node.end_col_offset
+
+    def text(self, span: tuple[int, int]) -> str:
+        return self.raw[span[0] : span[1]].decode("utf-8", "replace")
+
+    def definitions(self) -> Iterator[Definition]:
+        """The module, its functions and classes, and each class's own methods; what stands under a condition is none."""
+        path = self.file.removesuffix(".py").split("/")
+        name = path[-2] if path[-1] == "__init__" else path[-1]
+        yield Definition("module", name, MODULE, self.tree, 1, len(self.line_at))
+        for node in self.tree.body:
+            if isinstance(node, FUNCTIONS):
+                yield self._function("func", node.name, node)
             elif isinstance(node, ast.ClassDef):
-                self._class(node)
-        for node in ast.walk(tree):  # imports in any place bind names of the module
-            if isinstance(node, ast.ImportFrom) and node.module != "__future__":
-                for a in node.names:
-                    self._ref(MODULE, "bind", a.name, node.module or "", node.level, a.asname or a.name, False)
-
-    def _cut(self, start: tuple[int, int], end: tuple[int, int]) -> str:
-        """Source from (line, byte) to (line, byte), the end exclusive."""
-        if end < start:
-            return ""
-        own = self.lines[start[0] - 1 : end[0]]
-        own[-1] = own[-1][: end[1]]
-        own[0] = own[0][start[1] :]
-        return b"\n".join(own).decode("utf-8", "replace")
-
-    def _symbol(self, kind, name, qualname, node, first, last, signature, body) -> None:
-        lines = (ast.get_docstring(node, clean=True) or "").split("\n")
-        at = next((i for i, x in enumerate(lines) if x.strip()), None)
-        doc, rest = ("", "") if at is None else (lines[at], "\n".join(lines[at + 1 :]))
-        self.symbols.append(dict(zip((x.split()[0] for x in SYMBOL.split(", ")), (self.file, len(self.symbols), kind, name, qualname, first, last, signature, doc, rest, body), strict=True)))
-
-    def _ref(self, owner, kind, name, module=None, rel=0, alias=None, direct=True) -> None:
-        self.refs.append({"file": self.file, "owner": owner, "kind": kind, "name": name, "module": module, "rel": rel, "alias": alias, "direct": direct})
-
-    def _names(self, owner: str, kind: str, node: ast.AST | None) -> None:
-        found = set()
-        for n in ast.walk(node) if node is not None else ():
-            if isinstance(n, ast.Name):
-                found.add(n.id)
-            elif isinstance(n, ast.Attribute):
-                found.add(ast.unparse(n))
-        for name in sorted(found):
-            self._ref(owner, kind, name)
-
-    def _head(self, node) -> tuple[str, tuple[int, int]]:
-        first = node.body[0]
-        at = (first.lineno, first.col_offset)
-        return self._cut((node.lineno, node.col_offset), at).strip(), at
-
-    def _function(self, node, qualname: str, kind: str) -> None:
-        signature, at = self._head(node)
-        if ast.get_docstring(node, clean=False) is not None:
-            at = (node.body[0].end_lineno, node.body[0].end_col_offset)
-        self._symbol(kind, node.name, qualname, node, node.lineno, node.end_lineno, signature, self._cut(at, (node.end_lineno, node.end_col_offset)))
-        for d in node.decorator_list:
-            self._names(qualname, "decorator", d)
-        a = node.args
-        for x in (node.returns, *(p.annotation for p in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))))):
-            self._names(qualname, "annotation", x)
-        self._body(node.body, qualname)
-
-    def _class(self, node: ast.ClassDef) -> None:
-        functions = (ast.FunctionDef, ast.AsyncFunctionDef)
-        text = lambda s: isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)
-        parts = [self._cut((s.lineno, s.col_offset), (s.end_lineno, s.end_col_offset)) for s in node.body if not isinstance(s, functions) and not text(s)]
-        self._symbol("class", node.name, node.name, node, node.lineno, node.end_lineno, self._head(node)[0], "\n\n".join(p for p in parts if p.strip()))
-        for d in node.decorator_list:
-            self._names(node.name, "decorator", d)
-        for b in node.bases:
-            self._names(node.name, "inheritance", b)
-        for s in node.body:
-            if isinstance(s, functions):
-                self._function(s, f"{node.name}.{s.name}", "method")
-            else:
-                self._body([s], node.name)
-
-    def _body(self, statements: list[ast.stmt], owner: str) -> None:
-        for s in statements:
-            if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                continue
-            if isinstance(s, ast.Import):
-                for a in s.names:
-                    self._ref(owner, "import", a.name, alias="")
-            elif isinstance(s, ast.ImportFrom):
-                for a in s.names:
-                    self._ref(owner, "import", a.name, s.module or "", s.level, a.asname or a.name)
-            else:
-                for n in ast.walk(s):
-                    if isinstance(n, ast.Call):
-                        self._names(owner, "call", n.func)
-
-
-def parse(files: DataFrame) -> DataFrame:
-    """file, symbols, refs and error (a file that doesn't parse has no symbols) for rows (file, content)."""
+                plain = (x for x in node.body if not isinstance(x, FUNCTIONS) and not _is_text(x))
+                yield Definition("class", node.name, node.name, node, node.lineno, node.end_lineno, self._head(node), tuple((self.start(x), self.end(x)) for x in plain))
+                for x in filter(lambda x: isinstance(x, FUNCTIONS), node.body):
+                    yield self._function("method", f"{node.name}.{x.name}", x)
+
+    def _head(self, node) -> tuple[int, int]:
+        return self.start(node), self.start(node.body[0])
+
+    def _function(self, kind: str, qualname: str, node) -> Definition:
+        documented = ast.get_docstring(node, clean=False) is not None
+        begin = self.end(node.body[0]) if documented else self.start(node.body[0])
+        return Definition(kind, node.name, qualname, node, node.lineno, node.end_lineno, self._head(node), ((begin, self.end(node)),))
+
+    def symbols(self) -> list[dict]:
+        out = []
+        for at, d in enumerate(self.definitions()):
+            doc = list(itertools.dropwhile(lambda x: not x.strip(), (ast.get_docstring(d.node, clean=True) or "").split("\n")))
+            bodies = [self.text(x) for x in d.body]
+            if d.kind == "class":
+                bodies = [x for x in bodies if x.strip()]
+            values = (self.file, at, d.kind, d.name, d.qualname, d.first_line, d.last_line, self.text(d.head).strip(), "".join(doc[:1]), "\n".join(doc[1:]), "\n\n".join(bodies))
+            out.append(dict(zip(_SYMBOL_NAMES, values, strict=True)))
+        return out
+
+    def refs(self) -> list[dict]:
+        """References in the order of the text within an owner; binds of imports, wherever they stand, in the order of the tree's levels."""
+        out: list[dict] = []
+
+        def add(owner, kind, name, module=None, rel=0, alias=None) -> None:
+            out.append({"file": self.file, "owner": owner, "kind": kind, "name": name, "module": module, "rel": rel, "alias": alias, "at": len(out)})
+
+        def named(owner: str, kind: str, nodes) -> None:
+            for node in nodes:
+                for name in sorted({ast.unparse(n) for n in ast.walk(node) if isinstance(n, ast.Name | ast.Attribute)}):
+                    add(owner, kind, name)
+
+        for d in self.definitions():
+            node, statements = d.node, d.node.body
+            if d.kind != "module":
+                named(d.qualname, "decorator", node.decorator_list)
+            if d.kind == "class":
+                named(d.qualname, "inheritance", node.bases)
+            elif d.kind != "module":
+                given = [x.annotation for x in ast.walk(node.args) if isinstance(x, ast.arg)]
+                named(d.qualname, "annotation", [x for x in (node.returns, *given) if x is not None])
+            for x in statements:
+                match x:
+                    case ast.Import():
+                        for a in x.names:
+                            add(d.qualname, "import", a.name, alias="")
+                    case ast.ImportFrom():
+                        for a in x.names:
+                            add(d.qualname, "import", a.name, x.module or "", x.level, a.asname or a.name)
+                    case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                        pass
+                    case _:
+                        for call in (n for n in ast.walk(x) if isinstance(n, ast.Call)):
+                            named(d.qualname, "call", [call.func])
+        for x in (n for n in ast.walk(self.tree) if isinstance(n, ast.ImportFrom) and n.module != "__future__"):
+            for a in x.names:
+                add(MODULE, "bind", a.name, x.module or "", x.level, a.asname or a.name)
+        return out
+
+
+def _is_text(x: ast.stmt) -> bool:
+    return isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str)
+
+
+def parse(files: DataFrame, strict: bool = True) -> DataFrame:
+    """file, symbols, refs and error for rows (file, content).
+
+    A file that doesn't parse ends the job with its name. With strict=False it has no symbols and says why in error: then read that column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    f = _File(file, content or "")
-                    out.append({"file": file, "symbols": f.symbols, "refs": f.refs, "error": None})
+                    f = Source(file, content or "")
+                    out.append({"file": file, "symbols": f.symbols(), "refs": f.refs(), "error": None})
                 except (SyntaxError, ValueError) as e:
+                    if strict:
+                        raise ValueError(f"{file} doesn't parse: {e}") from e
                     out.append({"file": file, "symbols": [], "refs": [], "error": str(e)})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
@@ -204,21 +224,29 @@ def _target(refs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def exports(parsed: DataFrame, index: DataFrame, rounds: int = 1000) -> DataFrame:
-    """file, name, at_file, at_name: what a name means in a module. Definitions win, the last one of a name; then names bound by imports, followed through re-exports until nothing new is found."""
+    """file, name, at_file, at_name: what a name means in a module.
+
+    Definitions win, the last one of a name; then the import that binds the name first when files are gone through in order, round after round, until nothing is bound:
+    an import binds in the round in which its target has the name, or in the next if the target got it later in the same
+    round. That moment is (turn, file, place), so what is sought is the least moment of each name: moments are lowered by joins until none changes.
+    """
     own = symbols(parsed).where(F.col("kind").isin("func", "class")).select("file", "name", F.col("file").alias("at_file"), F.col("qualname").alias("at_name")).distinct()
     refs = parsed.select(F.explode("refs").alias("r")).select("r.*").where("kind = 'bind'")
-    binds = materialize(_target(refs, index).select("file", "to_file", "name", "alias"), "binds")
-    known = materialize(own, "exports")
+    binds = materialize(_target(refs, index).select("file", "to_file", "name", "alias", "at"), "binds")
+    moment = lambda turn, at: (turn.cast("long").alias("turn"), at.cast("long").alias("at"))
+    known = materialize(own.select("file", "name", *moment(F.lit(0), F.lit(-1)), "at_file", "at_name"), "exports")
     for _ in range(rounds):
-        of = known.select(F.col("file").alias("to_file"), F.col("name").alias("_name"), "at_file", "at_name")
-        named = binds.where("name <> '*'").join(of, (binds["to_file"] == of["to_file"]) & (F.col("name") == F.col("_name"))).select("file", F.col("alias").alias("name"), "at_file", "at_name")
-        star = binds.where("name = '*'").select("file", "to_file").join(of.where("NOT startswith(_name, '_')"), "to_file").select("file", F.col("_name").alias("name"), "at_file", "at_name")
-        new = named.union(star).join(known.select("file", "name"), ["file", "name"], "left_anti").groupBy("file", "name").agg(F.min(F.struct("at_file", "at_name")).alias("x")).select("file", "name", "x.*")
-        new = materialize(new, "exports")
-        if not new.take(1):
-            return known
-        known = materialize(known.union(new), "exports")
-    return known
+        of = known.select(F.col("file").alias("to_file"), F.col("name").alias("_name"), F.col("turn").alias("_turn"), F.col("at").alias("_at"), "at_file", "at_name")
+        named = binds.where("name <> '*'").join(of, (binds["to_file"] == of["to_file"]) & (F.col("name") == F.col("_name"))).select("file", F.col("alias").alias("name"), of["to_file"].alias("to_file"), "at", "_turn", "_at", "at_file", "at_name")
+        star = binds.where("name = '*'").select("file", "to_file", "at").join(of.where("NOT startswith(_name, '_')"), "to_file").select("file", F.col("_name").alias("name"), "to_file", "at", "_turn", "_at", "at_file", "at_name")
+        later = (F.col("_turn") == 0) | (F.col("file") < F.col("to_file")) | ((F.col("file") == F.col("to_file")) & (F.col("at") <= F.col("_at")))
+        found = named.unionByName(star).withColumn("turn", F.col("_turn") + later.cast("long")).select("file", "name", "turn", "at", "at_file", "at_name")
+        least = known.unionByName(found).groupBy("file", "name").agg(F.min(F.struct("turn", "at", "at_file", "at_name")).alias("x")).select("file", "name", "x.*")
+        least = materialize(least, "exports")
+        if not least.join(known, known.columns, "left_anti").take(1):
+            return least.select("file", "name", "at_file", "at_name")
+        known = least
+    raise RuntimeError(f"exports still change after {rounds} rounds")
 
 
 def _prefixes(name: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 RRF_K = 60
 
 
-def rank_max(fused: DataFrame) -> DataFrame:
-    """Add rank (from 1) by final, ties by ord. fused: request_id, id, ord, score, final."""
-    return fused.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("final"), "ord")))
+def rank_max(fused: DataFrame, limit: int | None = None) -> DataFrame:
+    """Add rank (from 1) by final, ties by ord. fused: request_id, id, ord, score, final. With a limit only the first ranks, of which tasks send no more to the shuffle."""
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("final"), "ord")))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def rank_rrf(fused: DataFrame) -> DataFrame:
@@ -25,9 +26,10 @@ def rank_rrf(fused: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("rrf"), "_a"))).drop("_a", "_b")
 
 
-def recall(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (20, 50), by: tuple[str, ...] = ()) -> DataFrame:
-    """request_id, the columns of by, k, recall: the share of expected (request_id, id, by) among the first k."""
-    rows = expected.join(ranked.select("request_id", "id", "rank"), ["request_id", "id"], "left")
+def recall(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (20, 50), by: tuple[str, ...] = (), rankings: tuple[str, ...] = ()) -> DataFrame:
+    """request_id, the columns of by, k, recall: the share of expected (request_id, id, by) among the first k. rankings: columns of both that tell several rankings apart."""
+    by = (*rankings, *by)
+    rows = expected.join(ranked.select("request_id", "id", "rank", *rankings), ["request_id", "id", *rankings], "left")
     hits = [F.struct(F.lit(k).cast("long").alias("k"), (F.coalesce(F.col("rank"), F.lit(1 << 30)) <= k).cast("long").alias("hit")) for k in ks]
     flat = rows.select("request_id", *by, F.explode(F.array(*hits)).alias("h"))
     return flat.groupBy("request_id", *by, F.col("h.k").alias("k")).agg((F.sum("h.hit") / F.count(F.lit(1))).alias("recall"))

@@ -67,8 +67,9 @@ def contributions(found: DataFrame) -> DataFrame:
     )
 
 
-def reached_sql(hops: int, limit: int | None = SEEDS) -> str:
+def reached_sql(hops: int, limit: int | None = SEEDS, first_edge: bool = True) -> str:
     """CTEs up to reached(...) and contrib(...), from bm25 and edges."""
+    heavy = "" if first_edge else "a.w DESC, "
     order = "score DESC, ord" if limit else "ord"
     out = [
         f"""seeds AS (
@@ -85,12 +86,12 @@ def reached_sql(hops: int, limit: int | None = SEEDS) -> str:
   FROM (SELECT f.request_id, f.repo, f.seed, f.seed_rank, f.seed_score, a.next AS node, f.pos AS ppos, a.w, a.src, a.dst, a.kind, a.back
         FROM hop{h - 1} f JOIN adj a ON a.repo = f.repo AND a.node = f.node
         WHERE NOT EXISTS (SELECT 1 FROM ({seen}) v WHERE v.request_id = f.request_id AND v.seed = f.seed AND v.node = a.next)
-        QUALIFY row_number() OVER (PARTITION BY f.request_id, f.seed, a.next ORDER BY f.pos, a.src, a.dst, a.kind, a.back) = 1))""")
+        QUALIFY row_number() OVER (PARTITION BY f.request_id, f.seed, a.next ORDER BY {heavy}f.pos, a.src, a.dst, a.kind, a.back) = 1))""")
     every = " UNION ALL ".join(f"SELECT * FROM hop{k}" for k in range(1, hops + 1))
     out.append(f"reached AS (SELECT request_id, seed, seed_rank, node, hop, pos, seed_score * pow({DECAY}, hop) * ln(1.0 + w) AS score FROM ({every}))")
     out.append("""contrib AS (
   SELECT request_id, node AS id, first(score ORDER BY score DESC, seed_rank) AS graph_score, first(hop ORDER BY score DESC, seed_rank) AS hops, first(seed ORDER BY score DESC, seed_rank) AS from_id,
-         min(seed_rank * 1000000000000 + hop * 1000000000 + pos) AS first
+         min(seed_rank * 1000000000000 + hop::BIGINT * 1000000000 + pos) AS first
   FROM reached GROUP BY request_id, node)""")
     return ",\n".join(out)
 

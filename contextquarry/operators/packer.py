@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from contextquarry.functions.text import TIERS
 from contextquarry.scratch import materialize
 
+#: Fixed value: the part of a budget that is filled.
 RESERVE = 0.995
-#: Candidates that one fold takes for a request. More are folded in further rounds, so no group grows with the corpus.
-ROUND = 20_000
+#: Candidates that one fold takes for a request. More are folded in further rounds, so no group grows with the corpus. Up to this number Spark
+#: keeps a rank's limit in the tasks before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold), so only the best of each task meet.
+ROUND = 1000
 PLACED = "array<struct<id:string,tier:string,tokens:long,reason:string>>"
 
 

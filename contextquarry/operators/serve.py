@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a body, budgets, hits and seconds of a window, cents of all turns.
 MAX_BODY = 65_536
 BUDGETS = (4000, 8000, 16000, 32000)
 LIMIT, WINDOW_SECONDS = 3, 86_400
@@ -124,6 +125,23 @@ def global_cap(spend: DataFrame, bucket: str, order: list[str], ceiling: int = C
     return rows.withColumn("before", (F.col("_offset") + F.col("_inside")).cast("long")).withColumn("allowed", F.col("before") < ceiling).drop("_b", "_offset", "_inside")
 
 
+def dispatch(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """calls (call_id, tool, arg) -> call_id, tool, status, results: each tool is a column of symbols that its argument is looked up in."""
+    tools = {"read_symbol": "id", "list_symbols": "file"}
+    counts = None
+    for tool, column in tools.items():
+        own = calls.where(F.col("tool") == tool).join(symbols.select(F.col(column).alias("arg")), "arg").groupBy("call_id").agg(F.count(F.lit(1)).alias("results"))
+        counts = own if counts is None else counts.unionByName(own)
+    n = F.coalesce("results", F.lit(0))
+    status = F.when(~F.col("tool").isin(*tools), 400).when(n > 0, 200).otherwise(404)
+    return calls.join(counts, "call_id", "left").select("call_id", "tool", status.cast("long").alias("status"), n.alias("results"))
+
+
+def bare_model(model: Column) -> Column:
+    """A model's name without its vendor."""
+    return F.regexp_replace(model, "^[^/]*/", "")
+
+
 def client_key(forwarded: Column, real: Column) -> Column:
     """The first forwarded address, else the real one, else 'unknown'."""
     return F.coalesce(F.nullif(F.trim(F.split_part(forwarded, F.lit(","), F.lit(1))), F.lit("")), real, F.lit("unknown"))

@@ -39,9 +39,8 @@ fused AS (
 def scored(symbols: DataFrame, requests: DataFrame, fielded: bool = True) -> DataFrame:
     """BM25 of every symbol for the requests of its repo. Requests, a short list by nature, are read by the driver: their terms become literals."""
     asked = {r["request_id"]: (r["repo"], r["task"]) for r in requests.select("request_id", "repo", "task").collect()}
-    rows = bm25.scores(symbols, {k: t for k, (_, t) in asked.items()}, fielded, keep=("repo", "ord", "id", "tokens"))
-    of = F.coalesce(*(F.when(F.col("request_id") == k, F.lit(r)) for k, (r, _) in asked.items()))
-    return materialize(rows.where(F.col("repo") == of), "scores")
+    tasks, repos = {k: t or "" for k, (_, t) in asked.items()}, {k: r for k, (r, _) in asked.items()}
+    return materialize(bm25.scores(symbols, tasks, fielded, keep=("repo", "ord", "id", "tokens"), repos=repos), "scores")
 
 
 def pack(symbols: DataFrame, edges: DataFrame, requests: DataFrame, hops: int = 1, seeds: int = graph.SEEDS, first_edge: bool = True) -> Pack:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contextquarry.catalog import query
 from contextquarry.functions.text import with_costs
 from contextquarry.operators import code_index
+from contextquarry.plans import sample_package
 from contextquarry.scratch import materialize
 
 ROOT = os.path.dirname(json.__file__)
@@ -39,3 +40,31 @@ def code_exports(spark, d):
 @query("code_edges")
 def code_edges(spark, d):
     return code_index.edges(_parsed(spark))
+
+
+# a package of literal sources, of which the results are stated
+
+
+def _sample(spark):
+    return materialize(code_index.parse(spark.createDataFrame(list(sample_package.FILES.items()), "file string, content string")), "parsed")
+
+
+def _values(rows, names: str) -> str:
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
+@query("sample_symbols", _values(sample_package.SYMBOLS, "id, kind, line_start, line_end, signature, doc_first, doc_rest, body"))
+def sample_symbols(spark, d):
+    return code_index.symbols(_sample(spark)).select("id", "kind", "line_start", "line_end", "signature", "doc_first", "doc_rest", "body")
+
+
+@query("sample_exports", _values(sample_package.EXPORTS, "file, name, at_file, at_name"))
+def sample_exports(spark, d):
+    parsed = _sample(spark)
+    return code_index.exports(parsed, code_index.modules(parsed))
+
+
+@query("sample_edges", _values(sample_package.EDGES, "src, dst, kind, weight"))
+def sample_edges(spark, d):
+    return code_index.edges(_sample(spark)).select("src", "dst", "kind", "weight")

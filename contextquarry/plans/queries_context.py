@@ -8,6 +8,7 @@ from contextquarry.catalog import query
 from contextquarry.functions.text import render, render_sql, tokens, tokens_sql
 from contextquarry.operators import bm25, graph, packer
 from contextquarry.plans.pack import FUSE_SQL, fuse, pack, render_pack, scored
+from contextquarry.session import spread
 from contextquarry.sources import tables as T
 
 BASE = f"{T.SYMBOLS},{T.REQUESTS_SQL}"
@@ -60,7 +61,7 @@ def distinct_files(spark, d):
 
 @query("tokenize", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
 def tokenize(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
+    return spread(T.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("render_tiers", f"WITH {T.DOCUMENT_SYMBOLS} SELECT id, sha256({render_sql('signature')}) AS signature, sha256({render_sql('skeleton')}) AS skeleton, sha256({render_sql('full')}) AS full_text FROM document_symbols")
@@ -177,6 +178,13 @@ def _contrib(hops):
 for _h in (1, 2, 3):
     _contrib(_h)
 
+
+@query("graph_contrib_heaviest", f"WITH {RANKED},{EDGES},{graph.reached_sql(2, first_edge=False)} SELECT request_id, id, round(graph_score, 6) AS graph_score, hops, from_id FROM contrib")
+def graph_contrib_heaviest(spark, d):
+    """Two hops, each by the heaviest edge of the hop instead of the first one met."""
+    seeds = graph.top_seeds(scored(T.symbols(spark, d), T.requests(spark, d)))
+    return graph.contributions(graph.reached(seeds, _edges(spark, d), 2, first_edge=False)).select("request_id", "id", F.round("graph_score", 6).alias("graph_score"), "hops", "from_id")
+
 _DEPTHS = " UNION ALL ".join(
     f"""SELECT r.request_id, {h} AS depth, count(DISTINCT r.node) FILTER (s.seed IS NULL) AS recovered, count(DISTINCT r.node) AS n, (SELECT count(DISTINCT round(g, 4)) FROM
     (SELECT request_id, max(score) AS g FROM reached WHERE hop <= {h} GROUP BY request_id, node) v WHERE v.request_id = r.request_id) AS kinds

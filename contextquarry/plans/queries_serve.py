@@ -122,6 +122,59 @@ def tool_read_file(spark, d):
     return pages.select(F.col("url").alias("path"), F.sha2("html", 256).alias("content_sha256")).join(asked, "path", "left_semi")
 
 
+CALLS = [(1, "read_symbol", "p:7"), (2, "read_symbol", "p:none"), (3, "list_symbols", "Brand#13"), (4, "list_symbols", "no file"), (5, "delete_symbol", "p:7")]
+_CALLS = ", ".join(f"({i}::BIGINT, '{t}', '{a}')" for i, t, a in CALLS)
+
+
+@query(
+    "tool_dispatch",
+    f"""WITH {T.PART_SYMBOLS}, calls AS (SELECT * FROM (VALUES {_CALLS}) t(call_id, tool, arg)),
+    hits AS (SELECT c.call_id, count(s.id) AS n FROM calls c LEFT JOIN part_symbols s ON (c.tool = 'read_symbol' AND s.id = c.arg) OR (c.tool = 'list_symbols' AND s.file = c.arg) GROUP BY c.call_id)
+    SELECT c.call_id, c.tool, CASE WHEN c.tool IN ('read_symbol', 'list_symbols') THEN CASE WHEN n > 0 THEN 200 ELSE 404 END ELSE 400 END::BIGINT AS status, n AS results
+    FROM calls c JOIN hits h ON h.call_id = c.call_id""",
+)
+def tool_dispatch(spark, d):
+    """Calls by the name of their tool: its number of results, 404 if there are none, 400 for a tool that isn't known."""
+    calls = spark.createDataFrame(CALLS, "call_id long, tool string, arg string")
+    return serve.dispatch(calls, T.part_symbols(spark, d))
+
+
+SHOWN = 40
+
+
+@query("display_list", f"WITH {T.SYMBOLS} SELECT id, name, count(*) OVER () - {SHOWN} AS more FROM symbols WHERE repo = 'documents' QUALIFY row_number() OVER (ORDER BY ord) <= {SHOWN}")
+def display_list(spark, d):
+    """What a list shows: the first 40 in order, and how many more there are. The limit is the feature."""
+    rows = T.document_symbols(spark, d)
+    more = rows.agg((F.count(F.lit(1)) - SHOWN).alias("more"))
+    return rows.orderBy("ord").limit(SHOWN).select("id", "name").crossJoin(F.broadcast(more))  # one row
+
+
+MODELS = ["models/served", "vendor/large", "medium", None]
+_MODELS = ", ".join(f"('{m}')" if m else "(NULL)" for m in MODELS)
+
+
+@query("model_names", f"SELECT model, regexp_replace(model, '^[^/]*/', '') AS name FROM (VALUES {_MODELS}) t(model)")
+def model_names(spark, d):
+    rows = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    return rows.select("model", serve.bare_model(F.col("model")).alias("name"))
+
+
+@query(
+    "client_keys",
+    """WITH h AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' 10.0.0.' || page_id || ' , 10.1.1.1' WHEN 2 THEN ' , 10.2.2.2' ELSE '10.3.3.' || page_id END AS forwarded,
+                      CASE WHEN page_id % 3 = 0 THEN '192.0.2.' || page_id END AS real_ip FROM pages)
+    SELECT page_id, coalesce(nullif(trim(split_part(forwarded, ',', 1)), ''), real_ip, 'unknown') AS client FROM h""",
+)
+def client_keys(spark, d):
+    """Who is counted for a request: the first forwarded address, else the real one, else 'unknown'."""
+    p = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 4
+    forwarded = F.when(kind == 1, F.concat(F.lit(" 10.0.0."), p, F.lit(" , 10.1.1.1"))).when(kind == 2, F.lit(" , 10.2.2.2")).when(kind == 3, F.concat(F.lit("10.3.3."), p))
+    real = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("192.0.2."), p))
+    return T.table(spark, d, "pages").select("page_id", serve.client_key(forwarded, real).alias("client"))
+
+
 # messages and recorded streams
 
 
@@ -136,13 +189,28 @@ def message_whitelist(spark, d):
     return T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.bool_and(good).alias("valid"))
 
 
+@query(
+    "validated_messages",
+    """SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, text FROM conversations c
+    WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND (x.role NOT IN ('user', 'assistant') OR x.text IS NULL))""",
+)
+def validated_messages(spark, d):
+    """The messages of conversations that pass, built anew from the checked fields only."""
+    good = message_whitelist(spark, d).where("valid").select("conv_id")
+    role = F.when(F.col("role") == "assistant", "model").otherwise(F.col("role"))
+    return T.table(spark, d, "conversations").join(good, "conv_id").select("conv_id", "turn", role.alias("role"), "text")
+
+
 def raw_frames(spark, d):
-    """Conversations as recorded chunks: a frame per turn with counters so far, some with a closing mark, some with a broken frame."""
+    """Conversations as recorded chunks: a frame per turn with its text in two parts and counters so far, some with a closing mark, some with a broken frame."""
     t = F.col("turn")
-    half = lambda a: F.substring(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), a, 4)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    parts = F.array(F.struct(F.substring(text, F.lit(1), half).alias("text")), F.struct(F.substring(text, half + 1, F.length(text)).alias("text")))
+    content = F.to_json(F.struct(parts.alias("parts")))
     count = lambda n: F.when(t % n == 0, F.lit("null")).otherwise((t * n).cast("string"))
     frame = F.concat(
-        F.lit('data: {"candidates":[{"content":{"parts":[{"text":"'), half(1), F.lit('"},{"text":"'), half(5), F.lit('"}]}}],\r\ndata: "usageMetadata":{"promptTokenCount":'), count(3),
+        F.lit('data: {"candidates":[{"content":'), content, F.lit('}],\r\ndata: "usageMetadata":{"promptTokenCount":'), count(3),
         F.lit(',"candidatesTokenCount":'), count(2), F.lit(',"totalTokenCount":'), (t * 5).cast("string"), F.lit("}}\r\n\r\n"),
     )
     raw = F.concat(frame, F.when(t % 3 == 0, F.lit("data: [DONE]\r\n\r\n")).otherwise(""), F.when(t % 4 == 1, F.lit("data: {broken\r\n\r\n")).otherwise(""))
@@ -150,7 +218,7 @@ def raw_frames(spark, d):
 
 
 _COUNT = lambda n: f"CASE WHEN turn % {n} = 0 THEN NULL ELSE turn * {n} END"
-_FRAMES = f"frames AS (SELECT conv_id, turn, 0 AS frame_no, substr(md5(coalesce(text, '')), 1, 8) AS text, {_COUNT(3)} AS prompt, {_COUNT(2)} AS candidates, NULL::BIGINT AS thoughts, turn * 5 AS total FROM conversations)"
+_FRAMES = f"frames AS (SELECT conv_id, turn, 0 AS frame_no, coalesce(text, '') AS text, {_COUNT(3)} AS prompt, {_COUNT(2)} AS candidates, NULL::BIGINT AS thoughts, turn * 5 AS total FROM conversations)"
 
 
 @query("sse_frames", f"WITH {_FRAMES} SELECT conv_id, turn, frame_no, text, prompt, candidates, total FROM frames")

@@ -20,5 +20,11 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan of fewer partitions than cores to all of them: for work that costs far more than a shuffle of its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

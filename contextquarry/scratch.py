@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -11,17 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _own() -> str:
-    return tempfile.mkdtemp(prefix="contextquarry-")
+    folder = tempfile.mkdtemp(prefix="contextquarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a temporary one where none is set (one machine, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
+    """The shared folder: spark.checkpoint.dir, or on one machine, as in tests, a temporary one that ends with the process where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own()
     return f"{base.rstrip('/')}/contextquarry-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks."""
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks.
+
+    What an application has written lies in one folder of the application's id, to be removed when it has ended.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)

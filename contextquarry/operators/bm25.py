@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from contextquarry.functions.text import tokenize, tokens
 from contextquarry.scratch import materialize
-from contextquarry.session import spread
 
 K1, B = 1.5, 0.75
 NAME_WEIGHT, TEXT_WEIGHT = 3.0, 1.0
@@ -33,9 +32,8 @@ def _counts(found: Column, wanted: Column) -> Column:
 
 
 def frequencies(symbols: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
-    """Add len_<field> and tf_<field> (how often each term occurs): one pass, no shuffle but to spread a small scan. Only tokens that are terms are counted."""
+    """Add len_<field> and tf_<field> (how often each term occurs): one pass, no shuffle. Only tokens that are terms are counted."""
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    symbols = spread(symbols)
     for f in fields:
         symbols = symbols.withColumn(f"_t_{f}", tokens(FIELDS[f]()))
     for f in fields:

@@ -24,7 +24,7 @@ def _edges(spark, d):
 
 
 def _pack(spark, d):
-    return pack(T.symbols(spark, d), _edges(spark, d), T.requests(spark, d))
+    return pack(T.symbols(spark, d, True), _edges(spark, d), T.requests(spark, d))
 
 
 # sources
@@ -90,7 +90,7 @@ def symbol_ids(spark, d):
 
 @query("bm25_stats", f"WITH {T.SYMBOLS} SELECT repo, count(*) AS n, round(avg(len({tokens_sql('name')})), 6) AS avg_name, round(avg(len({tokens_sql("concat_ws(' ', signature, doc_first)")})), 6) AS avg_text FROM symbols GROUP BY repo")
 def bm25_stats(spark, d):
-    counted = bm25.frequencies(T.symbols(spark, d), [], ["name", "text"])
+    counted = bm25.frequencies(T.symbols(spark, d, True), [], ["name", "text"])
     return bm25.statistics(counted, [], ["name", "text"]).select("repo", "n", F.round("avg_name", 6).alias("avg_name"), F.round("avg_text", 6).alias("avg_text"))
 
 
@@ -104,7 +104,7 @@ TERMS = bm25.query_terms(TASKS)[0]
     FROM (SELECT DISTINCT repo FROM symbols) r, (SELECT unnest({TERMS!r}) AS term) q""",
 )
 def bm25_df(spark, d):
-    counted = bm25.frequencies(T.symbols(spark, d), TERMS, ["single"])
+    counted = bm25.frequencies(T.symbols(spark, d, True), TERMS, ["single"])
     df = bm25.statistics(counted, TERMS, ["single"])
     return df.select("repo", F.explode(F.arrays_zip(F.array(*map(F.lit, TERMS)).alias("term"), F.col("df_single").alias("df"))).alias("x")).select("repo", "x.*")
 
@@ -115,7 +115,7 @@ def bm25_df(spark, d):
     SELECT repo, id, term, count(*) AS tf FROM t WHERE term IN (SELECT unnest({TERMS!r})) GROUP BY ALL""",
 )
 def bm25_tf(spark, d):
-    counted = bm25.frequencies(T.symbols(spark, d), TERMS, ["single"])
+    counted = bm25.frequencies(T.symbols(spark, d, True), TERMS, ["single"])
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, TERMS)).alias("term"), F.col("tf_single").alias("tf"))).alias("x")
     return counted.select("repo", "id", pairs).select("repo", "id", "x.*").where("tf > 0")
 
@@ -123,7 +123,7 @@ def bm25_tf(spark, d):
 def _bm25(name, fielded, column):
     @query(name, f"WITH {BASE},{bm25.scores_sql(fielded)} SELECT request_id, id, round({column}, 6) AS score FROM bm25 WHERE {column} > 0")
     def run(spark, d):
-        return scored(T.symbols(spark, d), T.requests(spark, d), fielded).where(F.col(column) > 0).select("request_id", "id", F.round(column, 6).alias("score"))
+        return scored(T.symbols(spark, d, True), T.requests(spark, d), fielded).where(F.col(column) > 0).select("request_id", "id", F.round(column, 6).alias("score"))
 
 
 _bm25("bm25_name", True, "name_score")
@@ -134,7 +134,7 @@ _bm25("bm25_single", False, "score")
 
 @query("bm25_topk", f"WITH {RANKED},{EDGES},{graph.reached_sql(1)} SELECT request_id, seed AS id, seed_rank, round(seed_score, 6) AS score FROM seeds")
 def bm25_topk(spark, d):
-    return graph.top_seeds(scored(T.symbols(spark, d), T.requests(spark, d))).select("request_id", F.col("seed").alias("id"), F.col("seed_rank").cast("long").alias("seed_rank"), F.round("seed_score", 6).alias("score"))
+    return graph.top_seeds(scored(T.symbols(spark, d, True), T.requests(spark, d))).select("request_id", F.col("seed").alias("id"), F.col("seed_rank").cast("long").alias("seed_rank"), F.round("seed_score", 6).alias("score"))
 
 
 # graph
@@ -171,7 +171,7 @@ def top_files(spark, d):
 def _contrib(hops):
     @query(f"graph_contrib_d{hops}", f"WITH {RANKED},{EDGES},{graph.reached_sql(hops)} SELECT request_id, id, round(graph_score, 6) AS graph_score, hops, from_id FROM contrib")
     def run(spark, d):
-        seeds = graph.top_seeds(scored(T.symbols(spark, d), T.requests(spark, d)))
+        seeds = graph.top_seeds(scored(T.symbols(spark, d, True), T.requests(spark, d)))
         return graph.contributions(graph.reached(seeds, _edges(spark, d), hops)).select("request_id", "id", F.round("graph_score", 6).alias("graph_score"), "hops", "from_id")
 
 
@@ -182,7 +182,7 @@ for _h in (1, 2, 3):
 @query("graph_contrib_heaviest", f"WITH {RANKED},{EDGES},{graph.reached_sql(2, first_edge=False)} SELECT request_id, id, round(graph_score, 6) AS graph_score, hops, from_id FROM contrib")
 def graph_contrib_heaviest(spark, d):
     """Two hops, each by the heaviest edge of the hop instead of the first one met."""
-    seeds = graph.top_seeds(scored(T.symbols(spark, d), T.requests(spark, d)))
+    seeds = graph.top_seeds(scored(T.symbols(spark, d, True), T.requests(spark, d)))
     return graph.contributions(graph.reached(seeds, _edges(spark, d), 2, first_edge=False)).select("request_id", "id", F.round("graph_score", 6).alias("graph_score"), "hops", "from_id")
 
 _DEPTHS = " UNION ALL ".join(
@@ -212,7 +212,7 @@ def hop_depth(spark, d):
 
 @query("fused_scores", f"WITH {EXPANDED} SELECT request_id, id, round(final, 6) AS final, reason FROM fused WHERE final > 0")
 def fused_scores(spark, d):
-    scores = scored(T.symbols(spark, d), T.requests(spark, d))
+    scores = scored(T.symbols(spark, d, True), T.requests(spark, d))
     contrib = graph.contributions(graph.reached(graph.top_seeds(scores), _edges(spark, d), 1))
     return fuse(scores, contrib).where("final > 0").select("request_id", "id", F.round("final", 6).alias("final"), "reason")
 

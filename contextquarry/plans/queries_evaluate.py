@@ -36,7 +36,7 @@ def expected(spark, d):
 
 
 def fused(spark, d):
-    scores = scored(T.symbols(spark, d), T.requests(spark, d))
+    scores = scored(T.symbols(spark, d, True), T.requests(spark, d))
     contrib = graph.contributions(graph.reached(graph.top_seeds(scores), _edges(spark, d), 1))
     return materialize(fuse(scores, contrib), "fused")
 
@@ -93,7 +93,7 @@ def recall_grid(spark, d):
     """Mean recall by repo for one and for two fields, each without the graph, with one to three hops by the greater score, and with one to three by fused ranks. Scores and expansion are computed once for each number of fields."""
     want, requests, rows = materialize(expected(spark, d), "expected"), T.requests(spark, d), None
     for fielded in (False, True):
-        scores = scored(T.symbols(spark, d), requests, fielded)
+        scores = scored(T.symbols(spark, d, True), requests, fielded)
         found = materialize(graph.reached(graph.top_seeds(scores), _edges(spark, d), 3), "reached")
         ranked = None
         for hops, fusion in CONFIGS:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextquarry.functions.text import estimate_sql, render_sql, with_costs
-from contextquarry.session import table
+from contextquarry.session import spread, table
 
 #: request_id, repo, task, budget, ords that are pinned, ords that are excluded
 REQUESTS = [
@@ -24,11 +24,12 @@ REQUESTS = [
 ]
 
 
-def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as symbols: the first line is the signature, the second the documentation, the rest the body."""
+def document_symbols(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """Texts as symbols: the first line is the signature, the second the documentation, the rest the body. spread_out: deal a scan of few partitions to all cores first."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     first = F.element_at(lines, 1)
-    rows = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = (spread(docs) if spread_out else docs).select(
         F.lit("documents").alias("repo"),
         F.col("doc_id").alias("ord"),
         F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("id"),
@@ -77,8 +78,8 @@ part_symbols AS (
   FROM (SELECT *, '' AS doc_first, '' AS doc_rest, '' AS body FROM part_rows))"""
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_symbols(spark, sf_dir).unionByName(part_symbols(spark, sf_dir))
+def symbols(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    return document_symbols(spark, sf_dir, spread_out).unionByName(part_symbols(spark, sf_dir))
 
 
 SYMBOLS = f"""{DOCUMENT_SYMBOLS},{PART_SYMBOLS},

@@ -84,11 +84,13 @@ def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     in_order = keyed.repartitionByRange(n, "_p", "_h", F.col("doc_id").desc()).sortWithinPartitions("_p", "_h", "_t", F.col("doc_id").desc())
     runs = materialize(arrow_batches(in_order).mapInArrow(_runs, RUNS), "content-runs")
     edges = runs.where("edge").groupBy("pid", "text_sha256").agg(F.max("head").alias("head"), F.max("n").alias("n"))
-    whole = edges.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("head").alias("_head"), F.sum("n").alias("_n"))
-    # two blocks a partition: small, whatever the input
-    joined = runs.join(F.broadcast(whole), F.col("edge") & (F.col("text_sha256") == F.col("_sha")), "left")
-    keep, size = F.coalesce("_head", "head"), F.coalesce("_n", "n")
-    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    whole = edges.groupBy("text_sha256").agg(F.max("head").alias("_head"), F.sum("n").alias("_n"))
+    # two blocks a partition; rows meet them by partition and text, so a group over many partitions is no hot key
+    ends = edges.select("pid", "text_sha256").join(whole, "text_sha256")
+    joined = runs.where("edge").join(ends, ["pid", "text_sha256"]).select("doc_id", "text_sha256", F.col("_head").alias("head"), F.col("_n").alias("n"))
+    rows = runs.where("NOT edge").select("doc_id", "text_sha256", "head", "n").unionByName(joined)
+    keep, size = F.col("head"), F.col("n")
+    return rows.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

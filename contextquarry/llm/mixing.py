@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contextquarry.llm.common import hash_bucket, materialize, n_words, running
 
 #: Rows of a bucket of hash keys, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2000
 
 
 def cycled_weights(cycle: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -21,7 +21,8 @@ def targets(totals: DataFrame, max_epochs: int = 3, weight: Column | None = None
 
     The targets share the sum of all sizes by weight. None exceeds max_epochs times its source's size; what is
     above is shared again among the rest by weight. In the order of max_epochs * size / weight, the sources that stop at
-    their limit come first, so one pass over running sums finds the share of the others. One row per source.
+    their limit come first, so one pass over running sums finds the share of the others. One row per source, and all of them in one task: sources may
+    be some hundred thousand, no more.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     ranked = totals.withColumn("_rank", F.row_number().over(by_name) - 1)
@@ -73,7 +74,10 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, weight: Column
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix takes, whole, each as often as it is taken; same columns as docs."""
+    """The rows of docs that the mix takes, whole, each as often as it is taken; same columns as docs.
+
+    Null, empty and blank texts have no words and are never taken. Repeated rows are taken as often as each other. Null sources are one source; an empty table gives no rows.
+    """
     chosen = mix(docs, whole_documents=True, **options).where("taken > 0")
     # repeated rows of one document and text get the same number of turns each: one row of the choice is enough
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")

@@ -15,7 +15,7 @@ from contextquarry.llm.common import materialize, running
 LARGE = 16_384
 #: Smaller groups are bundled by the hash of their text into this many items.
 BUNDLES = 16_384
-SLOT_ROWS = 20_000
+SLOT_ROWS = 2000
 
 
 def differencing(sizes: np.ndarray, shards: int) -> np.ndarray:

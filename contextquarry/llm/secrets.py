@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from contextquarry.llm.common import materialize
 @dataclass(frozen=True)
 class Kind:
     """A kind of span: its pattern, its part in a credential, the least length of the match (or of group 2, if the pattern has it)
-    and patterns that a match must contain. Matches are leftmost and don't overlap within a kind."""
+    patterns that a match must contain, and parts one of which a text with a match has (in small letters): other texts aren't searched. Matches are leftmost and don't overlap within a kind."""
 
     name: str
     pattern: str
@@ -21,17 +22,19 @@ class Kind:
     least: int
     group: int = 0
     contains: tuple[str, ...] = ()
+    hints: tuple[str, ...] = ()
 
 
 BASE = (
-    Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "secret", 6, 2),
-    Kind("access", r"AKIA[A-Z0-9]+", "identifier", 20),
-    Kind("hex", r"[0-9a-f]+", "secret", 24),
+    Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "secret", 6, 2, (), ("password", "passwd", "secret", "token", "apikey", "api_key")),
+    Kind("access", r"AKIA[A-Z0-9]+", "identifier", 20, 0, (), ("akia",)),
+    # runs of 24 and more are the runs that are long enough, without pieces of text between all others
+    Kind("hex", r"[0-9a-f]{24,}", "secret", 24),
 )
 WEAK = (
     Kind("key", r"[A-Za-z0-9/+]{32,}", "secret", 32, 0, ("[a-z]", "[A-Z]", "[0-9]")),
-    Kind("account", r"""((?i:user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", "identifier", 3, 2),
-    Kind("endpoint", r"(?:https?|s3|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:/@%?#=&+-]+", "endpoint", 12),
+    Kind("account", r"""((?i:user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", "identifier", 3, 2, (), ("user", "login", "account", "client", "access")),
+    Kind("endpoint", r"(?:https?|s3|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:/@%?#=&+-]+", "endpoint", 12, 0, (), ("://",)),
 )
 KINDS = (*BASE, *WEAK)
 #: Code points between the starts of parts of one credential.
@@ -95,7 +98,15 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Repeated rows get the same result each, null ids stay null, other columns are ignored, an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    cut = rows.select("*", *(F.split("_text", k.pattern).alias(f"_p_{k.name}") for k in KINDS))
+
+    def pieces(kind: Kind) -> Column:
+        whole = F.split("_text", kind.pattern)
+        if not kind.hints:
+            return whole
+        hinted = reduce(lambda a, b: a | b, (F.contains(F.col("_small"), F.lit(h)) for h in kind.hints))
+        return F.when(hinted, whole).otherwise(F.array().cast("array<string>"))
+
+    cut = rows.withColumn("_small", F.lower("_text")).select("*", *(pieces(k).alias(f"_p_{k.name}") for k in KINDS))
     spans = cut.select(
         "_id",
         F.xxhash64("_text").alias("_h"),

@@ -172,6 +172,51 @@ def test_differencing_is_balanced():
     assert len(sharding.differencing(np.array([], int), 4)) == 0 and len(sharding.differencing(np.array([5]), 4)) == 1
 
 
+def test_differencing_is_the_textbook_method():
+    """Lists of eight sums, sorted anew for each combination; sizes without ties."""
+    rng = np.random.default_rng(5)
+    sizes = rng.choice(10**6, 60, replace=False).tolist()
+    parts = [([0] * 7 + [s], [[] for _ in range(7)] + [[s]]) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0][-1] - p[0][0])
+        (a, x), (b, y) = parts.pop(), parts.pop()
+        met = sorted(((u + v, p + q) for u, v, p, q in zip(a, b[::-1], x, y[::-1], strict=True)), key=lambda m: m[0])
+        parts.append(([m[0] - met[0][0] for m in met], [m[1] for m in met]))
+    order = np.argsort(sizes)[::-1]
+    own = np.array(sizes)[order]
+    found = sharding.differencing(own, 8)
+    assert sorted(map(sum, parts[0][1])) == sorted(np.bincount(found, own, 8).astype(int).tolist())
+
+
+def test_sharding_of_a_dominating_group(spark):
+    rows = [(i, "the same text of a group that is most of all") for i in range(50)] + [(100 + i, f"other {i}") for i in range(30)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    place = {s: [r.doc_id for r in got if r.shard == s] for s in range(8)}
+    hot = [s for s, own in place.items() if any(d < 50 for d in own)]
+    assert len(hot) == 1 and len(place[hot[0]]) == 50 and all(place.values())
+
+
+def test_very_long_texts(spark):
+    """Texts of over a million characters, one of them a single word, beside short ones, through every operator."""
+    rng = np.random.default_rng(2)
+    prose = " ".join(f"word{x}" for x in rng.integers(0, 5000, 120_000))
+    rows = [(1, prose, "en", "a"), (2, prose + " end", "en", "a"), (3, "x" * 1_200_000, "en", "b"), (4, "short text", "en", "b"), (5, " \n" * 400_000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(4, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(prose.split()[500:540]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1, 2}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {1: 120_000, 2: 120_000, 3: 0, 4: 0, 5: 0}
+    assert toxicity.toxicity(docs, labels).count() == 5
+    assert secrets.scan_secrets(docs).where("doc_id = 3").first().spans == ""
+    assert sum(r.n_tokens for r in packing.pack_documents(docs).collect()) > 240_000
+    assert {r.doc_id: r.size for r in sharding.shard_documents(docs).collect()}[3] == 1_200_001
+    classes = {r.doc_id: r.class_id for r in jaccard_join.jaccard_classes(docs).collect()}
+    assert classes[1] == classes[2] == 1 and len(set(classes.values())) == 4
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {1: 120_000, 2: 120_001, 3: 1, 4: 2, 5: 0}
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 5
+    assert {r.doc_id: r.n_words for r in quality.classify(docs, labels.where("quality = 1")).collect()} == {1: 120_000, 2: 120_001, 3: 1, 4: 2, 5: 0}
+
+
 def test_mixing(odd, empty, rows):
     got = mixing.mix(odd).collect()
     size = Counter()
@@ -187,6 +232,8 @@ def test_mixing(odd, empty, rows):
     order = sorted((s for s in size if s is not None)) + [None]
     level = {s: target[s] / (i % 3 + 1) for i, s in enumerate(order) if target[s] < 3 * size[s] - 1e-3}
     assert max(level.values()) - min(level.values()) < 1e-3
+    again = mixing.mix(odd.repartition(7)).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.target, r.taken) for r in again) == Counter((r.doc_id, r.source, r.size, r.target, r.taken) for r in got)
     assert mixing.mixed_documents(odd).columns == odd.columns
     assert not mixing.mix(empty).collect() and not mixing.mixed_documents(empty).collect()
 
@@ -200,9 +247,15 @@ def test_secrets(spark, empty):
         None,
         "",
     ]
+    # parts at the edge of the scope: the identifier starts 256 code points after one key, and 257 after another
+    texts.append(key + " " * (secrets.SCOPE - len(key)) + f"AKIA{'C' * 16}")
+    texts.append(key + " " * (secrets.SCOPE + 1 - len(key)) + f"AKIA{'C' * 16}")
+    texts.append(f"PassWord = {'x' * 9} and a PASSWD:{'y' * 5} client-id user_name: user=bob {'f' * 23} {'e' * 40}")
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y")]
-    got = sorted(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, _text string")).collect(), key=lambda r: r.doc_id)
-    assert len(got) == 6 and got[0].spans == got[1].spans
+    got = secrets.scan_secrets(spark.createDataFrame([*rows, (None, texts[0], "z"), (None, texts[0], "z")], "doc_id long, text string, _text string")).collect()
+    nulls, got = [r for r in got if r.doc_id is None], sorted((r for r in got if r.doc_id is not None), key=lambda r: r.doc_id)
+    assert len(got) == 9 and got[0].spans == got[1].spans == nulls[0].spans == nulls[1].spans
+    assert "key" in {x.kind for x in got[6].found} and "key" not in {x.kind for x in got[7].found}
     kinds = {
         "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
         "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
@@ -276,7 +329,7 @@ def test_clean_documents_by_content(spark):
 def test_packing_round_trip(odd, empty, rows):
     length = 64
     parts = defaultdict(list)
-    for r in packing.pack_documents(odd.dropDuplicates(["doc_id"]), length, block_tokens=2000).collect():
+    for r in packing.pack_documents(odd, length, block_tokens=2000).collect():
         ids, positions = np.frombuffer(r.ids, "<i4"), np.frombuffer(r.position_ids, "<i4")
         assert len(ids) == len(positions) == length and r.position_resets == r.cu_seqlens[:-1] and r.cu_seqlens[-1] == r.n_tokens
         for i, (d, at) in enumerate(zip(r.doc_ids, r.doc_offsets, strict=True)):
@@ -284,8 +337,10 @@ def test_packing_round_trip(odd, empty, rows):
             parts[d].append((at, ids[a:b].tolist()))
             assert positions[a:b].tolist() == list(range(b - a))
     tokenizer = packing.Tokenizer((Path(packing.TOKENIZERS) / packing.VOCABULARY).read_bytes())
+    times = Counter(r[0] for r in rows)
     for d, text in {r[0]: r[1] for r in rows}.items():
-        ids = [t for _, p in sorted(parts[d]) for t in p]
+        assert all(n % times[d] == 0 for n in Counter((at, tuple(p)) for at, p in parts[d]).values())  # repeated rows are packed each
+        ids = [t for _, p in sorted((at, p) for at, p in parts[d])[:: times[d]] for t in p]
         assert ids[-1] == packing.END and tokenizer.encoding.decode(ids[:-1]) == (text or "")
     assert not packing.pack_documents(empty).collect()
 

@@ -53,3 +53,9 @@ def test_stages(spark, sf):
 def test_run_is_the_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "shard", "slot"} <= set(got.columns) and got.count() > 0
+
+
+def test_run_on_empty_tables(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

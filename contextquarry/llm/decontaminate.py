@@ -205,12 +205,12 @@ def _canon_sql(table: str, key: str) -> str:
 OP1_SQL = f"""
 WITH {_canon_sql("documents", "doc_id")}, {_canon_sql("benchmark", "item_id")},
 wanted AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM benchmark_windows WHERE key IS NOT NULL AND literals >= {LITERALS}),
-met AS (SELECT DISTINCT d.k AS doc_id, b.k AS item_id, d.i - b.i AS shift, b.i AS at, b.n FROM documents_windows d JOIN wanted b ON d.key = b.key),
-candidates AS (SELECT doc_id, item_id FROM met GROUP BY doc_id, item_id, n HAVING count(DISTINCT at) >= greatest(1, ceil(n * {COVERAGE}))),
+met AS (SELECT DISTINCT d.k AS doc_id, b.k AS item_id, d.i - b.i AS shift, b.i AS place, b.n FROM documents_windows d JOIN wanted b ON d.key = b.key),
+candidates AS (SELECT doc_id, item_id FROM met GROUP BY doc_id, item_id, n HAVING count(DISTINCT place) >= greatest(1, ceil(n * {COVERAGE}))),
 filled AS (
   SELECT DISTINCT m.doc_id, m.item_id, m.shift, b.i, b.slot, b.plain AS item, d.plain AS doc
   FROM met m JOIN candidates c ON c.doc_id = m.doc_id AND c.item_id = m.item_id
-  JOIN benchmark_slots b ON b.k = m.item_id AND b.slot IN ('{NUMBER}', '{UNIT}', '{NAME}') AND b.i BETWEEN m.at AND m.at + {WINDOW - 1}
+  JOIN benchmark_slots b ON b.k = m.item_id AND b.slot IN ('{NUMBER}', '{UNIT}', '{NAME}') AND b.i BETWEEN m.place AND m.place + {WINDOW - 1}
   JOIN documents_slots d ON d.k = m.doc_id AND d.i = b.i + m.shift),
 kinds AS (SELECT doc_id, item_id, slot, item, doc, count(*) AS n FROM filled GROUP BY ALL),
 lost AS (
@@ -220,11 +220,11 @@ lost AS (
 bad AS (SELECT f.* FROM filled f JOIN lost l ON l.doc_id = f.doc_id AND l.item_id = f.item_id AND l.slot = f.slot AND l.item = f.item AND l.doc = f.doc),
 kept AS (
   SELECT m.* FROM met m JOIN candidates c ON c.doc_id = m.doc_id AND c.item_id = m.item_id
-  WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.doc_id = m.doc_id AND b.item_id = m.item_id AND b.shift = m.shift AND b.i BETWEEN m.at AND m.at + {WINDOW - 1})),
-counts AS (SELECT doc_id, item_id, n, count(DISTINCT at) AS n_matched FROM kept GROUP BY ALL HAVING count(DISTINCT at) >= greatest(1, ceil(n * {COVERAGE}))),
+  WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.doc_id = m.doc_id AND b.item_id = m.item_id AND b.shift = m.shift AND b.i BETWEEN m.place AND m.place + {WINDOW - 1})),
+counts AS (SELECT doc_id, item_id, n, count(DISTINCT place) AS n_matched FROM kept GROUP BY ALL HAVING count(DISTINCT place) >= greatest(1, ceil(n * {COVERAGE}))),
 slots AS (
   SELECT f.doc_id, f.item_id, count(DISTINCT f.i) AS n_slots, bool_or(f.item <> f.doc) AS reworded FROM filled f
-  WHERE EXISTS (SELECT 1 FROM kept m WHERE m.doc_id = f.doc_id AND m.item_id = f.item_id AND m.shift = f.shift AND f.i BETWEEN m.at AND m.at + {WINDOW - 1}) GROUP BY ALL)
+  WHERE EXISTS (SELECT 1 FROM kept m WHERE m.doc_id = f.doc_id AND m.item_id = f.item_id AND m.shift = f.shift AND f.i BETWEEN m.place AND m.place + {WINDOW - 1}) GROUP BY ALL)
 SELECT c.doc_id, c.item_id, c.n_matched, round(c.n_matched / c.n, 6) AS coverage, coalesce(s.n_slots, 0) AS n_slots, coalesce(s.reworded, false) AS reworded
 FROM counts c LEFT JOIN slots s ON s.doc_id = c.doc_id AND s.item_id = c.item_id
 """

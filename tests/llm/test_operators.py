@@ -132,6 +132,19 @@ def test_jaccard_join_of_large_buckets(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == brute_classes(rows)
 
 
+def test_jaccard_join_of_many_near_copies(spark):
+    """More near copies than a block holds, at all distances from their text, a quarter of them without an id."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10**6, 64)], []
+    for i in range(1200):
+        w = list(base)
+        for at in rng.integers(0, 64, int(rng.integers(1, 4))):
+            w[at] = f"x{rng.integers(0, 400)}"
+        rows.append((None if i % 4 == 0 else i, " ".join(w)))
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == brute_classes(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 102), (102, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -55,6 +55,17 @@ def test_run_is_the_stages(spark, sf):
     assert {"doc_id", "shard", "slot"} <= set(got.columns) and got.count() > 0
 
 
+def test_stages_take_odd_rows(spark, sf, odd):
+    """Null ids and texts, repeated rows, and columns with the operators' own names, in every stage."""
+    texts = {r.text for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        if name != "sharding":
+            assert got.columns == odd.columns
+            assert {r.text for r in got.collect()} <= texts
+    assert {r.text for r in corpus_pipeline.near_duplicates(spark, odd, sf).collect()} < texts
+
+
 def test_run_on_empty_tables(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

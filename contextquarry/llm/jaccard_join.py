@@ -23,7 +23,7 @@ SHARED = 2.0
 #: Larger buckets split, unless their sets are alike.
 BUCKET = 256
 #: Sets that are compared with each other at once, and shingles of them: what a task holds. Buckets of more are compared block by block.
-BLOCK, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK, BLOCK_TOKENS = 4096, 1 << 21
 #: Bytes of a set's sketch, each of a minimum hash, and how many two sets must have in common to be compared in full. At the threshold
 #: fewer agree with a probability of 3e-5; each of a pair's meetings has the same sketches.
 SKETCH, ALIKE = 24, 11

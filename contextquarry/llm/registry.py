@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity
+from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():
@@ -17,8 +17,17 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_quality": quality.op10_quality,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op4_secrets": secrets.OP4_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op8_mixing": mixing.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op2_substring_dedup": substring_dedup.OP2_SQL,
+        "op4_secrets": secrets.OP4_SQL,
+        "op7_jaccard_join": jaccard_join.OP7_SQL,
+        "op8_mixing": mixing.OP8_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op13_line_dedup": line_dedup.OP13_SQL,
+    }

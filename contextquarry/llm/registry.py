@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity, turn_repair
+from contextquarry.llm import decontaminate, divergence, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity, turn_repair
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_quality": quality.op10_quality,
+        "op11_divergence": divergence.op11_divergence,
         "op12_turn_repair": turn_repair.op12_turn_repair,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
@@ -30,6 +31,7 @@ def oracle_sql():
         "op7_jaccard_join": jaccard_join.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op11_divergence": divergence.OP11_SQL,
         "op12_turn_repair": turn_repair.OP12_SQL,
         "op13_line_dedup": line_dedup.OP13_SQL,
     }

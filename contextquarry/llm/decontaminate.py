@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextquarry.llm.common import SPACES, materialize
@@ -141,19 +141,17 @@ def _alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cov
         return F.struct(place.alias("place"), F.get("_slots", p).alias("slot"), F.get("_plain", p).alias("item"), F.when(bare == "", word).otherwise(bare).alias("doc"))
 
     filled = F.filter(F.transform("_covered", pair), lambda x: x["slot"].isin(NUMBER, UNIT, NAME))
-    own = materialize(own.select("_id", "_h", "item_id", "windows", "size", "n_windows", filled.alias("filled")), "slots")
-    same = lambda a, b: (a["slot"] == b["slot"]) & (a["item"] == b["item"]) & (a["doc"] == b["doc"])
-    kinds = F.array_distinct(F.transform("filled", lambda x: F.struct(x["slot"], x["item"], x["doc"])))
-    counted = F.transform(kinds, lambda k: F.struct(k["slot"].alias("slot"), k["item"].alias("item"), k["doc"].alias("doc"), F.size(F.filter("filled", lambda x: same(x, k))).alias("n")))
-    own = own.withColumn("_kinds", counted)
-
-    def beats(o: Column, k: Column) -> Column:
-        conflict = (o["slot"] == k["slot"]) & ((o["item"] == k["item"]) != (o["doc"] == k["doc"]))
-        return conflict & ((o["n"] > k["n"]) | ((o["n"] == k["n"]) & ((o["item"] < k["item"]) | ((o["item"] == k["item"]) & (o["doc"] < k["doc"])))))
-
-    own = own.withColumn("_lost", F.filter("_kinds", lambda k: F.exists("_kinds", lambda o: beats(o, k))))
-    own = own.withColumn("_bad", F.filter("filled", lambda x: F.exists("_lost", lambda k: same(x, k)))["place"])
-    own = own.withColumn("windows", F.array_except("windows", _reach("_bad", 1 - F.col("size"), 0))).where(enough("windows"))
+    own = own.select("_id", "_h", "item_id", "windows", "size", "n_windows", filled.alias("filled"), F.monotonically_increasing_id().alias("_row"))
+    own = materialize(own, "slots")
+    fills = own.select("_row", F.explode("filled").alias("x")).select("_row", "x.*")
+    pair_of = ["_row", "slot", "item", "doc"]
+    kinds = fills.groupBy(*pair_of).agg(F.count(F.lit(1)).alias("n"))
+    # of the pairs that share the item's value, or the document's, only the first can stand
+    best = lambda side: F.row_number().over(Window.partitionBy("_row", "slot", side).orderBy(F.desc("n"), "item", "doc"))
+    lost = kinds.select("*", best("item").alias("_a"), best("doc").alias("_b")).where("_a > 1 OR _b > 1").select(*pair_of)
+    bad = fills.join(lost, pair_of).groupBy(F.col("_row").alias("_r")).agg(F.collect_list("place").alias("_bad"))
+    own = own.join(bad, F.col("_row") == F.col("_r"), "left").withColumn("_bad", F.coalesce("_bad", F.array().cast("array<bigint>")))
+    own = materialize(own.withColumn("windows", F.array_except("windows", _reach("_bad", 1 - F.col("size"), 0))).drop("_bad", "_row", "_r"), "kept-windows").where(enough("windows"))
     own = own.withColumn("_covered", _reach("windows", 0, F.col("size") - 1))
     n = F.size(F.array_distinct(F.transform("windows", _at)))
     slots = F.array_intersect(F.col("filled.place"), F.col("_covered"))

@@ -118,6 +118,16 @@ def _repeated(found: DataFrame) -> DataFrame:
     return found.drop("many").join(often, F.col("anchor") == F.col("_a")).drop("_a")
 
 
+def _kinds(found: DataFrame) -> DataFrame:
+    """anchor, seg, weight, n and rep: the different segments, and the least id and text that has each. Ids alone may be null or repeat."""
+    return found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"))
+
+
+def _wanted(kinds: DataFrame) -> DataFrame:
+    """_i, _g and want: the segments whose words each text is asked for."""
+    return kinds.groupBy(F.col("rep._id").alias("_i"), F.col("rep._h").alias("_g")).agg(F.collect_list(F.struct("anchor", "seg", "weight")).alias("want"))
+
+
 def _words_of(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """anchor, seg, weight, words: the words of the wanted segments of each document (rows with want: array of anchor, seg, weight)."""
 
@@ -222,18 +232,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot_segments: int = HO
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("text"))
     none = np.zeros(0, np.uint64)
     found = materialize(_repeated(_occurrences(rows, window, none)), "segments")
-    kinds = found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min("_id").alias("rep"), F.first("n").alias("n"))
-    kinds = materialize(kinds, "segment-kinds")
+    kinds = materialize(_kinds(found), "segment-kinds")
     limit = max(hot_segments, kinds.count() // PARTS)
     often = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("anchor")
     hot = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))  # at most PARTS
     if len(hot):
         cool = found.join(F.broadcast(often.withColumnRenamed("anchor", "_a")), F.col("anchor") == F.col("_a"), "left_anti")
         found = cool.unionByName(materialize(_repeated(_occurrences(rows, window, hot, True)), "hot-windows"))
-        kinds = materialize(found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min("_id").alias("rep"), F.first("n").alias("n")), "segment-kinds")
+        kinds = materialize(_kinds(found), "segment-kinds")
     words = kinds.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    want = kinds.groupBy(F.col("rep").alias("_r")).agg(F.collect_list(F.struct("anchor", "seg", "weight")).alias("want"))
-    asked = rows.where("text IS NOT NULL").hint("merge").join(want, F.col("_id").eqNullSafe(F.col("_r"))).select("text", "want")
+    want = _wanted(kinds)
+    asked = rows.where("text IS NOT NULL").hint("merge").join(want, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("text", "want")
     shards = max(1, -(-words // shard_words))
     routed = _words_of(asked, window, hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     routed = routed.repartition(max(parts, min(shards, 10 * parts)), "shard").sortWithinPartitions("shard", "anchor", "seg")

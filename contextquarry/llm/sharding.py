@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextquarry.llm.common import materialize, running
@@ -55,13 +55,17 @@ def differencing(sizes: np.ndarray, shards: int) -> np.ndarray:
     return found
 
 
+def _bundle() -> Column:
+    return F.concat(F.lit("bundle "), F.pmod("_h", F.lit(BUNDLES)).cast("string"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Rows of equal text are one indivisible group; null texts are a group, too (size 1 each). A size is the text's UTF-8
     bytes plus 1. Groups with at least 1/LARGE of all bytes are items, and by that at most LARGE; all others
     are bundled by their hash into BUNDLES items, each a small part of a shard. So one task differences a set of at most
-    LARGE + BUNDLES sizes, whatever the input. Slots number a shard's rows from 0 in the order of (hash of doc_id,
+    LARGE + BUNDLES sizes, whatever the input. Slots number a shard's rows from 0 in the order of (hash of doc_id and text,
     doc_id, hash of text), by distributed prefix sums. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -76,7 +80,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_size"), F.first("_h").alias("_h"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     least = max(1, -(-total // LARGE))
-    item = F.when(F.col("_size") >= least, F.col("_group")).otherwise(F.concat(F.lit("bundle "), F.pmod("_h", F.lit(BUNDLES)).cast("string")))
+    item = F.when(F.col("_size") >= least, F.col("_group")).otherwise(_bundle())
     groups = materialize(groups.select("_group", "_size", item.alias("_item")), "shard-groups")
     items = groups.groupBy("_item").agg(F.sum("_size").alias("_size"))
 
@@ -86,9 +90,12 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     # at most LARGE + BUNDLES rows
     placed = materialize(items.groupBy().applyInPandas(solve, "_item string, shard int"), "shard-items")
-    of_group = groups.join(F.broadcast(placed), "_item").select("_group", "shard")
+    large = placed.where("_item NOT LIKE 'bundle %'").select(F.col("_item").alias("_group"), F.col("shard").alias("_own"))
+    bundles = placed.where("_item LIKE 'bundle %'").withColumnRenamed("shard", "_bundle")
     buckets = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
-    put = rows.join(of_group, "_group").withColumn("_key", F.xxhash64("doc_id"))
+    # rows find their items where they lie, so one text's rows don't meet in a task
+    put = rows.join(F.broadcast(large), "_group", "left").withColumn("_item", _bundle()).join(F.broadcast(bundles), "_item", "left")
+    put = put.withColumn("shard", F.coalesce("_own", "_bundle")).drop("_own", "_bundle", "_item").withColumn("_key", F.xxhash64("doc_id", "_h"))
     put = put.withColumn("_bucket", F.floor((F.shiftright("_key", 32) + F.lit(1 << 31)) * buckets / F.lit(float(1 << 32))).cast("long"))
     put = running(put, ["shard"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("_h")], {"slot": F.lit(1)})
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -43,19 +43,18 @@ def targets(totals: DataFrame, max_epochs: int = 3, weight: Column | None = None
 def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, weight: Column | None = None, whole_documents: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
-    Each document gets a key, the MD5 of seed and doc_id. Within a source, documents are ordered by key; prefix
+    Each document gets a key, the MD5 of seed, doc_id and the MD5 of its text. Within a source, documents are ordered by key; prefix
     sums of their sizes in words are made by ranges of keys, so a source of any size spreads over many tasks. A source is
     taken whole as often as its budget (the target's whole part) allows, and then up to the exact budget: the document at
     the cut is taken in part, or with whole_documents, if at least half of it fits. So taken <= max_epochs * size.
 
-    Null texts are empty, of size 0, and never taken. A null source is a source of its own, last in order. Documents with
-    equal keys (repeated ids) follow each other by the hash of their text. A source without words has target 0. An empty table gives no rows.
+    Null texts are empty, of size 0, and never taken. A null source is a source of its own, last in order. Repeated rows have equal keys. A source without words has target 0. An empty table gives no rows.
     """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("_key"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("_key"),
         F.xxhash64("text").alias("_tie"),
     )
     sized = materialize(sized, "mix-sizes")
@@ -93,7 +92,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM totals),

@@ -441,17 +441,68 @@ def test_quality_is_kneser_ney(spark, monkeypatch):
     assert [(r.n_words, r.n_chars) for r in got] == [(len(split(t)), sum(len(w) + 1 for w in split(t))) for t in texts]
 
 
-def test_quality_reads_long_texts_in_parts(spark, monkeypatch):
+def test_quality_reads_long_texts_in_parts(monkeypatch):
+    """Parts have the words of the whole, each whole and in its place."""
     rng = np.random.default_rng(3)
-    long = " ".join(f"w{x}" for x in rng.integers(0, 50, 3000))
-    docs = spark.createDataFrame([(1, long, None), (2, long, None), (3, "w1 w2", "x")], "doc_id long, text string, lang string").coalesce(1)
-    none = docs.select("doc_id").limit(0)
-    want = {r.doc_id: (r.n_words, r.n_chars, round(r.nll)) for r in quality.score_documents(docs, none).collect()}
-    found = [x for first, part, ends in quality._parts(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)])) for x in split(part.tobytes().decode())]
-    monkeypatch.setattr(quality, "BLOCK_BYTES", 700)
-    parts = [split(part.tobytes().decode()) for _, part, _ in quality._parts(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))]
-    assert len(parts) > 10 and [x for p in parts for x in p] == found == split(long)
-    assert want[1] == want[2] and want[1][0] == 3000
+    for text in (" ".join(f"w{x}{'' if x % 7 else '.'}" for x in rng.integers(0, 50, 3000)), "x" * 5000, "a. " + "y" * 3000 + "  \n" + " " * 2000 + "z b", " " * 3000 + "c", "é" * 2000 + ". d " + "e" * 1500):
+        raw = np.frombuffer(f"One text. {text}|short one".encode(), np.uint8)
+        ends = np.array([0, 10, len(raw) - 10, len(raw)])
+        whole = quality.Words.of(raw, ends)
+        monkeypatch.setattr(quality, "BLOCK_BYTES", 700)
+        parts = list(quality._parts(raw, ends))
+        monkeypatch.undo()
+        assert len(parts) > 3
+        counts, n_words, n_chars = Counter(), np.zeros(3, int), np.zeros(3, int)
+        for first, part, cut, opens in parts:
+            own = quality.Words.of(part, cut, opens)
+            n_words[first : first + len(own.n_words)] += own.n_words
+            n_chars[first : first + len(own.n_words)] += own.n_chars
+            counts.update(dict(zip(own.binary().to_pylist(), own.totals().tolist(), strict=True)))
+        assert counts == Counter(dict(zip(whole.binary().to_pylist(), whole.totals().tolist(), strict=True)))
+        assert (n_words.tolist(), n_chars.tolist()) == (whole.n_words.tolist(), whole.n_chars.tolist())
+
+
+def test_quality_of_words_and_texts_longer_than_a_block(spark):
+    """4 MB: one word, and words without a sentence's end; costs are those of any length."""
+    sentence = "some words that go on "
+    texts = ["The end. Some words that go on.", "u" * 4_000_000, sentence * 180_000, sentence * 2, "u" * 40, "ü" * 2_000_001]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r for r in quality.score_documents(docs, spark.createDataFrame([(0,)], "doc_id long"), held_out=10**9).collect()}
+    assert [(got[i].n_words, got[i].n_chars) for i in (1, 2, 5)] == [(1, 4_000_001), (900_000, 900_000 + 18 * 180_000), (1, 2_000_002)]
+    first, later = got[3].nll, None
+    want = brute_word_costs([texts[0]], ["some", "words", sentence.strip(), " ".join([sentence.strip()] * 3)])
+    later = want[3] - want[2]  # two sentences' words within a sentence
+    assert got[2].nll == pytest.approx(want[2] + later / 2 * 179_999, rel=1e-4)
+    assert first == pytest.approx(want[2] + later / 2, rel=1e-5)
+
+
+def test_judge_by_hand(spark):
+    """Means, prior, quantile, held-out roles and languages without any."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        lang = ("en", "de", None, "few", "new")[i % 5]
+        role = 0 if lang == "new" or i % 2 else 1 + (i % 6 == 0 and lang not in ("few",))
+        n = int(rng.integers(0, 300))
+        rows.append((i, i, lang, n // 5, n, float(n * rng.uniform(1, 4)), role))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, h long, lang string, n_words long, n_chars long, nll double, role int").repartition(4), 0.9, 0.05, 60).collect()}
+    trusted = [r for r in rows if r[6] > 0 and r[4] > 0]
+    mean = lambda rs: sum(r[5] for r in rs) / sum(r[4] for r in rs)
+    score = {r[0]: (r[5] + 60 * mean([t for t in trusted if t[2] == r[2]] or trusted)) / (r[4] + 60) for r in rows}
+
+    def limit(rs):
+        """The least score that the share 0.9 of them doesn't exceed."""
+        own = sorted(score[r[0]] for r in rs)
+        return own[int(np.ceil(0.9 * len(own))) - 1] + 0.05
+
+    every = limit([r for r in trusted if r[6] == 2])
+    for r in rows:
+        own = [t for t in trusted if t[2] == r[2]]
+        judged = max((t[6] for t in own), default=0)
+        want = limit([t for t in own if t[6] == judged]) if own else every
+        assert got[r[0]].score == pytest.approx(score[r[0]])
+        assert got[r[0]].limit == pytest.approx(want)
+        assert got[r[0]].kept == (score[r[0]] <= got[r[0]].limit)
 
 
 def test_spelling_sums_to_one(spark):

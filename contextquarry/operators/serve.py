@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MAX_BODY = 65_536
 BUDGETS = (4000, 8000, 16000, 32000)
 LIMIT, WINDOW_SECONDS = 3, 86_400
+#: Fixed value: seconds that a turn may take from one chunk to the next.
+IDLE_SECONDS = 45
 CEILING_CENTS = 2500
 #: Dollars for a million tokens in and out.
 RATES = [("large", 5.0, 25.0), ("medium", 3.0, 15.0), ("served", 0.0, 0.0)]
@@ -87,6 +89,50 @@ def terminal_state(usage: DataFrame) -> DataFrame:
     return accounted(usage).withColumn("state", state)
 
 
+def turn_state(end: str, prompt: int | None, candidates: int | None, thoughts: int | None, total: int | None) -> str:
+    """The state in which a turn has ended: timeout and cancelled as they are, others by their counters, as terminal_state has it."""
+    if end != "end":
+        return {"timeout": "timeout", "cancel": "cancelled"}[end]
+    if not total:
+        return "error: no usage"
+    return "done" if (prompt or 0) + (candidates or 0) + (thoughts or 0) == total else "error: mismatch"
+
+
+def turn_ends(chunks: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """Recorded chunks (turn_id, seq, at, kind, raw) -> turn_id, ended ('end', 'cancel' or 'timeout'), n_frames and raw: what a turn said until then, to its last empty line unless it ended by itself.
+
+    A turn ends with its first row of another kind than 'chunk', or where the next row comes more than idle_seconds later; without either it has timed out.
+    """
+    by = Window.partitionBy("turn_id").orderBy("seq")
+    gap = F.unix_micros("at") - F.lag(F.unix_micros("at")).over(by) > idle_seconds * 1_000_000
+    ends = F.when(gap, "timeout").when(F.col("kind") != "chunk", F.col("kind"))
+    marked = chunks.withColumn("_end", ends)
+    first = F.min(F.when(F.col("_end").isNotNull(), F.struct("seq", "_end")))
+    marked = marked.withColumn("_first", first.over(Window.partitionBy("turn_id")))
+    kept = F.when((F.col("kind") == "chunk") & (F.col("_first").isNull() | (F.col("seq") < F.col("_first.seq"))), F.struct("seq", F.coalesce("raw", F.lit("")).alias("raw")))
+    by_turn = marked.groupBy("turn_id").agg(F.coalesce(F.first("_first._end"), F.lit("timeout")).alias("ended"), F.array_sort(F.collect_list(kept)).alias("_parts"))
+    by_turn = by_turn.select("turn_id", "ended", F.regexp_replace(F.array_join(F.transform("_parts", lambda x: x["raw"]), ""), "\r\n", "\n").alias("raw"))
+    by_turn = by_turn.withColumn("_pieces", F.split("raw", "\n\n")).withColumn("_open", F.size("_pieces") - 1)
+    blank = ~F.element_at("_pieces", -1).rlike(r"\S")
+    n = F.when((F.col("ended") == "end") & ~blank, F.size("_pieces")).otherwise(F.col("_open")).cast("long")
+    raw = F.when(F.col("ended") == "end", F.col("raw")).otherwise(F.array_join(F.slice("_pieces", F.lit(1), F.col("_open")), "\n\n"))
+    return by_turn.select("turn_id", "ended", n.alias("n_frames"), raw.alias("raw"))
+
+
+def turn_frames(ended: DataFrame) -> DataFrame:
+    """What turn_ends returns -> the rows that turns.frame_stream gives: that the turn is live, its frames, and the state in which it has ended."""
+    found = frames(ended, ["turn_id"]).withColumn("frame_no", F.col("frame_no").cast("long"))
+    counters = ["prompt", "candidates", "thoughts", "total"]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("frame_no"))).alias(c)
+    use = ended.select("turn_id", "ended", "n_frames").join(found.groupBy("turn_id").agg(*map(last, counters)), "turn_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    fits = zero("prompt") + zero("candidates") + zero("thoughts") == F.col("total")
+    state = F.when(F.col("ended") == "cancel", "cancelled").when(F.col("ended") == "timeout", "timeout").when(zero("total") == 0, "error: no usage").when(fits, "done").otherwise("error: mismatch")
+    said = found.select("turn_id", "frame_no", "text", *counters, F.lit(None).cast("string").alias("state"))
+    live = ended.select("turn_id", F.lit(-1).cast("long").alias("frame_no"), F.lit("").alias("text"), *(F.lit(None).cast("long").alias(c) for c in counters), F.lit("live").alias("state"))
+    return said.unionByName(live).unionByName(use.select("turn_id", F.col("n_frames").alias("frame_no"), F.lit("").alias("text"), *counters, state.alias("state")))
+
+
 def project(usage: DataFrame, rates: DataFrame, serving: str = SERVING) -> DataFrame:
     """usage with prompt and output, for each rate: input_usd, output_usd, total_usd, free, served. Rates are a handful of rows."""
     price = lambda tokens, rate: F.col(tokens) * F.col(rate) / 1e6

@@ -264,6 +264,70 @@ def replay_fallback(spark, d):
     return latest_replay(spark, d).join(live, "conv_id", "left").select("conv_id", F.coalesce("live", "text").alias("text"), F.col("live").isNull().alias("replayed"))
 
 
+def recorded_chunks(spark, d):
+    """Conversations as turns in chunks with times: a chunk per row, half a step of conv_id % 60 seconds for each number of seq. Some are cancelled, some never end, some end within a frame."""
+    c = F.col("conv_id")
+    rows = raw_frames(spark, d)
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = rows.join(last, "conv_id")
+    cut = F.when((c % 4 == 2) & (F.col("turn") == F.col("last")), F.substring("raw", F.lit(1), F.length("raw") - 4)).otherwise(F.col("raw"))
+    chunks = rows.select("conv_id", (F.col("turn") * 2).alias("seq"), F.lit("chunk").alias("kind"), cut.alias("raw"))
+    none = F.lit(None).cast("string").alias("raw")
+    ends = last.where(c % 5 != 0).select("conv_id", (F.col("last") * 2 + 2).alias("seq"), F.lit("end").alias("kind"), none)
+    cancels = last.where(c % 7 == 3).select("conv_id", F.lit(3).cast("long").alias("seq"), F.lit("cancel").alias("kind"), none)
+    at = F.timestamp_millis(F.lit(1_767_225_600_000) + F.col("seq") * (c % 60) * 500)
+    return chunks.unionByName(ends).unionByName(cancels).select(c.alias("turn_id"), "seq", at.alias("at"), "kind", "raw")
+
+
+_N_IN = "1 + (turn % 3 = 0)::BIGINT + (turn % 4 = 1)::BIGINT"
+_ENDED = f"""
+lasts AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+chunks AS (
+  SELECT conv_id, turn * 2 AS seq, 'chunk' AS kind FROM conversations
+  UNION ALL SELECT conv_id, last * 2 + 2, 'end' FROM lasts WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id, 3, 'cancel' FROM lasts WHERE conv_id % 7 = 3),
+told AS (
+  SELECT *, CASE WHEN (seq - lag(seq) OVER (PARTITION BY conv_id ORDER BY seq)) * (conv_id % 60) * 500 > {serve.IDLE_SECONDS * 1000} THEN 'timeout' WHEN kind <> 'chunk' THEN kind END AS stop FROM chunks),
+stops AS (SELECT conv_id, min(seq) FILTER (stop IS NOT NULL) AS at, coalesce(arg_min(stop, seq) FILTER (stop IS NOT NULL), 'timeout') AS ended FROM told GROUP BY conv_id),
+kept AS (
+  SELECT c.conv_id, c.turn, coalesce(c.text, '') AS text, s.ended, {_N_IN} AS n_in, c.conv_id % 4 = 2 AND c.turn = l.last AND s.ended <> 'end' AS lost,
+         coalesce(sum({_N_IN}) OVER (PARTITION BY c.conv_id ORDER BY c.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS frame_no
+  FROM conversations c JOIN stops s ON s.conv_id = c.conv_id AND (s.at IS NULL OR c.turn * 2 < s.at) JOIN lasts l ON l.conv_id = c.conv_id),
+said AS (SELECT conv_id AS turn_id, frame_no, text, {_COUNT(3)} AS prompt, {_COUNT(2)} AS candidates, NULL::BIGINT AS thoughts, turn * 5 AS total FROM kept WHERE NOT (lost AND n_in = 1)),
+counted AS (SELECT turn_id, {", ".join(f"arg_max({c}, frame_no) FILTER ({c} IS NOT NULL) AS {c}" for c in ("prompt", "candidates", "thoughts", "total"))} FROM said GROUP BY turn_id),
+lengths AS (SELECT conv_id, sum(n_in - lost::BIGINT)::BIGINT AS frame_no FROM kept GROUP BY conv_id),
+turn_rows AS (
+  SELECT *, NULL AS state FROM said UNION ALL SELECT conv_id, -1, '', NULL, NULL, NULL, NULL, 'live' FROM stops
+  UNION ALL SELECT s.conv_id, coalesce(n.frame_no, 0), '', c.prompt, c.candidates, c.thoughts, c.total,
+    CASE WHEN ended = 'cancel' THEN 'cancelled' WHEN ended = 'timeout' THEN ended WHEN coalesce(c.total, 0) = 0 THEN 'error: no usage'
+         WHEN coalesce(c.prompt, 0) + coalesce(c.candidates, 0) + coalesce(c.thoughts, 0) = c.total THEN 'done' ELSE 'error: mismatch' END
+  FROM stops s LEFT JOIN lengths n ON n.conv_id = s.conv_id LEFT JOIN counted c ON c.turn_id = s.conv_id)"""
+
+
+def _turn_frames(spark, d):
+    return serve.turn_frames(serve.turn_ends(recorded_chunks(spark, d)))
+
+
+@query("turn_frames", f"WITH {_ENDED} SELECT turn_id, frame_no, text, prompt, candidates, total, state FROM turn_rows")
+def turn_frames(spark, d):
+    """Turns that ended, were cancelled or timed out, as streams of chunks give them."""
+    return _turn_frames(spark, d).drop("thoughts")
+
+
+@query(
+    "turn_events",
+    f"""WITH {_ENDED} SELECT turn_id, frame_no + 1 AS seq, CASE WHEN state IS NULL THEN 'delta' WHEN state = 'live' THEN 'status' WHEN state IN ('done', 'cancelled') THEN state ELSE 'error' END AS type,
+    CASE WHEN state IS NULL THEN text END AS text, CASE WHEN state = 'done' THEN total END AS total, CASE WHEN state = 'done' THEN coalesce(candidates, 0) + coalesce(thoughts, 0) END AS output,
+    CASE WHEN state NOT IN ('live', 'done', 'cancelled') THEN state END AS error FROM turn_rows WHERE state IS NOT NULL OR text <> ''""",
+)
+def turn_events(spark, d):
+    """The events of turns, read back from their JSON."""
+    from contextquarry.streaming.sinks import events
+
+    of = lambda path: F.get_json_object("payload", f"$.{path}")
+    rows = events(_turn_frames(spark, d))
+    return rows.select("turn_id", "seq", of("type").alias("type"), of("text").alias("text"), of("usage.totalTokenCount").cast("long").alias("total"), of("outputTokens").cast("long").alias("output"), of("error").alias("error"))
+
+
 # usage, prices, quotas
 
 _USAGE = f"""usage AS (SELECT conv_id, coalesce(sum({estimate_sql('text')}) FILTER (role = 'user'), 0)::BIGINT AS prompt, coalesce(sum({estimate_sql('text')}) FILTER (role = 'assistant'), 0)::BIGINT AS output,

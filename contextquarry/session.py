@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Timers and several values of state need this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A UTC session with adaptive execution for one machine."""
     return (
@@ -16,6 +20,7 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .getOrCreate()
     )
 

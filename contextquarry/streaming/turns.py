@@ -1,4 +1,4 @@
-"""Structured Streaming: quotas by key and recorded chunks of turns."""
+"""Structured Streaming: quotas by key, and chunks of turns that end, are cancelled or time out."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from contextquarry.operators.serve import LIMIT, WINDOW_SECONDS
+from contextquarry.operators.serve import IDLE_SECONDS, LIMIT, WINDOW_SECONDS, turn_state
 
 DECISION = "key string, hit_id long, ts timestamp, n long, allowed boolean"
-FRAME = "turn_id long, frame_no long, text string, prompt long, candidates long, thoughts long, total long"
+FRAME = "turn_id long, frame_no long, text string, prompt long, candidates long, thoughts long, total long, state string"
 
 
 def quota_stream(hits: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
@@ -61,34 +62,86 @@ def read_frame(frame: str) -> dict | None:
     return {"text": "".join(p.get("text") or "" for p in parts)} | {c: use.get(f"{c}TokenCount") for c in ("prompt", "candidates", "thoughts", "total")}
 
 
-def frame_stream(chunks: DataFrame) -> DataFrame:
-    """chunks (turn_id, seq, raw) -> the frames of each turn, in append mode.
+class Turn(StatefulProcessor):
+    """State of a turn: what follows its last empty line, frames and counters so far, when its last chunk came, and whether it has ended."""
 
-    A chunk may end anywhere, between the two characters of a line end, too: what follows a turn's last empty line is its state, and line ends are unified
-    after chunk and state are joined. A chunk with raw null ends its turn, and what is left is its last frame.
-    """
+    COUNTERS = ("prompt", "candidates", "thoughts", "total")
+
+    def __init__(self, idle_seconds: int):
+        self.idle = idle_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        counters = ", ".join(f"{c} long" for c in self.COUNTERS)
+        self.turn = handle.getValueState("turn", f"rest string, n long, last long, ended boolean, {counters}")
 
-    def cut(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, n = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        ended = rows["raw"].isna().any()
-        whole = (rest + "".join(x for x in rows["raw"] if isinstance(x, str))).replace("\r\n", "\n")
-        *done, rest = whole.split("\n\n")
-        if ended:
-            done.append(rest)
+    def _read(self, frames: list[str], n: int, use: list) -> tuple[list[dict], int]:
         out = []
-        for frame in done:
+        for frame in frames:
             if (found := read_frame(frame)) is not None:
-                out.append({"turn_id": key[0], "frame_no": n, **found})
+                out.append({"frame_no": n, **found})
+                use[:] = [u if found[c] is None else found[c] for c, u in zip(self.COUNTERS, use, strict=True)]
             n += 1
-        if ended:
-            state.remove()
-        else:
-            state.update((rest, n))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in FRAME.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("turn_id", "frame_no", "prompt", "candidates", "thoughts", "total")})
-
-    return chunks.groupBy("turn_id").applyInPandasWithState(cut, FRAME, "rest string, n long", "append", GroupStateTimeout.NoTimeout)
+        return out, n
+
+    def _end(self, state: str, n: int, use: list) -> dict:
+        return {"frame_no": n, "text": "", "state": turn_state(state, *use)} | dict(zip(self.COUNTERS, use, strict=True))
+
+    def _rows(self, key: tuple, rows: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame([{"turn_id": key[0], "state": None, **r} for r in rows], columns=[x.split()[0] for x in FRAME.split(", ")])
+        return frame.astype({c: "Int64" for c in ("turn_id", "frame_no", *self.COUNTERS)})
+
+    def _wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.turn.get() if self.turn.exists() else ("", 0, None, False, None, None, None, None)
+        rest, n, last, ended, *use = held
+        out = [] if last is not None else [{"frame_no": -1, "text": "", "state": "live"}]
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if ended:
+                break  # what comes after the end is nobody's
+            at = r.at.value // 1_000_000
+            if last is not None and at > last + self.idle:
+                ended = "timeout"
+            elif r.kind in ("end", "cancel"):
+                ended, last = r.kind, at
+            else:
+                # a chunk may end between the two characters of a line end
+                *done, rest = (rest + (r.raw if isinstance(r.raw, str) else "")).replace("\r\n", "\n").split("\n\n")
+                found, n = self._read(done, n, use)
+                out += found
+                last = at
+            if ended:
+                if ended == "end" and rest.strip():
+                    found, n = self._read([rest], n, use)
+                    out += found
+                out.append(self._end(ended, n, use))
+                rest = ""
+        self.turn.update((rest, n, last, bool(ended), *use))
+        self._wake(last + self.idle + 1)  # the end of a turn is remembered as long, so late chunks don't begin it anew
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, n, _, ended, *use = self.turn.get()
+        self.turn.clear()
+        yield self._rows(key, [] if ended else [self._end("timeout", n, use)])
+
+    def close(self) -> None:
+        pass
+
+
+def frame_stream(chunks: DataFrame, idle_seconds: int = IDLE_SECONDS, lateness: str = "10 seconds") -> DataFrame:
+    """chunks (turn_id, seq, at, kind, raw) -> rows of each turn, in append mode: one of the state 'live', its frames, and its end with another state.
+
+    kind: 'chunk', 'end' or 'cancel'. A chunk may end anywhere, so what follows a turn's last empty line waits in its state; the end makes it the last frame. A turn without a chunk for idle_seconds, by
+    the time of chunks (at) and of the watermark, which is `lateness` behind, ends with the state 'timeout', and a cancelled one with 'cancelled': what they were waiting with is dropped. States of others
+    are those of turn_state. The end's row has the latest counters. Chunks after the end are left out. Needs the state store STATE_STORE.
+    """
+    watermarked = chunks.select("turn_id", "seq", "at", "kind", "raw").withWatermark("at", lateness)
+    return watermarked.groupBy("turn_id").transformWithStateInPandas(Turn(idle_seconds), outputStructType=FRAME, outputMode="append", timeMode="eventTime")
 
 
 def usage_stream(frames: DataFrame) -> DataFrame:

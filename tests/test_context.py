@@ -203,18 +203,6 @@ def test_quota_stream(spark, tmp_path):
     assert [r.allowed for r in got] == [True, True, True, False, False, True]
 
 
-def test_frame_stream(spark, tmp_path):
-    whole = 'data: {"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]}}]}\r\n\r\ndata: {"usageMetadata":{"promptTokenCount":6,"totalTokenCount":9}}\r\n\r\ndata: {bad\r\n\r\ndata: [DONE]\r\n\r\n'
-    at = whole.index("\r\n\r\n") + 1  # cut within a line end
-    chunks = [(1, 0, whole[:5]), (1, 1, whole[5:at]), (1, 2, whole[at:]), (1, 3, None)]
-    schema = "turn_id long, seq long, raw string"
-    for c in chunks:
-        spark.createDataFrame([c], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    got = _run(spark, turns.frame_stream(stream), "append", "frames")
-    assert [(r.frame_no, r.text, r.prompt, r.total) for r in sorted(got, key=lambda r: r.frame_no)] == [(0, "ab", None, None), (1, "", 6, 9)]
-
-
 def test_code_index_of_the_json_package(spark):
     symbols, edges = (catalog.queries()[n](spark, "") for n in ("code_symbols", "code_edges"))
     assert symbols.count() == 31 and edges.count() == 23

@@ -58,11 +58,3 @@ def test_sinks(spark, tmp_path):
         sinks.record_spend(stream(), str(tmp_path / "spend"), str(tmp_path / "c2")).awaitTermination(60)
     assert [r.text for r in spark.read.parquet(str(tmp_path / "replays")).collect()] == ["good"]
     assert [r.cents for r in spark.read.parquet(str(tmp_path / "spend")).collect()] == [103]
-
-    frames = spark.createDataFrame([(1, 0, "a"), (1, 1, ""), (1, 2, 'b"\n')], "turn_id long, frame_no long, text string")
-    usage = spark.createDataFrame([(1, "done", 3, 4), (2, "error: no usage", 0, 0)], "turn_id long, state string, prompt long, output long")
-    got = [(r.turn_id, r.type, json.loads(r.payload)) for r in sinks.events(frames, usage).orderBy("turn_id", "seq").collect()]
-    assert got == [
-        (1, "status", {"state": "streaming"}), (1, "delta", {"text": "a"}), (1, "delta", {"text": 'b"\n'}), (1, "done", {"prompt": 3, "output": 4}),
-        (2, "status", {"state": "streaming"}), (2, "error", {"message": "error: no usage"}),
-    ]

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from contextquarry.plans import queries_code, queries_context, queries_evaluate, queries_serve  # noqa: F401
+    from contextquarry.plans import queries_build, queries_code, queries_context, queries_evaluate, queries_serve  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -70,7 +70,7 @@ CONFIGS = [(0, "bm25"), *((h, "max") for h in (1, 2, 3)), *((h, "rrf") for h in
 KS = (20, 50)
 
 
-def _grid_sql(fielded: bool) -> str:
+def grid_sql(fielded: bool, expected: str = _EXPECTED) -> str:
     ranks = ["SELECT 'bm25' AS fusion, 0 AS hops, request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ord) AS rank FROM bm25"]
     more = []
     for h in (1, 2, 3):
@@ -81,17 +81,21 @@ p{h} AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DES
         ranks.append(f"SELECT 'max', {h}, request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY greatest(score, coalesce(g, 0)) DESC, ord) FROM j{h}")
         ranks.append(f"SELECT 'rrf', {h}, request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY 1 / ({evaluate.RRF_K} + a) + coalesce(1 / ({evaluate.RRF_K} + b), 0) DESC, a) FROM p{h}")
     ks = ", ".join(f"({k}::BIGINT)" for k in KS)
-    return f"""SELECT * FROM (WITH {BASE},{bm25.scores_sql(fielded)},{EDGES},{graph.reached_sql(3)},{",".join(more)}, grid AS ({" UNION ALL ".join(ranks)}), {_EXPECTED},
+    return f"""SELECT * FROM (WITH {BASE},{bm25.scores_sql(fielded)},{EDGES},{graph.reached_sql(3)},{",".join(more)}, grid AS ({" UNION ALL ".join(ranks)}), {expected},
       found AS (SELECT c.fusion, c.hops, e.request_id, k, avg((coalesce(g.rank, 1000000000) <= k)::INT) AS recall
         FROM expected e CROSS JOIN (SELECT DISTINCT fusion, hops FROM grid) c CROSS JOIN (VALUES {ks}) v(k)
         LEFT JOIN grid g ON g.fusion = c.fusion AND g.hops = c.hops AND g.request_id = e.request_id AND g.id = e.id GROUP BY ALL)
       SELECT {str(fielded).lower()} AS fielded, f.fusion, f.hops::BIGINT AS hops, a.repo, f.k, count(*) AS tasks, round(avg(f.recall), 6) AS recall FROM found f JOIN asked a ON a.request_id = f.request_id GROUP BY ALL)"""
 
 
-@query("recall_grid", " UNION ALL ".join(map(_grid_sql, (False, True))))
+@query("recall_grid", " UNION ALL ".join(map(grid_sql, (False, True))))
 def recall_grid(spark, d):
+    return grid(spark, d, T.requests(spark, d), expected(spark, d))
+
+
+def grid(spark, d, requests, expected):
     """Mean recall by repo for one and for two fields, each without the graph, with one to three hops by the greater score, and with one to three by fused ranks. Scores and expansion are computed once for each number of fields."""
-    want, requests, rows = materialize(expected(spark, d), "expected"), T.requests(spark, d), None
+    want, rows = materialize(expected, "expected"), None
     for fielded in (False, True):
         scores = scored(T.symbols(spark, d, True), requests, fielded)
         found = materialize(graph.reached(graph.top_seeds(scores), _edges(spark, d), 3), "reached")

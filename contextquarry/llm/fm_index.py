@@ -69,11 +69,11 @@ class FMIndex:
         inside[ends - 1] = False
         symbols[inside] = np.concatenate([*texts, np.zeros(0, np.int64)])
         self.size, self.depth = n, depth
-        rank, have, ranks = symbols, 1, {1: symbols}
+        rank, have, ranks = symbols, 1, {1: symbols.astype(np.int32)}
         while have < depth:
             rank = self._double(rank, rank, have)
             have *= 2
-            ranks[have] = rank
+            ranks[have] = rank.astype(np.int32)
         order = np.argsort(rank, kind="stable")
         # how many symbols a suffix shares with the one before it, up to depth: widths from the longest on, while ranks are equal
         shared = np.zeros(n, np.int64)

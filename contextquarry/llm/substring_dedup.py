@@ -19,8 +19,8 @@ WINDOW = 35
 ANCHOR = 8
 #: Windows of a segment at most: bits of its mask.
 RUN = 28
-#: Words of an index, about.
-SHARD_WORDS = 1_000_000
+#: Words of an index, about: some 100 MB while it is built.
+SHARD_WORDS = 250_000
 #: Different segments of an anchor at least, and parts of all segments, for the anchor to be hot: so there are at most PARTS hot ones.
 HOT, PARTS = 4096, 1_000_000
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contextquarry.catalog import query
 from contextquarry.functions.text import render, render_sql, tokens, tokens_sql
-from contextquarry.operators import bm25, graph, packer
+from contextquarry.operators import bm25, graph, packer, postings
 from contextquarry.plans.pack import FUSE_SQL, fuse, pack, render_pack, scored
+from contextquarry.scratch import scratch
 from contextquarry.session import spread
 from contextquarry.sources import tables as T
 
@@ -137,6 +140,43 @@ def bm25_topk(spark, d):
     return graph.top_seeds(scored(T.symbols(spark, d, True), T.requests(spark, d))).select("request_id", F.col("seed").alias("id"), F.col("seed_rank").cast("long").alias("seed_rank"), F.round("seed_score", 6).alias("score"))
 
 
+def _stale(symbols):
+    """An earlier state of symbols: some are missing, some say something else, and some have gone since."""
+    kept = symbols.where(F.col("ord") % 5 != 0)
+    changed = kept.withColumn("signature", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("the red secret_token of "), F.col("signature"))).otherwise(F.col("signature")))
+    gone = symbols.where(F.col("ord") % 7 == 0).withColumns({"ord": F.col("ord") + F.lit(1 << 50), "id": F.concat(F.lit("gone:"), F.col("id"))})
+    return changed.unionByName(gone)
+
+
+def _index(spark, d):
+    """An index of symbols that was built from an earlier state and then updated."""
+    index = postings.Index(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex[:12]}")
+    symbols = T.symbols(spark, d, True)
+    index.update(_stale(symbols))
+    index.update(symbols)
+    return index
+
+
+@query("bm25_topk_index", f"WITH {RANKED},{EDGES},{graph.reached_sql(1)} SELECT request_id, seed AS id, seed_rank, round(seed_score, 6) AS score FROM seeds")
+def bm25_topk_index(spark, d):
+    """bm25_topk from a stored index, two generations old, that reads the blocks that can matter."""
+    best = postings.top(_index(spark, d), T.requests(spark, d), graph.SEEDS)
+    return best.select("request_id", "id", F.col("rank").alias("seed_rank"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "index_statistics",
+    f"""WITH {T.SYMBOLS}, n AS (SELECT repo, count(*) AS docs, round(avg(len({tokens_sql('name')})), 6) AS avg_name, round(avg(len({tokens_sql("concat_ws(' ', signature, doc_first)")})), 6) AS avg_text FROM symbols GROUP BY repo),
+    w AS (SELECT repo, count(*) FILTER (ord % 5 = 0) AS added, count(*) FILTER (ord % 5 <> 0 AND ord % 3 = 0) AS changed, count(*) FILTER (ord % 7 = 0) AS gone FROM symbols GROUP BY repo)
+    SELECT n.repo, docs, avg_name, avg_text, w.added + w.changed AS written, w.gone FROM n JOIN w ON w.repo = n.repo""",
+)
+def index_statistics(spark, d):
+    """Documents and mean lengths of an index after an update, and how many documents the update has written and removed."""
+    index = _index(spark, d)
+    last = index.table("documents").where("gen = 2").groupBy("repo").agg(F.count("hash").alias("written"), F.count_if(F.col("hash").isNull()).alias("gone"))
+    return index.averages().join(last, "repo").select("repo", "docs", F.round("avg_name", 6).alias("avg_name"), F.round("avg_text", 6).alias("avg_text"), "written", "gone")
+
+
 # graph
 
 

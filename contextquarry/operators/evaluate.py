@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contextquarry.scratch import materialize
+
 RRF_K = 60
 
 
@@ -14,16 +16,37 @@ def rank_max(fused: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def rank_rrf(fused: DataFrame) -> DataFrame:
-    """Add rrf and rank: the sum of 1 / (RRF_K + place) over the list by score and the list by graph_score (places from 0, ties by ord and by first reach); ties by the first list.
+def places(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Add name: the place of each row in its request's list by order, from 0. The rows are written.
+
+    A range sort numbers the rows of each task; what a request has in the tasks before is a sum over a row for each task. So no task has a request's whole list.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["request_id", *order]
+    numbered = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    numbered = materialize(numbered, f"places{name}")
+    tasks = numbered.groupBy("request_id", "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("request_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tasks.select("request_id", "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return numbered.join(offsets, ["request_id", "_task"]).withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_task", "_offset")
+
+
+def prefix(limit: int) -> int:
+    """So many of both lists have all of the first `limit` fused ranks: the first ones by score have 1 / (RRF_K + limit - 1) at least, and whoever is in neither prefix has no more from both lists together."""
+    return RRF_K + 2 * limit - 2
+
+
+def rank_rrf(scored: DataFrame, contrib: DataFrame, limit: int) -> DataFrame:
+    """request_id, id, ord, rrf, rank: the first `limit` by the sum of 1 / (RRF_K + place) over the list by score and the list by graph_score (places from 0, ties by ord and by first reach); ties by the first list.
 
-    fused: request_id, id, ord, score, graph_score and first (both null where the graph doesn't reach).
+    scored: request_id, id, ord and place (in the list by score, see places). contrib: request_id, id, graph_score, first. Only rows that are in the prefix of either list are ranked.
     """
-    by_score = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "ord")) - 1
-    by_graph = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc_nulls_last("graph_score"), "first")) - 1
-    rows = fused.withColumn("_a", by_score).withColumn("_b", F.when(F.col("graph_score").isNotNull(), by_graph))
-    rows = rows.withColumn("rrf", 1 / (RRF_K + F.col("_a")) + F.coalesce(1 / (RRF_K + F.col("_b")), F.lit(0.0)))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("rrf"), "_a"))).drop("_a", "_b")
+    reached = places(contrib.select("request_id", "id", "graph_score", "first"), [F.desc("graph_score"), "first"], "_b").select("request_id", "id", "_b")
+    rows = scored.select("request_id", "id", "ord", "place").join(reached, ["request_id", "id"], "left")
+    near = rows.where((F.col("place") < prefix(limit)) | (F.col("_b") < prefix(limit)))
+    near = near.withColumn("rrf", 1 / (RRF_K + F.col("place")) + F.coalesce(1 / (RRF_K + F.col("_b")), F.lit(0.0)))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("rrf"), "place")))
+    return ranked.where(F.col("rank") <= limit).drop("place", "_b")
 
 
 def recall(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (20, 50), by: tuple[str, ...] = (), rankings: tuple[str, ...] = ()) -> DataFrame:

@@ -110,3 +110,59 @@ def hop_depth(scores: DataFrame, edges: DataFrame, depths: tuple[int, ...] = (1,
         rows = own if rows is None else rows.unionByName(own)
     by = Window.partitionBy("request_id").orderBy(F.desc("recovered"), "depth")
     return rows.withColumn("best", (F.row_number().over(by) == 1) & (F.col("recovered") > 0))
+
+
+#: Seeds of a word: bits of a long that is never negative.
+WORD = 62
+
+
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """seeds with num, which grows from the best score of a request to its least, and which no task has to count: places in a range sort."""
+    n = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["request_id", F.desc("score"), "ord"]
+    return materialize(seeds.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("num", F.monotonically_increasing_id()), "numbered-seeds")
+
+
+def seed_sets(scores: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+    """All positive scores as seeds, and the nodes that they reach: (request_id, id, score, num) and (request_id, node, hop, w, num).
+
+    A row of the second says that the best of the seeds that reach node first at this hop, by an edge of weight w, is num; each seed comes by the heaviest edge of the hop at least.
+    Sets of seeds are words of WORD bits, a row each, OR-ed over the edges of a hop, and bits that a node had before are cleared: there are edges x seeds / WORD rows at most where paths would be edges x seeds, and tasks combine words
+    before the shuffle.
+    """
+    seeds = _numbered(scores.where("score > 0").select("request_id", "repo", F.col("ord"), "id", "score"))
+    near = materialize(adjacency(edges).groupBy("repo", "node", "next").agg(F.max("w").alias("w")), "neighbours")
+    word, bit = F.floor(F.col("num") / WORD).cast("long"), F.expr(f"shiftleft(1L, CAST(num % {WORD} AS INT))")
+    key = ["request_id", "repo", "node", "word"]
+    frontier = materialize(seeds.select("request_id", "repo", F.col("id").alias("node"), word.alias("word"), bit.alias("bits")).groupBy(*key).agg(F.bit_or("bits").alias("bits")), "seed-words")
+    seen, found = frontier, None
+    for hop in range(1, hops + 1):
+        met = frontier.join(near, ["repo", "node"]).select("request_id", "repo", F.col("next").alias("node"), "word", "w", "bits")
+        met = met.groupBy(*key, "w").agg(F.bit_or("bits").alias("bits"))
+        before = seen.groupBy(*key).agg(F.bit_or("bits").alias("_seen"))
+        new = met.join(before, key, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))).where("bits <> 0").drop("_seen")
+        new = materialize(new, "reached-words")
+        # the lowest bit is the best score
+        low = F.bit_count(F.col("bits").bitwiseAND(-F.col("bits")) - 1)
+        best = new.groupBy("request_id", "node", "w").agg(F.min(F.col("word") * WORD + low).alias("num")).select("request_id", "node", F.lit(hop).alias("hop"), "w", "num")
+        found = best if found is None else found.unionByName(best)
+        frontier = new.groupBy(*key).agg(F.bit_or("bits").alias("bits"))
+        if hop < hops:
+            frontier = materialize(frontier, "seed-words")
+            seen = seen.unionByName(frontier)
+    return seeds, materialize(found, "reached-nodes")
+
+
+def hop_depth_all(scores: DataFrame, edges: DataFrame, depths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """What hop_depth says, for requests of any number of seeds; a contribution goes by the heaviest edge of its hop, which spread alone depends on."""
+    seeds, found = seed_sets(scores, edges, max(depths))
+    of = seeds.select("request_id", "num", F.col("score").alias("seed_score"))
+    valued = found.join(of, ["request_id", "num"]).withColumn("v", F.col("seed_score") * F.pow(F.lit(DECAY), F.col("hop")) * F.log(F.lit(1.0) + F.col("w")))
+    valued = materialize(valued.groupBy("request_id", "node", "hop").agg(F.max("v").alias("v")).join(seeds.select("request_id", F.col("id").alias("node"), F.lit(1).alias("_s")), ["request_id", "node"], "left"), "valued-nodes")
+    rows = None
+    for d in depths:
+        own = valued.where(F.col("hop") <= d).groupBy("request_id", "node").agg(F.max("v").alias("v"), F.max("_s").alias("_s"))
+        own = own.groupBy("request_id").agg(F.lit(d).cast("long").alias("depth"), F.count_if(F.col("_s").isNull()).alias("recovered"), F.round(F.countDistinct(F.round("v", 4)) / F.count(F.lit(1)), 6).alias("spread"))
+        rows = own if rows is None else rows.unionByName(own)
+    by = Window.partitionBy("request_id").orderBy(F.desc("recovered"), "depth")
+    return rows.withColumn("best", (F.row_number().over(by) == 1) & (F.col("recovered") > 0))

@@ -247,6 +247,27 @@ def hop_depth(spark, d):
     return graph.hop_depth(bm25.scores(T.part_symbols(spark, d), DEPTH_TASK), _edges(spark, d))
 
 
+def _all_depths_sql() -> str:
+    out = ["near AS (SELECT repo, node, next, max(w) AS w FROM (SELECT repo, src AS node, dst AS next, weight AS w FROM edges UNION ALL SELECT repo, dst, src, weight FROM edges) GROUP BY ALL)", "hop0 AS (SELECT request_id, repo, id AS seed, score AS seed_score, id AS node, 0::BIGINT AS w FROM bm25 WHERE score > 0)"]
+    for h in (1, 2, 3):
+        seen = " UNION ALL ".join(f"SELECT request_id, seed, node FROM hop{k}" for k in range(h))
+        out.append(f"""hop{h} AS (SELECT f.request_id, f.repo, f.seed, f.seed_score, n.next AS node, max(n.w) AS w FROM hop{h - 1} f JOIN near n ON n.repo = f.repo AND n.node = f.node
+          ANTI JOIN ({seen}) v ON v.request_id = f.request_id AND v.seed = f.seed AND v.node = n.next GROUP BY ALL)""")
+        out.append(f"best{h} AS (SELECT request_id, node, {h} AS hop, max(seed_score * pow({graph.DECAY}, {h}) * ln(1.0 + w)) AS v FROM hop{h} GROUP BY ALL)")
+    depths = " UNION ALL ".join(
+        f"""SELECT b.request_id, {h}::BIGINT AS depth, count(*) FILTER (s.node IS NULL) AS recovered, round(count(DISTINCT round(b.v, 4)) / count(*), 6) AS spread
+        FROM (SELECT request_id, node, max(v) AS v FROM ({" UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(1, h + 1))}) GROUP BY ALL) b LEFT JOIN hop0 s ON s.request_id = b.request_id AND s.node = b.node GROUP BY b.request_id"""
+        for h in (1, 2, 3)
+    )
+    return f"WITH {RANKED},{EDGES},{','.join(out)}, depths AS ({depths}) SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY recovered DESC, depth) = 1 AND recovered > 0 AS best FROM depths"
+
+
+@query("hop_depth_all", _all_depths_sql())
+def hop_depth_all(spark, d):
+    """Hop depths of all requests, whatever their number of seeds."""
+    return graph.hop_depth_all(scored(T.symbols(spark, d, True), T.requests(spark, d)), _edges(spark, d))
+
+
 # packs
 
 

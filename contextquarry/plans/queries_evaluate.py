@@ -41,6 +41,11 @@ def fused(spark, d):
     return materialize(fuse(scores, contrib), "fused")
 
 
+def placed(scores):
+    """Scores with the place of each in its request's list."""
+    return evaluate.places(scores.select("request_id", "ord", "id", "score"), [F.desc("score"), "ord"], "place")
+
+
 @query("rank_max", f"WITH {EXPANDED}, {_MAX} SELECT request_id, id, rank, round(final, 6) AS final FROM ranked WHERE rank <= {TOP}")
 def rank_max(spark, d):
     return evaluate.rank_max(fused(spark, d), TOP).select("request_id", "id", F.col("rank").cast("long").alias("rank"), F.round("final", 6).alias("final"))
@@ -56,7 +61,9 @@ def rank_max(spark, d):
     SELECT request_id, id, round(rrf, 6) AS rrf, row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, a) AS rank FROM r QUALIFY rank <= {TOP}""",
 )
 def rank_rrf(spark, d):
-    return evaluate.rank_rrf(fused(spark, d)).where(F.col("rank") <= TOP).select("request_id", "id", F.round("rrf", 6).alias("rrf"), F.col("rank").cast("long").alias("rank"))
+    scores = scored(T.symbols(spark, d, True), T.requests(spark, d))
+    contrib = graph.contributions(graph.reached(graph.top_seeds(scores), _edges(spark, d), 1))
+    return evaluate.rank_rrf(placed(scores), contrib, TOP).select("request_id", "id", F.round("rrf", 6).alias("rrf"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("recall_at_k", f"WITH {EXPANDED}, {_MAX}, {_EXPECTED}, {_RECALL} SELECT request_id, k, round(recall, 6) AS recall FROM recalls")
@@ -99,10 +106,10 @@ def grid(spark, d, requests, expected):
     for fielded in (False, True):
         scores = scored(T.symbols(spark, d, True), requests, fielded)
         found = materialize(graph.reached(graph.top_seeds(scores), _edges(spark, d), 3), "reached")
-        ranked = None
+        ranked, by_score = None, placed(scores)
         for hops, fusion in CONFIGS:
-            joined = fuse(scores, graph.contributions(found.where(F.col("hop") <= hops)))
-            own = (evaluate.rank_rrf(joined).where(F.col("rank") <= max(KS)) if fusion == "rrf" else evaluate.rank_max(joined, max(KS))).select(F.lit(fusion).alias("fusion"), F.lit(hops).cast("long").alias("hops"), "request_id", "id", "rank")
+            contrib = graph.contributions(found.where(F.col("hop") <= hops))
+            own = (evaluate.rank_rrf(by_score, contrib, max(KS)) if fusion == "rrf" else evaluate.rank_max(fuse(scores, contrib), max(KS))).select(F.lit(fusion).alias("fusion"), F.lit(hops).cast("long").alias("hops"), "request_id", "id", "rank")
             ranked = own if ranked is None else ranked.unionByName(own)
         configs = spark.createDataFrame([(f, h) for h, f in CONFIGS], "fusion string, hops long")
         asked = want.crossJoin(F.broadcast(configs))  # 7 rows

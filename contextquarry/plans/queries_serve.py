@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contextquarry.catalog import query
 from contextquarry.functions.text import estimate, estimate_sql
 from contextquarry.operators import serve
+from contextquarry.scratch import scratch
 from contextquarry.sources import tables as T
+from contextquarry.streaming import ceiling
 
 _B = '"task":"red","budget":4000'
 #: What each body breaks, in the order of the rules.
@@ -385,6 +389,30 @@ def global_cap(spark, d):
     return serve.global_cap(rows, "day", ["ts", "event_id"]).select("event_id", "cents", "before", "allowed")
 
 
+_SHARES, _BATCHES = 8, 4
+
+
+def _leases_sql() -> str:
+    """Batch by batch: what is left, its leases, and what they have allowed."""
+    out = ["purchases AS (SELECT event_id, ts, round(value * 10)::BIGINT AS cents, event_id % 4 AS batch, event_id % 8 AS share FROM events WHERE event_type = 'purchase')", "left0 AS (SELECT 50000::BIGINT AS cents)"]
+    for b in range(_BATCHES):
+        out.append(f"""b{b} AS (SELECT p.event_id, p.batch, p.cents, l.cents // {_SHARES} + (p.share < l.cents % {_SHARES})::BIGINT AS lease,
+          coalesce(sum(p.cents) OVER (PARTITION BY p.share ORDER BY p.ts, p.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM purchases p, left{b} l WHERE p.batch = {b})""")
+        out.append(f"left{b + 1} AS (SELECT greatest(0, (SELECT cents FROM left{b}) - coalesce(sum(cents) FILTER (before < lease), 0))::BIGINT AS cents FROM b{b})")
+    rows = " UNION ALL ".join(f"SELECT * FROM b{b}" for b in range(_BATCHES))
+    return f"WITH {', '.join(out)} SELECT event_id, batch, cents, lease, before < lease AS allowed FROM ({rows})"
+
+
+@query("ceiling_leases", _leases_sql())
+def ceiling_leases(spark, d):
+    """Purchases in four batches against one ceiling, each batch by leases of what the ones before have left. Here shares go by the event's number, so that SQL can say them."""
+    rows = T.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("turn_id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 10).cast("long").alias("cents"))
+    ledger = ceiling.Ledger(spark, f"{scratch(spark)}/ledger-{uuid.uuid4().hex[:12]}")
+    for b in range(_BATCHES):
+        ledger.settle(rows.where(F.col("turn_id") % _BATCHES == b), b, 50_000, _SHARES, share=(F.col("turn_id") % _SHARES).cast("int"))
+    return ledger.decisions().select(F.col("turn_id").alias("event_id"), "batch", "cents", "lease", "allowed")
+
+
 # structure
 
 

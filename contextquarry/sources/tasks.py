@@ -20,7 +20,8 @@ def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     listed = F.schema_of_variant("v").startswith("ARRAY")
     rows = F.when(listed, F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: x.cast("string")))
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
-    single = F.when(~listed, F.array("text"))  # one object, over several lines perhaps
+    # the parser stops at the end of a value: only if no line is one by itself, the text is an object over several lines
+    single = F.when(~listed & F.try_parse_json(F.get(lines, F.lit(0))).isNull(), F.array("text"))
     each = whole.select("file", F.posexplode(F.coalesce(rows, single, lines)).alias("at", "row"))
     v = F.try_parse_json("row")
     kind = lambda field: F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant"))

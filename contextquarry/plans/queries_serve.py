@@ -154,14 +154,16 @@ def display_list(spark, d):
     return rows.orderBy("ord").limit(SHOWN).select("id", "name").crossJoin(F.broadcast(more))  # one row
 
 
-MODELS = ["models/served", "vendor/large", "medium", None]
-_MODELS = ", ".join(f"('{m}')" if m else "(NULL)" for m in MODELS)
-
-
-@query("model_names", f"SELECT model, regexp_replace(model, '^[^/]*/', '') AS name FROM (VALUES {_MODELS}) t(model)")
+@query(
+    "model_names",
+    """WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN source || '/' || coalesce(lang, '') || '/' || doc_id WHEN 2 THEN lang ELSE '/' || source END AS model FROM documents)
+    SELECT doc_id, model, regexp_replace(model, '^[^/]*/', '') AS name FROM m""",
+)
 def model_names(spark, d):
-    rows = spark.createDataFrame([(m,) for m in MODELS], "model string")
-    return rows.select("model", serve.bare_model(F.col("model")).alias("name"))
+    """Names of models, some after a vendor's name: here made of the sources and languages of documents."""
+    i, lang = F.col("doc_id"), F.coalesce("lang", F.lit(""))
+    model = F.when(i % 4 == 1, F.concat("source", F.lit("/"), lang, F.lit("/"), i.cast("string"))).when(i % 4 == 2, F.col("lang")).when(i % 4 == 3, F.concat(F.lit("/"), "source"))
+    return T.table(spark, d, "documents").select("doc_id", model.alias("model")).withColumn("name", serve.bare_model(F.col("model")))
 
 
 @query(

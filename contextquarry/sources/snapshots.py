@@ -1,8 +1,10 @@
-"""Stored indexes: four tables partitioned by repo, and the JSON documents that they are exchanged as."""
+"""Stored indexes: four tables in versions, of which a pointer says which ones hold, and the JSON documents that they are exchanged as."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +56,39 @@ def write_documents(snapshot: Snapshot, path: str) -> None:
     rows.repartition("repo").write.mode("overwrite").json(path)
 
 
-def store(snapshot: Snapshot, path: str, downgrade: bool = False) -> None:
-    """Write the tables below path; repos that are stored already are replaced, others stay.
+def built_now(when: datetime | None = None) -> str:
+    """A time of building as it is stored: in UTC, now if it isn't given."""
+    return (when or datetime.now(UTC)).astimezone(UTC).isoformat()
 
-    Costs that were counted aren't replaced by estimates, unless downgrade says so: that is an error, before anything is written.
+
+def counted(snapshot: Snapshot, repos: DataFrame, symbols: DataFrame, built_at: str | None = None) -> Snapshot:
+    """snapshot with the costs that operators.costs.count_tokens gave for it (its repos and symbols), and built_at if it is given."""
+    old = snapshot.snapshots.drop("total_tokens", "tokens_counted", "token_source")
+    meta = old.join(repos, "repo", "left").withColumn("tokens_counted", F.coalesce("tokens_counted", F.lit(False))).withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0).cast("long")))
+    meta = meta if built_at is None else meta.withColumn("built_at", F.lit(built_at))
+    return Snapshot(meta, symbols, snapshot.edges, snapshot.files)
+
+
+def _missing(e: Exception) -> bool:
+    return getattr(e, "getCondition", lambda: "")() == "PATH_NOT_FOUND"
+
+
+def pointers(spark: SparkSession, path: str) -> DataFrame | None:
+    """repo and version: which version of each repo holds, the last that was pointed at. None if nothing is stored."""
+    try:
+        log = spark.read.schema("repo string, version string, seq bigint").parquet(f"{path}/pointers")
+    except Exception as e:  # noqa: BLE001
+        if _missing(e):
+            return None
+        raise
+    return log.groupBy("repo").agg(F.max_by("version", F.struct("seq", "version")).alias("version"))
+
+
+def store(snapshot: Snapshot, path: str, downgrade: bool = False) -> str:
+    """Write the tables below path as a new version, and point its repos at it when all are whole; returns the version. Repos that aren't among snapshots stay at theirs.
+
+    Nothing that is stored is touched, so a failure leaves all as it was, readers of an earlier version read on, and what load gave can be stored. Versions that nothing points at are for vacuum. Costs
+    that were counted aren't replaced by estimates, unless downgrade says so: that is an error, before anything is written.
     """
     spark = snapshot.snapshots.sparkSession
     stored = load(spark, path)
@@ -66,18 +97,58 @@ def store(snapshot: Snapshot, path: str, downgrade: bool = False) -> None:
         worse = snapshot.snapshots.where("token_source IS DISTINCT FROM 'count_tokens'").join(counted, "repo", "left_semi").select("repo").orderBy("repo").limit(10).collect()
         if worse:
             raise ValueError(f"counted costs would be replaced by estimates: {', '.join(r['repo'] for r in worse)}")
+    version = uuid.uuid4().hex
     for name, schema in TABLES.items():
         columns = [x.split()[0] for x in schema.split(", ")]
-        writer = getattr(snapshot, name).select(*columns).write.mode("overwrite").partitionBy("repo")
-        writer.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
+        getattr(snapshot, name).select(*columns).write.partitionBy("repo").parquet(f"{path}/{name}/version={version}")
+    seq = 1 if stored is None else spark.read.schema("seq bigint").parquet(f"{path}/pointers").agg(F.max("seq") + 1).first()[0]
+    whole = load_version(spark, path, version).snapshots.select("repo").distinct()
+    # one file, that a job's commit makes visible
+    whole.select("repo", F.lit(version).alias("version"), F.lit(seq).cast("bigint").alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/pointers")
+    return version
 
 
-def load(spark: SparkSession, path: str, repo: str | None = None) -> Snapshot | None:
-    """The stored tables, of one repo if it is given: other repos' files aren't read. None if nothing is stored."""
+def load_version(spark: SparkSession, path: str, version: str) -> Snapshot:
+    """The tables of one version."""
+    return Snapshot(**{name: _table(spark, path, name).where(F.col("version") == version).drop("version") for name in TABLES})
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of all versions; empty where no version has a row of it."""
     try:
-        tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
+        return spark.read.schema(f"{TABLES[name]}, version string").parquet(f"{path}/{name}")
     except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return None
+        if _missing(e):
+            return spark.createDataFrame([], f"{TABLES[name]}, version string")
         raise
-    return Snapshot(**{name: df if repo is None else df.where(F.col("repo") == repo) for name, df in tables.items()})
+
+
+def load(spark: SparkSession, path: str, repo: str | None = None) -> Snapshot | None:
+    """The tables as they are pointed at, of one repo if it is given: other repos' and versions' files aren't read. None if nothing is stored."""
+    now = pointers(spark, path)
+    if now is None:
+        return None
+    if repo is not None:
+        version = now.where(F.col("repo") == repo).first()
+        found = load_version(spark, path, version["version"] if version else "")
+        return Snapshot(*(getattr(found, name).where(F.col("repo") == repo) for name in TABLES))
+    held = now.select("repo", "version").collect()  # a row for each repo
+    holds = spark.createDataFrame([tuple(r) for r in held], "repo string, version string")
+    return Snapshot(**{name: _table(spark, path, name).join(F.broadcast(holds), ["repo", "version"], "left_semi").drop("version") for name in TABLES})
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Delete the versions that no repo points at, and return them. No store may be under way, and no reader of an earlier version."""
+    now = pointers(spark, path)
+    held = {r["version"] for r in now.select("version").distinct().collect()} if now is not None else set()
+    jvm = spark._jvm
+    gone = set()
+    for name in TABLES:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            version = status.getPath().getName().removeprefix("version=")
+            if status.isDirectory() and version not in held:
+                fs.delete(status.getPath(), True)
+                gone.add(version)
+    return sorted(gone)

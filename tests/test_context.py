@@ -1,6 +1,8 @@
 """Ranking and packs against brute force on a small graph, streams, the code index, and queries against their SQL."""
 
+import json
 import math
+import os
 import random
 
 import duckdb
@@ -204,12 +206,13 @@ def test_quota_stream(spark, tmp_path):
 
 
 def test_code_index_of_the_json_package(spark):
-    symbols, edges = (catalog.queries()[n](spark, "") for n in ("code_symbols", "code_edges"))
+    parsed = code_index.parse(code_index.scan(spark, os.path.dirname(json.__file__))).cache()
+    symbols, edges = code_index.symbols(parsed), code_index.edges(parsed)
     assert symbols.count() == 31 and edges.count() == 23
     assert symbols.select("id").distinct().count() == 31
 
 
-@pytest.mark.parametrize("name", ["snapshot_scan", "tokenize", "bm25_fielded", "edge_collapse", "graph_contrib_d2", "graph_contrib_heaviest", "recall_grid", "recall_at_k", "recall_by_kind", "sse_frames", "sse_text", "replay_fallback", "validated_messages", "tool_dispatch", "display_list", "model_names", "client_keys", "pack_selected", "pack_totals", "rank_rrf", "request_admission", "usage_last_wins", "cost_projection", "quota_decisions", "validate_graph"])
+@pytest.mark.parametrize("name", ["snapshot_scan", "tokenize", "bm25_fielded", "edge_collapse", "graph_contrib_d2", "graph_contrib_heaviest", "recall_grid", "recall_at_k", "recall_by_kind", "sse_frames", "sse_text", "replay_fallback", "validated_messages", "tool_dispatch", "display_list", "model_names", "client_keys", "pack_selected", "pack_totals", "rank_rrf", "request_admission", "usage_last_wins", "cost_projection", "quota_decisions", "validate_graph", "code_symbols", "code_exports", "code_edges", "sample_edges", "src_scan", "turn_frames", "turn_events", "counted_costs", "self_check", "task_files", "pack_documents", "index_statistics", "ceiling_leases"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("part", "supplier", "lineitem", "events", "documents", "pages", "labels", "conversations"):
@@ -221,9 +224,11 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_sample_package(spark):
-    for name, want in (("sample_symbols", sample_package.SYMBOLS), ("sample_exports", sample_package.EXPORTS), ("sample_edges", sample_package.EDGES)):
-        got = sorted(tuple(r) for r in catalog.queries()[name](spark, "").collect())
-        assert got == sorted(want), name
+    parsed = code_index.parse(spark.createDataFrame(list(sample_package.FILES.items()), "file string, content string")).cache()
+    plain = lambda df, *names: sorted(tuple(r) for r in df.select(*names).collect())
+    assert plain(code_index.symbols(parsed), "id", "kind", "line_start", "line_end", "signature", "doc_first", "doc_rest", "body") == sorted(sample_package.SYMBOLS)
+    assert plain(code_index.exports(parsed, code_index.modules(parsed)), "file", "name", "at_file", "at_name") == sorted(sample_package.EXPORTS)
+    assert plain(code_index.edges(parsed), "src", "dst", "kind", "weight") == sorted(sample_package.EDGES)
 
 
 def test_files_that_do_not_parse(spark):
@@ -235,13 +240,19 @@ def test_files_that_do_not_parse(spark):
 
 
 def test_package_root(tmp_path):
-    (tmp_path / "tests").mkdir()
-    (tmp_path / "tests/__init__.py").touch()
+    for name in ("tests", "test", "docs", "examples", "scripts", ".hidden", "no_package"):
+        (tmp_path / name).mkdir()
+        if name != "no_package":
+            (tmp_path / name / "__init__.py").touch()
     with pytest.raises(ValueError):
         code_index.package_root(str(tmp_path))
     (tmp_path / "own").mkdir()
     (tmp_path / "own/__init__.py").touch()
     assert code_index.package_root(str(tmp_path)) == code_index.package_root(str(tmp_path / "own")) == str(tmp_path / "own")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/__init__.py").touch()
+    with pytest.raises(ValueError):
+        code_index.package_root(str(tmp_path))
 
 
 def test_split_doc(spark):

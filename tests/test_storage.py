@@ -1,10 +1,12 @@
 """Stored indexes, and where streams end."""
 
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from contextquarry.operators.costs import CountCache, by_expression, count_tokens
 from contextquarry.sources import snapshots
 from contextquarry.streaming import sinks
 
@@ -49,6 +51,46 @@ def test_documents_and_tables(spark, tmp_path):
     assert snapshots.load(spark, store, "port").snapshots.first().token_source == "estimate"
 
 
+def test_versions_of_a_store(spark, tmp_path):
+    """A store that fails before its end changes nothing; what was loaded can be stored; versions that nothing points at go."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/port.json").write_text(json.dumps(DOCUMENT))
+    store = str(tmp_path / "store")
+    first = snapshots.store(snapshots.read_documents(spark, str(tmp_path / "in")), store)
+    before = content(snapshots.load(spark, store))
+    held = snapshots.load(spark, store)
+    # a version whose tables aren't all written
+    spark.createDataFrame([("port", "x", "y", "call", 9)], "repo string, src string, dst string, kind string, weight bigint").write.partitionBy("repo").parquet(f"{store}/edges/version=broken")
+    assert content(snapshots.load(spark, store)) == before
+    broken = snapshots.Snapshot(held.snapshots, held.symbols.withColumn("name", F.raise_error(F.lit("no"))), held.edges, held.files)
+    with pytest.raises(Exception, match="no"):
+        snapshots.store(broken, store)
+    assert content(snapshots.load(spark, store)) == before == content(snapshots.load(spark, store, "port"))
+    renamed = snapshots.Snapshot(held.snapshots, held.symbols.withColumn("name", F.upper("name")), held.edges, held.files)
+    second = snapshots.store(renamed, store)  # reads what it replaces
+    assert {r.name for r in snapshots.load(spark, store).symbols.collect()} == {"Z", "B"} and content(held) == before
+    assert content(snapshots.load_version(spark, store, first)) == before
+    gone = snapshots.vacuum(spark, store)
+    assert first in gone and "broken" in gone and second not in gone
+    assert {r.name for r in snapshots.load(spark, store).symbols.collect()} == {"Z", "B"}
+    assert snapshots.load(spark, store, "nowhere").symbols.count() == 0
+
+
+def test_counted_costs_are_stored(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/port.json").write_text(json.dumps(DOCUMENT))
+    read = snapshots.read_documents(spark, str(tmp_path / "in"))
+    costs = count_tokens(read.symbols, CountCache(spark, str(tmp_path / "cache"), "length"), by_expression(F.length))
+    when = snapshots.built_now(datetime(2026, 1, 2, 3, 4, 5, tzinfo=timezone(timedelta(hours=2))))
+    assert when == "2026-01-02T01:04:05+00:00" and snapshots.built_now().endswith("+00:00")
+    snapshots.store(snapshots.counted(read, costs.repos, costs.symbols, when), str(tmp_path / "store"))
+    stored = snapshots.load(spark, str(tmp_path / "store"))
+    meta = stored.snapshots.first()
+    assert (meta.built_at, meta.tokens_counted, meta.token_source) == (when, True, "count_tokens")
+    full = {r.id: r.tokens.full for r in stored.symbols.collect()}
+    assert full == {s["id"]: len("\n".join(x for x in (s["signature"], s["docFirstLine"], s["docRest"], s["body"]) if x)) + 2 for s in DOCUMENT["symbols"]} and meta.total_tokens == sum(full.values())
+
+
 def test_sinks(spark, tmp_path):
     turns = spark.createDataFrame([("r", "t", 1, "good", "done", 0.014), ("r", "t", 2, "", "done", 0.02), ("r", "t", 3, "bad", "error: mismatch", 1.0)], "repo string, task string, ts long, text string, state string, usd double")
     turns.coalesce(1).write.parquet(str(tmp_path / "turns"))

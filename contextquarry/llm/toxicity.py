@@ -20,6 +20,10 @@ COLUMNS = 1 << 16
 FACTORS = 8
 #: At most so many labelled rows are learnt from: those of the smallest hash of their id.
 SAMPLE_ROWS = 16_384
+#: Epochs of the linear part and of both parts, the step of factors, the penalty on them, and the standard errors that let a column have some: chosen by cross-validation among rows that aren't held out.
+FIRST, JOINT, PAIR_RATE, APART, GATE, PAIR_GATE = 10, 10, 1.0, 0.001, 4.0, 7.0
+#: Columns of which each pair is looked at for that.
+FREQUENT = 1024
 #: Terms of which a worker remembers the column.
 REMEMBERED = 500_000
 
@@ -75,11 +79,43 @@ class FactorizationMachine:
         return cls(a[1 : 1 + COLUMNS], float(a[0]), a[1 + COLUMNS : 1 + 2 * COLUMNS], a[1 + 2 * COLUMNS :].reshape(COLUMNS, -1))
 
 
-def fit(columns: list[np.ndarray], labels: np.ndarray, first: int = 15, joint: int = 8, rate: float = 1.0, pair_rate: float = 0.05, absent: float = 12.0, apart: float = 0.1, decay: float = 0.01, batch: int = 128, least: int = 4) -> FactorizationMachine:
+def _unexplained(columns: list[np.ndarray], residual: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many standard errors the squared residuals of each column's documents are above the mean: pairs that linear weights can't tell leave them large, whatever the sign."""
+    squares = residual**2
+    count = np.array([len(c) for c in columns])
+    total = np.bincount(np.concatenate([*columns, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(squares, count), COLUMNS)
+    return (total - seen * squares.mean()) / np.maximum(np.sqrt(seen) * max(squares.std(), 1e-9), 1e-9)
+
+
+def _conspicuous(columns: list[np.ndarray], residual: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The greatest number of standard errors by which the residuals of documents with a pair of columns differ from 0, for each of the FREQUENT commonest columns; 0 for others."""
+    common = np.flatnonzero(seen)
+    common = common[np.lexsort((common, -seen[common]))][:FREQUENT]
+    place = np.full(COLUMNS, -1)
+    place[common] = np.arange(len(common))
+    sums, squares = np.zeros((2, len(common), len(common)), np.float32)
+    for at in range(0, len(columns), 2048):
+        x = np.zeros((len(columns[at : at + 2048]), len(common)), np.float32)
+        for i, c in enumerate(columns[at : at + 2048]):
+            own = place[c]
+            x[i, own[own >= 0]] = 1
+        r = residual[at : at + 2048].astype(np.float32)[:, None]
+        sums += (x * r).T @ x
+        squares += (x * r * r).T @ x
+    np.fill_diagonal(sums, 0)
+    out = np.zeros(COLUMNS)
+    out[common] = (np.abs(sums) / np.sqrt(np.maximum(squares, 1e-9))).max(axis=1, initial=0)
+    return out
+
+
+def fit(
+    columns: list[np.ndarray], labels: np.ndarray, first: int = FIRST, joint: int = JOINT, rate: float = 1.0, pair_rate: float = PAIR_RATE, absent: float = 12.0, apart: float = APART, decay: float = 0.001, batch: int = 128, least: int = 4,
+    gate: float = GATE, pair_gate: float = PAIR_GATE,
+) -> FactorizationMachine:
     """Logistic loss, mini-batches in a fixed order: `first` epochs of the linear part, and `joint` epochs of both parts.
 
     A column's presence weighs 1, or less if it is in more than a quarter of the documents. Linear weights of either sign follow the regularised leader
-    with an absolute penalty. Factors belong to all columns of at least one document in 50 (20 at least), whatever their linear weights; steps
+    with an absolute penalty. Factors belong to columns, however rare or without weight, of whose documents the linear part explains less than of others (by `gate` standard errors), and to common ones that it is wrong about together with another (by pair_gate); steps
     go by the sums of squared gradients, and a penalty on the length of a column's factors ends at zero if its pairs tell nothing. Columns of fewer than `least` documents are left out.
     """
     n = len(labels)
@@ -90,11 +126,19 @@ def fit(columns: list[np.ndarray], labels: np.ndarray, first: int = 15, joint: i
     fm = FactorizationMachine(scale, float(np.log(share / (1 - share))), np.zeros(COLUMNS), np.zeros((COLUMNS, FACTORS)))
     if n == 0 or labels.min() == labels.max():
         return fm  # nothing to tell apart: everything has the share of the label
-    paired = (seen >= max(20, n // 50)) & (scale > 0)
-    fm.factors[paired] = rng.normal(0, 0.02, (int(paired.sum()), FACTORS))
+    paired = np.zeros(COLUMNS, bool)
     lead, squares, factor_squares, bias_squares = np.zeros(COLUMNS), np.zeros(COLUMNS), np.zeros((COLUMNS, FACTORS)), 1.0
     own_columns = [c[scale[c] > 0] for c in columns]
     for epoch in range(first + joint):
+        if epoch == first:
+            flat, begin = np.concatenate([*own_columns, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum([len(c) for c in own_columns])])
+            residual = 1 / (1 + np.exp(-np.clip(fm.margin(flat, begin), -30, 30))) - labels
+            paired = (scale > 0) & ((_unexplained(own_columns, residual, seen) > gate) | (_conspicuous(own_columns, residual, seen * (scale > 0)) > pair_gate))
+            fm.factors[paired] = rng.normal(0, 0.05, (int(paired.sum()), FACTORS))
+            if not paired.any():
+                joint = 0
+        if epoch >= first + joint:
+            break
         order = rng.permutation(n)
         for at in range(0, n, batch):
             own = order[at : at + batch]
@@ -111,13 +155,15 @@ def fit(columns: list[np.ndarray], labels: np.ndarray, first: int = 15, joint: i
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]
             bias_squares += error.sum() ** 2
             fm.bias -= rate * error.sum() / np.sqrt(bias_squares)
-            found, place = np.unique(col, return_inverse=True)
-            grad = np.bincount(place, error[row] * x, len(found))
+            # with the factors only their columns' weights go on, as others would only fit the rows at hand
+            free = paired[col] if epoch >= first else np.ones(len(col), bool)
+            found, place = np.unique(col[free], return_inverse=True)
+            grad = np.bincount(place, (error[row] * x)[free], len(found))
             step = (np.sqrt(squares[found] + grad**2) - np.sqrt(squares[found])) / rate
             lead[found] += grad - step * fm.linear[found]
             squares[found] += grad**2
             fm.linear[found] = -np.sign(lead[found]) * np.maximum(np.abs(lead[found]) - absent, 0) / ((1 + np.sqrt(squares[found])) / rate + decay)
-            if epoch >= first:
+            if epoch >= first and len(c):
                 found, place = np.unique(c, return_inverse=True)
                 g = (error[r] * w)[:, None] * (sums[r] - v)
                 g = np.column_stack([np.bincount(place, g[:, f], len(found)) for f in range(FACTORS)]) + decay * fm.factors[found]

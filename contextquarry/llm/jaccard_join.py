@@ -353,7 +353,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
 
     lists = leaf.groupBy("k").agg(F.collect_list("node").alias("leaves"))
     about = lists.join(sets.select("k", "size", "sketch").dropDuplicates(["k"]), "k")
-    blocks = F.when(F.col("members") > BUCKET, F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_TOKENS))).otherwise(1).cast("int")
+    blocks = F.least(F.col("members"), F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_TOKENS))).cast("int")
     placed = leaf.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     placed = placed.select("node", "k", "block", F.least("block", "_other").cast("long").alias("left"), F.greatest("block", "_other").cast("long").alias("right"))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from contextquarry.llm import decontaminate, mixing, sharding, substring_dedup
+from contextquarry.llm import decontaminate, jaccard_join, mixing, sharding, substring_dedup
 from contextquarry.scratch import materialize
 
 ITEM = "A farmer named Peter sells 12 apples and 7 pears to Maria for 30 dollars each week and then walks home with 5 friends at night"
@@ -78,3 +78,23 @@ def test_keys_of_rows_of_one_id_spread(spark, ids):
     got = sharding.shard_documents(docs).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"), F.sum("size").alias("bytes")).collect()
     assert all(r.n == r.slots == r["last"] + 1 for r in got)
     assert max(r.bytes for r in got) - min(r.bytes for r in got) < 1000
+
+
+def test_near_copies_of_a_long_text_are_compared_in_small_blocks(spark, monkeypatch):
+    """A bucket of few sets is cut, too, where they have many shingles."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.choice([0, 5, 60])):
+            words[rng.randrange(3000)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(docs).collect())
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 20_000)
+    seen = []
+    screened = jaccard_join._screened
+    monkeypatch.setattr(jaccard_join, "_screened", lambda rows, t: seen.append(rows.groupBy("node", "left", "right").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0]) or screened(rows, t))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(docs).collect()) == want
+    assert seen[0] < 80_000 < 40 * 2996

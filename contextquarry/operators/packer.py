@@ -31,7 +31,7 @@ def candidates(fused: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def fill(rows: DataFrame, requests: DataFrame, per_round: int = ROUND, reserve: float = RESERVE) -> DataFrame:
-    """request_id, pos, id, tier, tokens, reason of what is selected.
+    """request_id, pos, id, tier, tokens, reason of what is selected. Rows are read once for each round, so they should be a table.
 
     Pins come first, in their order, at the first tier of full, skeleton, signature whose cost fits; then the positive scores, best first, ties by ord,
     at the first such tier of a positive cost. What doesn't fit is passed over. A fold over an ordered array per request; rows that can't fit any more are left
@@ -42,7 +42,6 @@ def fill(rows: DataFrame, requests: DataFrame, per_round: int = ROUND, reserve:
     least = reduce(F.least, (F.when(F.col(f"tokens.{t}") > 0, F.col(f"tokens.{t}")) for t in TIERS))
     open_rows = rows.where(is_pin | (F.col("final") > 0)).select("request_id", "id", "tokens", "reason", key.alias("key"), least.alias("least"))
     state = requests.select("request_id", effective_budget(F.col("budget"), reserve).alias("remaining"), F.lit(0).alias("placed"))
-    open_rows = materialize(open_rows, "pack-candidates")
     cut, selected = None, None
 
     def step(acc: Column, x: Column) -> Column:

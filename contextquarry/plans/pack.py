@@ -44,6 +44,7 @@ def scored(symbols: DataFrame, requests: DataFrame, fielded: bool = True) -> Dat
 
 
 def pack(symbols: DataFrame, edges: DataFrame, requests: DataFrame, hops: int = 1, seeds: int = graph.SEEDS, first_edge: bool = True) -> Pack:
+    requests = materialize(requests, "requests")  # a short list, but what its pins and evicts name may have to be found
     scores = scored(symbols, requests)
     contrib = graph.contributions(graph.reached(graph.top_seeds(scores, seeds), edges, hops, first_edge))
     rows = materialize(packer.candidates(fuse(scores, contrib).drop("first"), requests), "candidates")

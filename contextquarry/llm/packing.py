@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, length: int = 2048, tokenizers: str = TOKENI
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:
-    """Write the packed rows as Parquet: binary columns are the matrices' rows."""
+    """Write the packed rows as Parquet: binary columns are the matrices' rows. What pack_documents makes of null, empty, long and repeated texts is written; an empty table gives a table without rows."""
     pack_documents(docs, **options).write.mode("overwrite").parquet(path)
 
 

@@ -27,17 +27,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items. Rows go by id and text, so others without id, or of the same id, stay."""
+    """Documents without benchmark items. Rows go by id and text, so others without id, or of the same id, stay. Null, empty and blank texts hold no item and stay."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them. Those without words are never taken; a null source is one source."""
+    """Documents as often as the target weights of their sources take them. Those without words, null texts too, are never taken; a null source is one source."""
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each document; rows of equal text share a shard."""
+    """The shard and slot of each document; rows of equal text share a shard. Null texts are one group, empty ones another, of size 1 each; null ids and sources don't matter."""
     return shard_documents(docs)
 
 

@@ -105,7 +105,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST, partitions: int | None = Non
         "_id", "_h", "l.*", F.coalesce("_id", F.lit(NO_ID)).alias("a"), F.when(F.col("_id").isNull(), F.col("_h")).otherwise(F.lit(0)).cast("long").alias("b")
     )
     dropped = later_rows(lines, partitions).groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_g")).agg(F.collect_set("at").alias("dropped"))
-    marked = rows.hint("merge").join(dropped, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
+    # the lists are hashed, so that texts stream past them and no task sorts texts
+    marked = rows.join(dropped.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
     marked = marked.select(F.col("_id").alias("doc_id"), "text", "dropped")
     return arrow_batches(marked).mapInArrow(_bitmaps, "doc_id long, n_lines long, n_dropped long, keep binary, kept_sha256 string")
 

@@ -82,6 +82,12 @@ def test_line_dedup_of_a_line_in_every_document(spark):
     assert got.where("n_dropped = 1").count() == 2999
 
 
+def test_no_task_sorts_texts_of_lines(spark, empty):
+    """Texts stream past the lists of dropped lines; a sort would hold a task's texts."""
+    plan = line_dedup.line_dedup(empty)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_later_rows_over_many_partitions(spark):
     rng = np.random.default_rng(5)
     for n, kinds, partitions in ((400, 1, 7), (400, 3, 9), (300, 60, 4), (1, 1, 3), (0, 1, 3)):

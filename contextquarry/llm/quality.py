@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model has words above characters. A word's probability, at the beginning of a sentence or within one, is its discounted count there in trusted text, and what the
-discounts leave goes to the word's spelling: a Kneser-Ney model of characters within words, which each different word adds to once, as the lower orders do.
+The classifier's model has pairs of neighbouring words (word_pairs) above words above characters. At the level of words, which is a model of its own where no pairs are asked for, a word's
+probability, at the beginning of a sentence or within one, is its discounted count there in trusted text, and what the discounts leave goes to the word's spelling: a Kneser-Ney model of characters within words, which each different word adds to once, as the lower orders do.
 Counts of words are tables of any size, sharded by the words' hashes. The commonest words, a fixed number, are scored where a text stands; all others are
 sent to the shards once, by blocks of documents, and come back as a sum per document. What passes the driver is bounded by constants: the spelling model, by its alphabet, the
 commonest words, and a filter of ids.
@@ -9,7 +9,7 @@ commonest words, and a filter of ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -259,25 +259,49 @@ def _fit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words.binary(), pa.array(words.totals())], names=["word", "n"])
 
 
-def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids (_id: no nulls, no doubles).
+def _filter_bit(c, salt: str):
+    return F.pmod(F.xxhash64(F.lit(salt), c), F.lit(FILTER_BITS))
 
-    A filter of FILTER_BITS bits, of which at most 1/64 as many words pass the driver, holds back most others, so that their texts aren't
-    shuffled; where ids are so many that it doesn't, the join is as right as without.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(F.lit("filter"), c), F.lit(FILTER_BITS))
-    set_bits = ids.select(bit("_id").alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toArrow()
+
+def _filter_of(ids: DataFrame, salt: str) -> np.ndarray:
+    """A filter of FILTER_BITS bits of the column _id; at most 1/64 as many words pass the driver."""
+    set_bits = ids.select(_filter_bit(F.col("_id"), salt).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS >> 6, np.int64)
     table[set_bits.column("at").to_numpy()] = set_bits.column("bits").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    return table
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("_bit").to_numpy()
-            yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).select(["doc_id", "text"])
 
-    maybe = arrow_batches(rows.where("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("_bit"))).mapInArrow(run, "doc_id long, text binary")
-    return maybe.hint("merge").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+def _with_ids(rows: DataFrame, ids: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, fields: str = "doc_id long, text binary") -> DataFrame:
+    """doc_id and text of the rows whose doc_id is among ids (_id: no nulls, no doubles), or what make has of batches of them.
+
+    A filter of ids holds back most other rows. Ids that it lets pass although they aren't among ids are found by a join without texts, and a second filter has these: rows that pass
+    the first and not the second are surely among ids. Only rows that pass both are joined with their texts. Where ids are so many that filters tell little, the result is the same.
+    """
+    rows = rows.where("doc_id IS NOT NULL")
+    made = make or iter
+    cast = rows.sparkSession.sparkContext.broadcast
+
+    def passing(columns: list[str], tables: list, fields: str, then: Callable = iter) -> DataFrame:
+        """Rows that pass filters (broadcast, and whether a row's bit is wanted)."""
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for k, (shared, wanted) in enumerate(tables):
+                    at = batch.column(f"_bit{k}").to_numpy()
+                    keep &= ((shared.value[at >> 6] >> (at & 63)) & 1 == 1) == wanted
+                yield batch.filter(pa.array(keep)).select(columns)
+
+        bits = [_filter_bit(F.col("doc_id"), salt).alias(f"_bit{k}") for k, salt in enumerate(("first", "second")[: len(tables)])]
+        return arrow_batches(rows.select(*columns, *bits)).mapInArrow(lambda batches: then(chosen(batches)), fields)
+
+    first = cast(_filter_of(ids, "first"))
+    others = passing(["doc_id"], [(first, True)], "doc_id long").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
+    second = cast(_filter_of(others.select(F.col("doc_id").alias("_id")), "second"))
+    columns = ["doc_id", "text"]
+    unsure = passing(columns, [(first, True), (second, True)], "doc_id long, text binary").hint("merge").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    unsure = arrow_batches(unsure).mapInArrow(made, fields) if make else unsure
+    return passing(columns, [(first, True), (second, False)], fields, made).unionByName(unsure)
 
 
 def _lines(words: pa.Array) -> bytes:
@@ -450,6 +474,12 @@ def _tail_costs(postings: DataFrame, words: DataFrame, level: WordLevel, log_p:
             if blocks:
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], names=["block", "docs", "sums"])
 
+    return _added(arrow_batches(dealt).mapInArrow(run, "block long, docs binary, sums binary"))
+
+
+def _added(parted: DataFrame) -> DataFrame:
+    """block, at, cost: sums over the shards' lists (block, docs, sums)."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lists in zip(batch.column("block").to_pylist(), batch.column("x").to_pylist(), strict=True):
@@ -458,26 +488,33 @@ def _tail_costs(postings: DataFrame, words: DataFrame, level: WordLevel, log_p:
                 total = np.bincount(doc, np.concatenate([np.frombuffer(x, np.float32) for _, x in lists]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), block)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["block", "at", "cost"])
 
-    parted = arrow_batches(dealt).mapInArrow(run, "block long, docs binary, sums binary")
     # a block has a list for each shard, and each part of a long text
     return arrow_batches(parted.groupBy("block").agg(F.collect_list(F.struct("docs", "sums")).alias("x"))).mapInArrow(add, "block long, at int, cost double")
 
 
-def score_documents(docs: DataFrame, trusted: DataFrame, held_out: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, trusted: DataFrame, held_out: int = 5, order: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, h (hash of the text), lang, n_words, n_chars, nll (-log of the probability of its words), role.
 
+    order: 2 for words after words (word_pairs), as the classifier has it, or 1 for words above spellings only.
     role: 1 of trusted documents that the model is fitted on, 2 of trusted ones that are held out of it (one in `held_out`, by the hash of the id), else 0.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
     known = trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct()
     known = materialize(known.withColumn("_role", F.when(F.pmod(F.xxhash64(F.lit("held out"), "_id"), F.lit(held_out)) == 0, 2).otherwise(1)), "kn-trusted")
-    counted = arrow_batches(_with_ids(rows, known.where("_role = 1").select("_id"))).mapInArrow(_fit_counts, "word binary, n long")
-    words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "kn-words")
-    level, log_p = word_level(words), spelling(words)
-    postings = materialize(_postings(rows, Head.of(words, level, log_p)), "kn-postings")
+    ids = known.where("_role = 1").select("_id")
+    if order == 2:
+        from contextquarry.llm.word_pairs import scored_blocks
+
+        postings, parted = scored_blocks(rows, lambda make, fields: _with_ids(rows, ids, make, fields))
+        costs = _added(parted)
+    else:
+        counted = _with_ids(rows, ids, _fit_counts, "word binary, n long")
+        words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "kn-words")
+        level, log_p = word_level(words), spelling(words)
+        postings = materialize(_postings(rows, Head.of(words, level, log_p)), "kn-postings")
+        costs = _tail_costs(postings.where("shard IS NOT NULL").select("block", "shard", "payload"), words, level, log_p)
     about = postings.where("shard IS NULL").select("block", F.posexplode(F.arrays_zip("ids", "h", "lang", "n_words", "n_chars", "nll")).alias("at", "d"))
     about = about.select("block", "at", F.col("d.ids").alias("doc_id"), "d.h", "d.lang", "d.n_words", "d.n_chars", "d.nll")
-    costs = _tail_costs(postings.where("shard IS NOT NULL").select("block", "shard", "payload"), words, level, log_p)
     scored = about.join(costs, ["block", "at"], "left").withColumn("nll", F.col("nll") + F.coalesce("cost", F.lit(0.0)))
     # ids, without texts, meet by a shuffle
     scored = scored.join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
@@ -515,7 +552,7 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: int = 5, **options)
     Null and empty texts have the mean score and are kept. Repeated ids and rows get a result each. Null ids are never
     trusted. Extra columns are ignored; an empty table gives no rows.
     """
-    got = judge(score_documents(docs, trusted, held_out), **options)
+    got = judge(score_documents(docs, trusted, held_out, order=2), **options)
     return got.select("doc_id", "lang", "n_words", "n_chars", F.exp("score").alias("perplexity"), F.exp("limit").alias("threshold"), "kept")
 
 

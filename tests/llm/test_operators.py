@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity
+from contextquarry.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, toxicity, word_pairs
 from contextquarry.llm.components import components
 from contextquarry.llm.fm_index import FMIndex
 
@@ -441,6 +441,86 @@ def test_quality_is_kneser_ney(spark, monkeypatch):
     assert [(r.n_words, r.n_chars) for r in got] == [(len(split(t)), sum(len(w) + 1 for w in split(t))) for t in texts]
 
 
+def brute_pair_costs(fit_texts, texts):
+    """-log of the probability of each text's words after the words before them, by dictionaries and recursion."""
+    table = quality.symbol_table()
+
+    def pairs(text):
+        tokens = tokens_in_place(text)
+        return [(None if token[0] == quality.FIRST else tokens[i - 1], token) for i, token in enumerate(tokens)]
+
+    def path(token):
+        place, word = token
+        return [quality.PAD] * (quality.ORDER - 2) + [quality.PAD if place == quality.FIRST else quality.WORD_END] + [int(table[ord(c)]) for c in word] + [quality.WORD_END]
+
+    seen = Counter(p for x in fit_texts for p in pairs(x))
+    after = Counter(w for _, w in seen)
+    grams = {quality.ORDER: Counter(tuple(p[i - quality.ORDER + 1 : i + 1]) for p in map(path, after) for i in range(quality.ORDER - 1, len(p)))}
+    for k in range(quality.ORDER - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    cuts = lambda c: (0.0, *quality.discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))))
+    cut = {k: cuts(g) for k, g in grams.items()}
+
+    def mixed(own, item, d, lower):
+        if not own:
+            return lower
+        n = own.get(item, 0)
+        return (n - d[min(n, 3)] + sum(d[min(x, 3)] for x in own.values()) * lower) / sum(own.values())
+
+    def p(k, gram):
+        return 1 / quality.SYMBOLS if k == 0 else mixed({g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}, gram, cut[k], p(k - 1, gram[1:]))
+
+    def cost(pair):
+        steps = path(pair[1])
+        spelled = np.prod([p(quality.ORDER, tuple(steps[i - quality.ORDER + 1 : i + 1])) for i in range(quality.ORDER - 1, len(steps))])
+        own = Counter({x: n for x, n in after.items() if x[0] == pair[1][0]})
+        return -np.log(mixed({x: n for x, n in seen.items() if x[0] == pair[0]}, pair, cuts(seen), mixed(own, pair[1], cuts(own), spelled)))
+
+    return [sum(map(cost, pairs(x))) for x in texts]
+
+
+def test_quality_is_kneser_ney_of_pairs(spark, monkeypatch):
+    texts = ["The cat saw the dog. The dog saw a cat.", "A dog! The end: no cat saw the cat", "cat cat cat  Dog's 12 cats", "日本語 のテキスト です。 cat", "", None, "the\tcat\nsat  on Łódź", "unseen wörds ONLY", "dog the saw cat The"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 3)], "doc_id long")
+    for head, pairs in ((quality.HEAD, 0), (3, 2), (quality.HEAD, word_pairs.HEAD_PAIRS)):
+        monkeypatch.setattr(quality, "HEAD", head)
+        monkeypatch.setattr(word_pairs, "HEAD_PAIRS", pairs)
+        got = sorted(quality.score_documents(docs, trusted, order=2).collect(), key=lambda r: r.doc_id)
+        fit = [texts[r.doc_id] for r in got if r.role == 1]
+        assert fit and [r.nll for r in got] == pytest.approx(brute_pair_costs(fit, texts), rel=1e-5, abs=1e-5)
+    assert [(r.n_words, r.n_chars) for r in got] == [(len(split(t)), sum(len(w) + 1 for w in split(t))) for t in texts]
+
+
+def test_rows_with_ids_by_two_filters(spark, monkeypatch):
+    """Filters of few bits let others pass; the rows are those of a join."""
+    docs = spark.range(-200, 800).select(F.col("id").alias("doc_id"), F.col("id").cast("string").cast("binary").alias("text"))
+    docs = docs.unionByName(docs.limit(300)).unionByName(spark.createDataFrame([(None, b"x")], "doc_id long, text binary"))
+    ids = spark.range(0, 1500, 7).withColumnRenamed("id", "_id")
+    for bits in (64, 1 << 10, quality.FILTER_BITS):
+        monkeypatch.setattr(quality, "FILTER_BITS", bits)
+        got = Counter(r.doc_id for r in quality._with_ids(docs, ids).collect())
+        assert got == Counter(r.doc_id for r in docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").collect())
+
+
+def test_order_of_words_matters_to_perplexity(spark):
+    """Words in another order have the same counts; only pairs tell them apart."""
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, " ".join(text.split()[k:] + text.split()[:k]), "en") for i, k in enumerate((0, 0, 0, 0))] + [(9, " ".join(text.split()[::-1]), "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, spark.createDataFrame([(0,), (1,), (2,), (3,)], "doc_id long"), held_out=10**9).collect()}
+    assert got[9] > 1.2 * got[0]
+
+
+def test_pairs_go_on_over_parts_of_long_texts(spark):
+    sentence = "some words that go on "
+    texts = ["The end. Some words that go on.", sentence * 180_000, sentence * 2, sentence * 3]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r for r in quality.score_documents(docs, spark.createDataFrame([(0,)], "doc_id long"), held_out=10**9, order=2).collect()}
+    assert (got[1].n_words, got[1].n_chars) == (900_000, 900_000 + 17 * 180_000)
+    assert got[1].nll == pytest.approx(got[2].nll + 179_998 * (got[3].nll - got[2].nll), rel=1e-4)
+    assert [got[i].nll for i in (2, 3)] == pytest.approx(brute_pair_costs(texts[:1], texts[2:]), rel=1e-5)
+
+
 def test_quality_reads_long_texts_in_parts(monkeypatch):
     """Parts have the words of the whole, each whole and in its place."""
     rng = np.random.default_rng(3)

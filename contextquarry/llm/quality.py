@@ -558,7 +558,7 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: int = 5, **options)
 
 def good_documents(docs: DataFrame, trusted: DataFrame, held_out: int = 5, **options) -> DataFrame:
     """The rows of docs that the classifier keeps; same columns as docs. Rows go by their id, language and text."""
-    bad = judge(score_documents(docs, trusted, held_out), **options).where("NOT kept").select(F.col("doc_id").alias("__cq_id"), F.col("h").alias("__cq_h"), F.col("lang").alias("__cq_lang")).distinct()
+    bad = judge(score_documents(docs, trusted, held_out, order=2), **options).where("NOT kept").select(F.col("doc_id").alias("__cq_id"), F.col("h").alias("__cq_h"), F.col("lang").alias("__cq_lang")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cq_id")) & (F.xxhash64(docs["text"]) == F.col("__cq_h")) & docs["lang"].cast("string").eqNullSafe(F.col("__cq_lang"))
     return docs.hint("merge").join(bad, same, "left_anti")
 

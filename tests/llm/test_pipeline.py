@@ -2,9 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from test_operators import brute_classes, split
 
 import corpus_pipeline
+from contextquarry.llm import quality
 from contextquarry.scratch import materialize
 
 
@@ -70,3 +72,16 @@ def test_run_on_empty_tables(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_scores_pairs_of_words(monkeypatch):
+    asked = {}
+
+    def spy(*_, **options):
+        asked.update(options)
+        raise InterruptedError
+
+    monkeypatch.setattr(quality, "score_documents", spy)
+    with pytest.raises(InterruptedError):
+        quality.good_documents(None, None)
+    assert asked["order"] == 2

@@ -285,19 +285,20 @@ def _with_ids(rows: DataFrame, ids: DataFrame, make: Callable[[Iterator[pa.Recor
         """Rows that pass filters (broadcast, and whether a row's bit is wanted)."""
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opened = [(_unpack(shared.value, np.int64)[0], wanted) for shared, wanted in tables]
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for k, (shared, wanted) in enumerate(tables):
+                for k, (table, wanted) in enumerate(opened):
                     at = batch.column(f"_bit{k}").to_numpy()
-                    keep &= ((shared.value[at >> 6] >> (at & 63)) & 1 == 1) == wanted
+                    keep &= ((table[at >> 6] >> (at & 63)) & 1 == 1) == wanted
                 yield batch.filter(pa.array(keep)).select(columns)
 
         bits = [_filter_bit(F.col("doc_id"), salt).alias(f"_bit{k}") for k, salt in enumerate(("first", "second")[: len(tables)])]
         return arrow_batches(rows.select(*columns, *bits)).mapInArrow(lambda batches: then(chosen(batches)), fields)
 
-    first = cast(_filter_of(ids, "first"))
+    first = cast(_pack(_filter_of(ids, "first")))
     others = passing(["doc_id"], [(first, True)], "doc_id long").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
-    second = cast(_filter_of(others.select(F.col("doc_id").alias("_id")), "second"))
+    second = cast(_pack(_filter_of(others.select(F.col("doc_id").alias("_id")), "second")))
     columns = ["doc_id", "text"]
     unsure = passing(columns, [(first, True), (second, True)], "doc_id long, text binary").hint("merge").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     unsure = arrow_batches(unsure).mapInArrow(made, fields) if make else unsure

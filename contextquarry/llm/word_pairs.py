@@ -11,7 +11,7 @@ the words and pairs that aren't among the commonest, but for those pairs that a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +264,7 @@ class Common:
     cost: np.ndarray
     leaves: np.ndarray
     start: float
-    bits: np.ndarray
+    bits: bytes | np.ndarray  # compressed, but where texts are read
     pairs: np.ndarray
     gains: np.ndarray
 
@@ -339,7 +339,7 @@ class Common:
         table = np.zeros(FILTER_BITS >> 3, np.uint8)
         for r in _over(model, filtered, DEALT + ", stats array<long>").select("shard", "payload").toLocalIterator():
             table[r["shard"] * size >> 3 : (r["shard"] + 1) * size >> 3] = q._unpack(bytes(r["payload"]), np.uint8)[0]
-        return cls(h, cost, look_up(v, leaves, context_of(h))[1], float(look_up(v, leaves, np.array([START], np.uint64))[1][0]), table, pairs, gains)
+        return cls(h, cost, look_up(v, leaves, context_of(h))[1], float(look_up(v, leaves, np.array([START], np.uint64))[1][0]), q._pack(table), pairs, gains)
 
 
 def _filter_place(keys: np.ndarray) -> np.ndarray:
@@ -409,11 +409,12 @@ def _postings(docs: DataFrame, common: Common, bits: int) -> DataFrame:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
+        common = replace(shared.value, bits=q._unpack(shared.value.bits, np.uint8)[0])
         for batch in q._blocks(batches):
             n_words, n_chars, nll = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for first, t in _tokens(*bytes_of(batch.column("text").fill_null(b""))):
                 own = slice(first, first + len(t.n_words))
-                cost, found = _asks(t, first, shared.value, bits)
+                cost, found = _asks(t, first, common, bits)
                 n_words[own] += t.n_words
                 n_chars[own] += t.n_chars
                 nll[own] += cost

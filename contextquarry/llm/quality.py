@@ -93,20 +93,42 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of bytes, and of 2 and 4 byte integers, compressed."""
-    raw = b"".join([np.array([x.nbytes for x in arrays], np.uint32).tobytes(), *(x.tobytes() for x in arrays)])
-    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    """Arrays of numbers: the first bytes of an array's items, compressed where that is shorter, or once where all are the same, then the second ones, and so on."""
+    sizes, parts = [], []
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        sizes.append(len(x))
+        for k in range(x.itemsize if len(x) else 0):
+            plain = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize)[:, k]).tobytes()
+            short = plain[:1] if plain == plain[:1] * len(plain) else pa.compress(plain, codec="zstd", asbytes=True)
+            parts.append(min(plain, short, key=len))
+            sizes.append(len(parts[-1]))
+    return b"".join([np.array(sizes, np.uint32).tobytes(), *parts])
 
 
 def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = pa.decompress(payload[4:], int(np.frombuffer(payload[:4], np.uint32)[0]), codec="zstd", asbytes=True)
-    ends = 4 * len(kinds) + np.cumsum([0, *np.frombuffer(raw[: 4 * len(kinds)], np.uint32)])
-    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(ends, ends[1:], kinds, strict=False)]
+    sizes, found = np.frombuffer(payload, np.uint32, len(payload) // 4), []
+    at = 0
+    for kind in kinds:
+        width = np.dtype(kind).itemsize if sizes[at] else 0
+        found.append((int(sizes[at]), sizes[at + 1 : at + 1 + width].tolist()))
+        at += 1 + width
+    at, out = 4 * at, []
+    for kind, (n, parts) in zip(kinds, found, strict=True):
+        x = np.empty((n, np.dtype(kind).itemsize), np.uint8)
+        for k, size in enumerate(parts):
+            part = payload[at : at + size]
+            x[:, k] = np.frombuffer(part if size in (1, n) else pa.decompress(part, n, codec="zstd", asbytes=True), np.uint8)
+            at += size
+        out.append(x.reshape(-1).view(kind))
+    return out
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions of all spans, one after the other."""
-    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(int(size.sum()))
+    places = np.arange(int(size.sum()))
+    places += np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size)
+    return places
 
 
 @dataclass
@@ -504,19 +526,18 @@ def score_documents(docs: DataFrame, trusted: DataFrame, held_out: int = 5, orde
     known = materialize(known.withColumn("_role", F.when(F.pmod(F.xxhash64(F.lit("held out"), "_id"), F.lit(held_out)) == 0, 2).otherwise(1)), "kn-trusted")
     ids = known.where("_role = 1").select("_id")
     if order == 2:
-        from contextquarry.llm.word_pairs import scored_blocks
+        from contextquarry.llm.word_pairs import score_rows
 
-        postings, parted = scored_blocks(rows, lambda make, fields: _with_ids(rows, ids, make, fields))
-        costs = _added(parted)
+        scored = score_rows(rows, lambda make, fields: _with_ids(rows, ids, make, fields))
     else:
         counted = _with_ids(rows, ids, _fit_counts, "word binary, n long")
         words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "kn-words")
         level, log_p = word_level(words), spelling(words)
         postings = materialize(_postings(rows, Head.of(words, level, log_p)), "kn-postings")
         costs = _tail_costs(postings.where("shard IS NOT NULL").select("block", "shard", "payload"), words, level, log_p)
-    about = postings.where("shard IS NULL").select("block", F.posexplode(F.arrays_zip("ids", "h", "lang", "n_words", "n_chars", "nll")).alias("at", "d"))
-    about = about.select("block", "at", F.col("d.ids").alias("doc_id"), "d.h", "d.lang", "d.n_words", "d.n_chars", "d.nll")
-    scored = about.join(costs, ["block", "at"], "left").withColumn("nll", F.col("nll") + F.coalesce("cost", F.lit(0.0)))
+        about = postings.where("shard IS NULL").select("block", F.posexplode(F.arrays_zip("ids", "h", "lang", "n_words", "n_chars", "nll")).alias("at", "d"))
+        about = about.select("block", "at", F.col("d.ids").alias("doc_id"), "d.h", "d.lang", "d.n_words", "d.n_chars", "d.nll")
+        scored = about.join(costs, ["block", "at"], "left").withColumn("nll", F.col("nll") + F.coalesce("cost", F.lit(0.0)))
     # ids, without texts, meet by a shuffle
     scored = scored.join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     return scored.select("doc_id", "h", "lang", "n_words", "n_chars", "nll", F.coalesce("_role", F.lit(0)).alias("role"))
@@ -524,7 +545,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, held_out: int = 5, orde
 
 def judge(scored: DataFrame, quantile: float = 0.99, margin: float = 0.05, prior: int = 60) -> DataFrame:
     """scored with score, limit and kept; see classify. Rows of score_documents."""
-    scored = materialize(scored, "kn-scores")
+    scored = materialize(scored, "kn-scores", free=True)
     trusted = scored.where("role > 0 AND n_chars > 0")
     # thresholds come from held-out documents; of all trusted ones only where none is held out
     means = trusted.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean"), F.max("role").alias("judged"))

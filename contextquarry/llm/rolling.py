@@ -41,7 +41,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each range, from running sums of a polynomial."""
     up, down = _power_tables(len(values) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * up[: len(values)], dtype=np.uint64)])
+    terms = np.add(values, np.uint64(1), dtype=np.uint64)
+    terms *= up[: len(values)]
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    del terms
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 

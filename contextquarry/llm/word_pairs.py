@@ -4,14 +4,15 @@ The probability of a word after another, or at the beginning of a sentence, is t
 (the beginning of a sentence, or within one), whose count is the number of different words it was seen after, and from there to its spelling. -log p is therefore a sum of three costs: of the word, of what its context leaves, and, for pairs that trusted text has, less what
 the pair gains. The first two go by words and the third by pairs, so no document needs more than sums from the shards of its words' hashes.
 
-Trusted pairs are dealt to the shards of their second words and summed there; sums by first words go to the shards of these, which answer with what each context leaves. Documents send
-the words and pairs that aren't among the commonest, but for those pairs that a filter of FILTER_BITS bits holds back. Where trusted pairs are many more than its bits, it holds back few, and results are the same.
+Trusted pairs are dealt to the shards of their second words and summed there; sums by first words go to the shards of these, which answer with what each context leaves. Documents send, once, without storing it before,
+the words and pairs that aren't among the commonest, but for those that a filter of FILTER_BITS bits holds back: words that trusted text hasn't have the cost of their spelling, which is known where the text stands. Where
+trusted pairs are many more than its bits, it holds back few, and results are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ class Tokens:
         letters[place] = np.where(begins, q.FIRST, q.WITHIN)
         if carried:
             letters[0] = carried
-        hashes = range_hashes(letters.astype(np.uint64), place, place + size)
+        hashes = range_hashes(letters, place, place + size)
         context, said = np.zeros(len(start), np.uint64), np.ones(len(start), np.int64)
         context[1:] = context_of(hashes[:-1])
         context[begins] = START
@@ -126,7 +127,7 @@ def _by_shard(hashes: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
 
 
 def _dealt(df: DataFrame, run: Callable, bits: int, *order: str) -> DataFrame:
-    """What run makes of the rows of each shard, which it gets as (shard, rows), in order."""
+    """What run makes of the rows of each shard, which it gets as (shard, rows), in order. A task has about four shards, one after the other, so files are fewer."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -140,7 +141,7 @@ def _dealt(df: DataFrame, run: Callable, bits: int, *order: str) -> DataFrame:
         if held:
             yield from run(key, held)
 
-    return arrow_batches(df.repartition(1 << bits, "shard").sortWithinPartitions("shard", *order)).mapInArrow(each, DEALT + ", stats array<long>")
+    return arrow_batches(df.repartition(1 << bits >> 2, "shard").sortWithinPartitions("shard", *order)).mapInArrow(each, DEALT + ", stats array<long>")
 
 
 def _row(shard: int, block: int, source: int, payload: bytes | None, stats: list[int] | None = None) -> pa.RecordBatch:
@@ -151,7 +152,13 @@ def _row(shard: int, block: int, source: int, payload: bytes | None, stats: list
 
 # the model
 
-_MODEL = (np.uint8, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32)
+_MODEL = (np.uint8, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
+
+
+def _packed(letters: np.ndarray, size: np.ndarray, runs: np.ndarray, context: np.ndarray, n: np.ndarray) -> bytes:
+    """Words and their pairs. Contexts are listed once, in order, and pairs have their places in that list."""
+    v, at = np.unique(context, return_inverse=True)
+    return q._pack(letters, size.astype(np.uint32), runs.astype(np.uint32), *_halves(np.diff(v, prepend=np.uint64(0))), at.astype(np.uint32), n.astype(np.uint32))
 
 
 def _summed(letters: np.ndarray, start: np.ndarray, size: np.ndarray, word: np.ndarray, hashes: np.ndarray, context: np.ndarray, n: np.ndarray):
@@ -174,7 +181,7 @@ def _fit(bits: int):
                 for s in np.flatnonzero(np.diff(cut)):
                     a, b = cut[s], cut[s + 1]
                     p = slice(pairs[a], pairs[b])
-                    yield _row(int(s), MODEL, 0, q._pack(letters[ends[a] : ends[b]], size[a:b].astype(np.uint32), runs[a:b].astype(np.uint32), *_halves(v[p]), n[p].astype(np.uint32)))
+                    yield _row(int(s), MODEL, 0, _packed(letters[ends[a] : ends[b]], size[a:b], runs[a:b], v[p], n[p]))
 
     return run
 
@@ -186,23 +193,32 @@ class Shard:
     letters: np.ndarray
     size: np.ndarray
     runs: np.ndarray
-    context: np.ndarray
+    contexts: np.ndarray  # different ones, in order
+    at: np.ndarray  # of each pair, the place of its context
     n: np.ndarray
 
     @classmethod
     def opened(cls, payload: bytes) -> Shard:
-        letters, size, runs, high, low, n = q._unpack(payload, *_MODEL)
-        return cls(letters, size.astype(np.int64), runs.astype(np.int64), _whole(high, low), n.astype(np.int64))
+        letters, size, runs, high, low, at, n = q._unpack(payload, *_MODEL)
+        return cls(letters, size.astype(np.int64), runs.astype(np.int64), np.cumsum(_whole(high, low), dtype=np.uint64), at.astype(np.int64), n.astype(np.int64))
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.contexts[self.at]
+
+    def pair_keys(self, hashes: np.ndarray, bits: int) -> np.ndarray:
+        return pair_keys(np.repeat(hashes, self.runs), self.context, bits)
 
     def hashes(self) -> np.ndarray:
-        ends = np.cumsum(self.size)
-        return range_hashes(self.letters.astype(np.uint64), ends - self.size, ends)
+        return _hashes(self.letters, self.size)
 
     def places(self) -> np.ndarray:
         return self.letters[np.cumsum(self.size) - self.size]
 
-    def costs(self, level: q.WordLevel, table: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        return level.costs(self.places(), self.runs, q.spelling_costs(_lined(self.letters, self.size), table, log_p))
+
+def _hashes(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return range_hashes(letters, ends - size, ends)
 
 
 def _lined(letters: np.ndarray, size: np.ndarray) -> bytes:
@@ -214,13 +230,13 @@ def _lined(letters: np.ndarray, size: np.ndarray) -> bytes:
 def _merged(shard: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
     parts = [Shard.opened(r["payload"]) for r in rows]
     letters, size, runs, v, n = (np.concatenate([getattr(p, c) for p in parts]) for c in ("letters", "size", "runs", "context", "n"))
-    word, h = np.repeat(np.arange(len(size)), runs), Shard(letters, size, runs, v, n).hashes()
+    word, h = np.repeat(np.arange(len(size)), runs), _hashes(letters, size)
     letters, size, runs, v, n, _ = _summed(letters, np.cumsum(size) - size, size, word, h[word], v, n)
-    place = Shard(letters, size, runs, v, n).places()
+    place = letters[np.cumsum(size) - size]
     stats = [int((n == k).sum()) for k in (1, 2, 3, 4)]
     for own in (runs[place == q.FIRST], runs[place == q.WITHIN]):
         stats += [int(own.sum()), len(own), *(int((own == k).sum()) for k in (1, 2, 3, 4))]
-    yield _row(shard, MODEL, 0, q._pack(letters, size.astype(np.uint32), runs.astype(np.uint32), *_halves(v), n.astype(np.uint32)), stats)
+    yield _row(shard, MODEL, 0, _packed(letters, size, runs, v, n), stats)
 
 
 def _over(model: DataFrame, make: Callable[[int, Shard], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
@@ -236,8 +252,8 @@ def _contexts(model: DataFrame, cut: tuple[float, float, float], bits: int) -> D
     """What each context leaves: rows LEFT (for a shard of words, of its contexts in each shard, in order) and CONTEXTS (by context, its share and what is left of its count)."""
 
     def asked(shard: int, own: Shard) -> Iterator[pa.RecordBatch]:
-        v, at = np.unique(own.context, return_inverse=True)
-        sums = [np.bincount(at, x, len(v)).astype(np.uint32) for x in (own.n, own.n == 1, own.n == 2, own.n >= 3)]
+        v = own.contexts
+        sums = [np.bincount(own.at, x, len(v)).astype(np.uint32) for x in (own.n, own.n == 1, own.n == 2, own.n >= 3)]
         to = _by_shard(v, bits, 48)
         for s in np.flatnonzero(np.diff(to)):
             p = slice(to[s], to[s + 1])
@@ -253,23 +269,27 @@ def _contexts(model: DataFrame, cut: tuple[float, float, float], bits: int) -> D
         for r, own in zip(rows, np.split(at, np.cumsum([len(x) for x in lists])[:-1]), strict=True):
             yield _row(r["source"], LEFT, shard, q._pack(left[own].astype(np.float32)))
 
-    return materialize(_dealt(_over(model, asked, DEALT + ", stats array<long>"), answered, bits, "source"), "kn-contexts").drop("stats")
+    return materialize(_dealt(_over(model, asked, DEALT + ", stats array<long>"), answered, bits, "source"), "kn-contexts", free=True).drop("stats")
 
 
 @dataclass
 class Common:
-    """Of the commonest words, by hash: the costs of the word and of what it leaves as a context; what the beginning of a sentence leaves; bits of all pairs; and the gains of the commonest."""
+    """Of the commonest words, by hash: the costs of the word and of what it leaves as a context; what the beginning of a sentence leaves; bits of all words and pairs; and the gains of the commonest pairs."""
 
     hashes: np.ndarray
     cost: np.ndarray
     leaves: np.ndarray
     start: float
-    bits: bytes | np.ndarray  # compressed, but where texts are read
-    pairs: np.ndarray
-    gains: np.ndarray
+    bits: bytes  # packed
+    pairs: bytes  # packed: keys, in order, and gains
+
+    def gains(self) -> tuple[np.ndarray, np.ndarray]:
+        high, low, gains = q._unpack(self.pairs, np.uint32, np.uint16, np.float32)
+        return np.cumsum(_whole(high, low), dtype=np.uint64), gains
 
     @classmethod
-    def of(cls, model: DataFrame, contexts: DataFrame, level: q.WordLevel, cut: tuple[float, float, float], log_p: np.ndarray, bits: int) -> Common:
+    def of(cls, model: DataFrame, contexts: DataFrame, level: q.WordLevel, cut: tuple[float, float, float], spelled, bits: int) -> Common:
+        """spelled: the spelling model, packed and broadcast."""
         spark = model.sparkSession
 
         def kinds(_: int, own: Shard) -> Iterator[pa.RecordBatch]:
@@ -279,14 +299,14 @@ class Common:
         counts = _over(model, kinds, "n long, kinds long").groupBy("n").agg(F.sum("kinds").alias("kinds")).orderBy(F.desc("n")).limit(q.HEAD).toArrow()
         high = counts.column("n").to_numpy()[np.cumsum(counts.column("kinds").to_numpy()) <= q.HEAD]
         least = int(high[-1]) if len(high) else 1 << 62
-        spelled = spark.sparkContext.broadcast(log_p)
 
         def words(_: int, own: Shard) -> Iterator[pa.RecordBatch]:
             chosen = np.flatnonzero(own.runs >= least)
             if len(chosen):
                 size = own.size[chosen]
-                some = Shard(own.letters[q._spans((np.cumsum(own.size) - own.size)[chosen], size)], size, own.runs[chosen], own.context, own.n)
-                yield pa.RecordBatch.from_arrays([pa.array(some.hashes().astype(np.int64)), pa.array(some.costs(level, q.symbol_table(), spelled.value))], names=["h", "cost"])
+                letters = own.letters[q._spans((np.cumsum(own.size) - own.size)[chosen], size)]
+                cost = level.costs(own.places()[chosen], own.runs[chosen], q.spelling_costs(_lined(letters, size), q.symbol_table(), q._unpack(spelled.value, np.float32)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(letters, size).astype(np.int64)), pa.array(cost)], names=["h", "cost"])
 
         got = _over(model, words, "h long, cost double").toArrow()
         h, cost = got.column("h").to_numpy().astype(np.uint64), got.column("cost").to_numpy()
@@ -303,6 +323,7 @@ class Common:
                     yield pa.RecordBatch.from_arrays([pa.array(v[own].astype(np.int64)), *(pa.array(x[own].astype(np.float64)) for x in (share, left))], names=["v", "share", "rest"])
 
         got = arrow_batches(contexts.where(F.col("block") == CONTEXTS).select("payload")).mapInArrow(shares, "v long, share double, rest double").toArrow()
+        wanted.destroy()
         v, share, rest = got.column("v").to_numpy().astype(np.uint64), got.column("share").to_numpy(), got.column("rest").to_numpy()
         order = np.argsort(v)
         v, leaves, rest = v[order], -np.log(share[order]), rest[order]
@@ -327,23 +348,57 @@ class Common:
         gains = np.log1p((n[own] - np.array([0.0, *cut])[np.minimum(n[own], 3)]) / (of_context[own] * np.exp(-word_cost[own])))
         keys = pair_keys(second[own], first[own], bits)
         order = np.argsort(keys)
-        pairs, gains = keys[order], gains[order].astype(np.float32)
+        pairs = q._pack(*_halves(np.diff(keys[order], prepend=np.uint64(0))), gains[order].astype(np.float32))
         size = FILTER_BITS >> bits
 
         def filtered(shard: int, own: Shard) -> Iterator[pa.RecordBatch]:
-            keys = pair_keys(np.repeat(own.hashes(), own.runs), own.context, bits)
-            mask = np.zeros(size, bool)
-            mask[_filter_place(keys) - shard * size] = True
+            hashes, mask = own.hashes(), np.zeros(size, bool)
+            for keys in (context_of(hashes), own.pair_keys(hashes, bits)):
+                mask[_filter_place(keys) - shard * size] = True
             yield _row(shard, MODEL, 0, q._pack(np.packbits(mask)))
 
         table = np.zeros(FILTER_BITS >> 3, np.uint8)
         for r in _over(model, filtered, DEALT + ", stats array<long>").select("shard", "payload").toLocalIterator():
             table[r["shard"] * size >> 3 : (r["shard"] + 1) * size >> 3] = q._unpack(bytes(r["payload"]), np.uint8)[0]
-        return cls(h, cost, look_up(v, leaves, context_of(h))[1], float(look_up(v, leaves, np.array([START], np.uint64))[1][0]), q._pack(table), pairs, gains)
+        return cls(h, cost, look_up(v, leaves, context_of(h))[1], float(look_up(v, leaves, np.array([START], np.uint64))[1][0]), q._pack(table), pairs)
+
+
+#: Of a key of 48 bits, the first are its place in the filter.
+REST_BITS = 48 - (FILTER_BITS.bit_length() - 1)
 
 
 def _filter_place(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(48 - (FILTER_BITS.bit_length() - 1))).astype(np.int64)
+    return (keys >> np.uint64(REST_BITS)).astype(np.int64)
+
+
+def _coded(number: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Keys with the number of their place, among those of their shard that the filter has, for the place: as exact, and shorter to send."""
+    return (number.astype(np.uint64) << np.uint64(REST_BITS)) | (keys & np.uint64((1 << REST_BITS) - 1))
+
+
+class Filter:
+    """The places that the keys of words and pairs of trusted text have."""
+
+    def __init__(self, packed: bytes, bits: int):
+        self.words = q._unpack(packed, np.uint8)[0].view(">u8").astype(np.uint64)
+        set_bits = np.bitwise_count(self.words)
+        self.before = np.cumsum(set_bits, dtype=np.uint32) - set_bits
+        self.start = self.number(np.arange(1 << bits) << (FILTER_BITS.bit_length() - 1 - bits))
+        self.shard = np.uint64(48 - bits)
+
+    def number(self, place: np.ndarray) -> np.ndarray:
+        """How many places before these it has."""
+        at, inside = place >> 6, (place & 63).astype(np.uint64)
+        return self.before[at].astype(np.int64) + np.bitwise_count((self.words[at] >> np.uint64(1)) >> (np.uint64(63) - inside))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys it lets pass."""
+        place = _filter_place(keys)
+        return ((self.words[place >> 6] >> (63 - (place & 63)).astype(np.uint64)) & np.uint64(1)) > 0
+
+    def coded(self, keys: np.ndarray) -> np.ndarray:
+        """Of keys that pass."""
+        return _coded(self.number(_filter_place(keys)) - self.start[(keys >> self.shard).astype(np.int64)], keys)
 
 
 def look_up(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,11 +412,14 @@ def look_up(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[
 
 # documents
 
-_ASKED = (np.uint8, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32)
+_ASKED = (np.uint32, np.uint16, np.uint32, np.uint16, np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32)
+ABOUT = "ids array<long>, h array<long>, lang array<string>, n_words array<long>, n_chars array<long>, nll array<double>"
+_ABOUT = [x.split()[0] for x in ABOUT.split(", ")]
 
 
-def _asks(t: Tokens, first_doc: int, common: Common, bits: int) -> tuple[np.ndarray, dict[int, bytes]]:
-    """The costs of a part's common words by text, and by shard what is asked: other words with their texts, how often they are there and how often a word follows them; and pairs."""
+def _asks(t: Tokens, first_doc: int, common: Common, pairs: tuple[np.ndarray, np.ndarray], passing: Filter, spell: Callable[[bytes], np.ndarray], level: q.WordLevel, bits: int) -> tuple[np.ndarray, dict[int, bytes]]:
+    """The costs of a part's words by text, all but the commonest as words that trusted text hasn't; and by shard what is asked, of what the filter lets pass: words with their texts, how often they are there and how
+    often a word follows them; and pairs."""
     n_docs = len(t.n_words)
     cost = np.bincount(t.doc, (t.context == START) & (t.said > 0), n_docs) * common.start
     followed = np.zeros(len(t.start), np.int64)
@@ -375,74 +433,91 @@ def _asks(t: Tokens, first_doc: int, common: Common, bits: int) -> tuple[np.ndar
     runs = np.diff(np.concatenate([begins, [len(at)]]))
     known, word_cost = look_up(common.hashes, common.cost, word)
     leaves = look_up(common.hashes, common.leaves, word)[1]
+    other = np.flatnonzero(~known)
+    if len(other):
+        start, size = t.start[sample[other]], t.size[sample[other]]
+        word_cost[other] = level.costs(t.letters[start], np.zeros(len(other), np.int64), spell(_lined(t.letters[q._spans(start, size)], size)))
     cost = cost + np.bincount(doc, np.repeat(word_cost, runs) * said + np.repeat(leaves, runs) * after, n_docs)
+    other = other[passing.find(context_of(word[other]))]
+    codes = passing.coded(context_of(word[other]))
     keys = pair_keys(t.hashes, t.context, bits)
-    place = _filter_place(keys)
-    common_pair, gain = look_up(common.pairs, common.gains, keys)
+    common_pair, gain = look_up(*pairs, keys)
     cost = cost - np.bincount(t.doc, gain * t.said, n_docs)
-    own = np.flatnonzero(((common.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0) & (t.said > 0) & ~common_pair)
+    own = np.flatnonzero(passing.find(keys) & (t.said > 0) & ~common_pair)
     own = own[np.lexsort((t.doc[own], keys[own]))]
     at = _firsts(keys[own], t.doc[own])
     key, key_doc, key_n = keys[own][at], t.doc[own][at], np.diff(np.concatenate([at, [len(own)]]))
-    of_words, of_pairs, out = _by_shard(word, bits), _by_shard(key, bits, 48), {}
+    pair_codes = passing.coded(key)
+    of_words, of_pairs, out = _by_shard(word[other], bits), _by_shard(key, bits, 48), {}
     for s in range(1 << bits):
-        chosen = of_words[s] + np.flatnonzero(~known[of_words[s] : of_words[s + 1]])
-        p = slice(of_pairs[s], of_pairs[s + 1])
-        if len(chosen) or p.stop > p.start:
-            x = q._spans(begins[chosen], runs[chosen])
-            letters = t.letters[q._spans(t.start[sample[chosen]], t.size[sample[chosen]])]
+        w, p = slice(of_words[s], of_words[s + 1]), slice(of_pairs[s], of_pairs[s + 1])
+        if w.stop > w.start or p.stop > p.start:
+            x = q._spans(begins[other[w]], runs[other[w]])
             out[s] = q._pack(
-                letters, t.size[sample[chosen]].astype(np.uint32), runs[chosen].astype(np.uint32), (doc[x] + first_doc).astype(np.uint16), said[x].astype(np.uint32), after[x].astype(np.uint32),
-                *_halves(np.diff(key[p], prepend=np.uint64(0))), (key_doc[p] + first_doc).astype(np.uint16), key_n[p].astype(np.uint32),
+                *_halves(np.diff(codes[w], prepend=np.uint64(0))), runs[other[w]].astype(np.uint32), (doc[x] + first_doc).astype(np.uint16), said[x].astype(np.uint32), after[x].astype(np.uint32),
+                *_halves(np.diff(pair_codes[p], prepend=np.uint64(0))), (key_doc[p] + first_doc).astype(np.uint16), key_n[p].astype(np.uint32),
             )
     return cost, out
 
 
-def _postings(docs: DataFrame, common: Common, bits: int) -> DataFrame:
-    """As quality._postings: a block's documents with the cost of their common words (shard null), and what is asked of each shard."""
-    names = [x.split()[0] for x in q.POSTINGS.split(", ")]
-    longs, texts = pa.list_(pa.int64()), pa.list_(pa.string())
-    types = [pa.int64(), pa.int32(), pa.binary(), longs, longs, texts, longs, longs, pa.list_(pa.float64())]
+def _postings(docs: DataFrame, common: Common, level: q.WordLevel, spelled, bits: int) -> DataFrame:
+    """As quality._postings: a block's documents with their costs as far as they are known where texts are (payload null, in any shard), and what is asked of each shard."""
+    types = [pa.int32(), pa.int64(), pa.binary(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())]]
+    names = ["shard", "block", "payload", *_ABOUT]
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        common = replace(shared.value, bits=q._unpack(shared.value.bits, np.uint8)[0])
+        pairs = passing = table = log_p = None
         for batch in q._blocks(batches):
+            if passing is None:
+                pairs, passing, table, log_p = shared.value.gains(), Filter(shared.value.bits, bits), q.symbol_table(), q._unpack(spelled.value, np.float32)[0]
             n_words, n_chars, nll = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for first, t in _tokens(*bytes_of(batch.column("text").fill_null(b""))):
                 own = slice(first, first + len(t.n_words))
-                cost, found = _asks(t, first, common, bits)
+                cost, found = _asks(t, first, shared.value, pairs, passing, lambda words: q.spelling_costs(words, table, log_p), level, bits)
                 n_words[own] += t.n_words
                 n_chars[own] += t.n_chars
                 nll[own] += cost
-                cols = ([block] * len(found), list(found), list(found.values()), *[[None] * len(found)] * 6)
+                cols = (list(found), [block] * len(found), list(found.values()), *[[None] * len(found)] * 6)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, types, strict=True)], names=names)
             own = [batch.column(x).to_pylist() for x in ("doc_id", "h", "lang")] + [n_words.tolist(), n_chars.tolist(), nll.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((block, None, None, *own), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((int(mix(np.array([block], np.uint64))[0]) % (1 << bits), block, None, *own), types, strict=True)], names=names)
             block += 1
 
-    return arrow_batches(docs).mapInArrow(run, q.POSTINGS)
+    return arrow_batches(docs).mapInArrow(run, f"shard int, block long, payload binary, {ABOUT}")
 
 
-def _shard_costs(postings: DataFrame, model: DataFrame, contexts: DataFrame, level: q.WordLevel, cut: tuple[float, float, float], log_p: np.ndarray, bits: int) -> DataFrame:
-    """block, docs, sums: the costs of each shard's words and pairs by document. The shard's model comes first, and what is asked of it streams past."""
-    asked = postings.select("shard", "block", F.lit(0).alias("source"), "payload")
-    every = model.select("shard", "block", "source", "payload").unionByName(contexts).unionByName(asked)
-    spelled = postings.sparkSession.sparkContext.broadcast(log_p)
+def _answers(postings: DataFrame, model: DataFrame, contexts: DataFrame, level: q.WordLevel, cut: tuple[float, float, float], spelled, bits: int) -> DataFrame:
+    """block, sums (packed: documents, in order, and sums): what each shard's words and pairs add to the costs by document; and the blocks' documents, as they come. The shard's model comes first, and what is asked of it streams past."""
+    none = [F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in ABOUT.split(", ")]
+    known = model.select("shard", "block", "source", "payload").unionByName(contexts).select("*", *none)
+    every = known.unionByName(postings.withColumn("source", F.lit(0)))
     steps = np.array([0.0, *cut])
 
+    def opened(model: Shard, left: np.ndarray, v: np.ndarray, leaves: np.ndarray, spell: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Codes of words, in order, with what they gain over words that trusted text hasn't and what they leave as contexts; codes of pairs, in order, and their gains."""
+        hashes, spelling = model.hashes(), spell(_lined(model.letters, model.size))
+        cost = level.costs(model.places(), model.runs, spelling)
+        gains = np.log1p((model.n - steps[np.minimum(model.n, 3)]) / (left[model.at] * np.repeat(np.exp(-cost), model.runs)))
+        words, keys = context_of(hashes), model.pair_keys(hashes, bits)
+        places = np.unique(_filter_place(np.concatenate([words, keys])))
+        code = lambda x: _coded(np.searchsorted(places, _filter_place(x)), x)
+        order, of_pairs = np.argsort(words), np.argsort(keys)
+        words, gained = words[order], (level.costs(model.places(), np.zeros(len(cost), np.int64), spelling) - cost)[order]
+        return code(words), gained, look_up(v, leaves, words)[1], code(keys[of_pairs]), gains[of_pairs]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, log_p, none = q.symbol_table(), spelled.value, np.zeros(0, np.uint64)
-        key = model = ready = None
-        left: list[np.ndarray] = []
+        table = log_p = key = model = ready = None
         for batch in batches:
-            blocks, docs, sums = [], [], []
+            blocks, sums = [], []
             for shard, block, payload in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "payload")), strict=True):
                 if key != shard:
-                    key, model, ready, left, shares = shard, None, None, [], (none, np.zeros(0))
+                    key, model, ready, left, shares = shard, None, None, [], (np.zeros(0, np.uint64), np.zeros(0))
+                if payload is None:
+                    continue
                 if block == MODEL:
                     model = Shard.opened(payload)
                 elif block == LEFT:  # in the order of contexts
@@ -452,39 +527,52 @@ def _shard_costs(postings: DataFrame, model: DataFrame, contexts: DataFrame, lev
                     shares = _whole(high, low), -np.log(share.astype(np.float64))
                 if block < 0:
                     continue
-                if ready is None and model is None:
-                    ready = none, np.zeros(0, np.int64), none, np.zeros(0)
-                elif ready is None:
-                    words, p = model.hashes(), np.exp(-model.costs(level, table, log_p))
-                    _, at = np.unique(model.context, return_inverse=True)
-                    gains = np.log1p((model.n - steps[np.minimum(model.n, 3)]) / (np.concatenate(left)[at].astype(np.float64) * np.repeat(p, model.runs)))
-                    keys = pair_keys(np.repeat(words, model.runs), model.context, bits)
-                    order = np.argsort(keys)
-                    ready = words, model.runs, keys[order], gains[order]
+                if ready is None:  # the filter lets nothing pass to a shard without a model
+                    if log_p is None:
+                        table, log_p = q.symbol_table(), q._unpack(spelled.value, np.float32)[0]
+                    ready = opened(model, np.concatenate(left).astype(np.float64), *shares, lambda words: q.spelling_costs(words, table, log_p))
                     model = None
-                words, n, keys, gains = ready
-                letters, size, runs, doc, said, after, high, low, pair_doc, pair_n = q._unpack(payload, *_ASKED)
-                size = size.astype(np.int64)
-                ends = np.cumsum(size)
-                h = range_hashes(letters.astype(np.uint64), ends - size, ends)
-                cost = level.costs(letters[ends - size], look_up(words, n, h)[1], q.spelling_costs(_lined(letters, size), table, log_p)) if len(size) else np.zeros(0)
-                word = np.repeat(np.arange(len(size)), runs)
-                each = np.concatenate([cost[word] * said + look_up(*shares, context_of(h))[1][word] * after, -look_up(keys, gains, np.cumsum(_whole(high, low), dtype=np.uint64))[1] * pair_n])
+                words, gained, leaves, pairs, gains = ready
+                high, low, runs, doc, said, after, pair_high, pair_low, pair_doc, pair_n = q._unpack(payload, *_ASKED)
+                word, pair = (np.cumsum(_whole(*x), dtype=np.uint64) for x in ((high, low), (pair_high, pair_low)))
+                each = [np.repeat(look_up(words, x, word)[1], runs) for x in (gained, leaves)]
+                each = np.concatenate([each[1] * after - each[0] * said, -look_up(pairs, gains, pair)[1] * pair_n])
                 found, at = np.unique(np.concatenate([doc, pair_doc]), return_inverse=True)
                 blocks.append(block)
-                docs.append(found.astype(np.uint16).tobytes())
-                sums.append(np.bincount(at, each).astype(np.float32).tobytes())
+                sums.append(q._pack(np.diff(found, prepend=found.dtype.type(0)), np.bincount(at, each).astype(np.float32)))
             if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], names=["block", "docs", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(sums, pa.binary()), *(pa.nulls(len(blocks), batch.column(c).type) for c in _ABOUT)], names=["block", "sums", *_ABOUT])
+            about = batch.filter(batch.column("ids").is_valid())
+            if about.num_rows:
+                yield pa.RecordBatch.from_arrays([about.column("block"), pa.nulls(about.num_rows, pa.binary()), *(about.column(c) for c in _ABOUT)], names=["block", "sums", *_ABOUT])
+
+    dealt = every.select("shard", "block", "source", "payload", *_ABOUT).repartition(1 << bits, "shard").sortWithinPartitions("shard", "block", "source")
+    return arrow_batches(dealt).mapInArrow(run, f"block long, sums binary, {ABOUT}")
 
-    dealt = every.repartition(1 << bits, "shard").sortWithinPartitions("shard", "block", "source")
-    return arrow_batches(dealt).mapInArrow(run, "block long, docs binary, sums binary")
 
+def _scores(answers: DataFrame) -> DataFrame:
+    """doc_id, h, lang, n_words, n_chars, nll: the documents of each block with the sum of their costs."""
 
-def scored_blocks(rows: DataFrame, fit: Callable[[Callable, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Postings of rows (doc_id, h, lang, text) and the costs that the shards add to them (block, docs, sums), by a model of trusted texts: fit(make, fields) is what make has of their batches."""
-    bits = shard_bits(rows.sparkSession)
-    model = materialize(_dealt(fit(_fit(bits), DEALT + ", stats array<long>"), _merged, bits), "kn-pairs")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                nll = np.array(row["nll"])
+                for packed in sorted(row["sums"]):  # in an order that doesn't depend on tasks
+                    doc, sums = q._unpack(packed, np.uint16, np.float32)
+                    nll[np.cumsum(doc, dtype=np.int64)] += sums
+                cols = (row["ids"], row["h"], row["lang"], row["n_words"], row["n_chars"], nll)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", *_ABOUT[1:]])
+
+    # a block has one row of documents, and a list for each shard and each part of a long text
+    whole = answers.groupBy("block").agg(F.collect_list("sums").alias("sums"), *(F.first(c, ignorenulls=True).alias(c) for c in _ABOUT))
+    return arrow_batches(whole).mapInArrow(add, "doc_id long, h long, lang string, n_words long, n_chars long, nll double")
+
+
+def score_rows(rows: DataFrame, fit: Callable[[Callable, str], DataFrame]) -> DataFrame:
+    """doc_id, h, lang, n_words, n_chars, nll of rows (doc_id, h, lang, text), by a model of trusted texts: fit(make, fields) is what make has of their batches."""
+    spark = rows.sparkSession
+    bits = shard_bits(spark)
+    model = materialize(_dealt(fit(_fit(bits), DEALT + ", stats array<long>"), _merged, bits), "kn-pairs", free=True)
     stats = model.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     stats = {r["pos"]: r["n"] for r in stats}
     cut = q.discounts(*(stats.get(k, 0) for k in range(4)))
@@ -500,7 +588,7 @@ def scored_blocks(rows: DataFrame, fit: Callable[[Callable, str], DataFrame]) ->
         ends = np.concatenate([[0], np.cumsum(own.size)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(own.size), [None, pa.py_buffer(ends), pa.py_buffer(own.letters.tobytes())])], names=["word"])
 
-    log_p = q.spelling(_over(model, words, "word binary"))
+    spelled = spark.sparkContext.broadcast(q._pack(q.spelling(_over(model, words, "word binary"))))
     contexts = _contexts(model, cut, bits)
-    postings = materialize(_postings(rows, Common.of(model, contexts, level, cut, log_p, bits), bits), "kn-postings")
-    return postings, _shard_costs(postings.where("shard IS NOT NULL"), model, contexts, level, cut, log_p, bits)
+    postings = _postings(rows, Common.of(model, contexts, level, cut, spelled, bits), level, spelled, bits)
+    return _scores(_answers(postings, model, contexts, level, cut, spelled, bits))

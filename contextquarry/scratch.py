@@ -28,12 +28,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/contextquarry-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Whether Spark removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks.
 
-    What an application has written lies in one folder of the application's id, to be removed when it has ended.
+    What an application has written lies in one folder of the application's id, to be removed when it has ended. free: the shuffle files of what is written are removed when it is.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true" if free else before)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

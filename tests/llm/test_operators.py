@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -521,6 +522,55 @@ def test_pairs_go_on_over_parts_of_long_texts(spark):
     assert [got[i].nll for i in (2, 3)] == pytest.approx(brute_pair_costs(texts[:1], texts[2:]), rel=1e-5)
 
 
+def test_quality_sends_once_and_only_what_trusted_text_may_have(spark, monkeypatch):
+    """Words and pairs that trusted text hasn't aren't sent, and nothing sent is stored before; costs are those of a model that asks for all (test_quality_is_kneser_ney_of_pairs)."""
+    docs = spark.createDataFrame([(0, "one two three. one two four"), *((i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(1, 6))], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    stored, sent, store, posted = [], [], word_pairs.materialize, word_pairs._postings
+    monkeypatch.setattr(word_pairs, "materialize", lambda df, name, *a, **b: stored.append(name) or store(df, name, *a, **b))
+    monkeypatch.setattr(word_pairs, "_postings", lambda *a: sent.append(posted(*a)) or sent[-1])
+    got = {r.doc_id: r for r in quality.score_documents(docs, spark.createDataFrame([(0,)], "doc_id long"), held_out=10**9, order=2).collect()}
+    assert [got[i].n_words for i in range(6)] == [6, *[50] * 5] and all(got[i].nll > 100 for i in range(1, 6))
+    assert sorted(stored) == ["kn-contexts", "kn-pairs"]
+    assert not sent[0].where("payload IS NOT NULL").collect()
+
+
+def test_filter_numbers_places():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    mask = np.zeros(word_pairs.FILTER_BITS, bool)
+    mask[word_pairs._filter_place(keys)] = True
+    bits = 6
+    passing = word_pairs.Filter(quality._pack(np.packbits(mask)), bits)
+    assert passing.find(keys).all() and passing.find(rng.integers(0, 1 << 48, 10**5, dtype=np.uint64)).mean() < 1e-3
+    for shard in range(1 << bits):
+        own = keys[keys >> np.uint64(48 - bits) == shard]
+        places = np.unique(word_pairs._filter_place(own))
+        assert (passing.coded(own) == word_pairs._coded(np.searchsorted(places, word_pairs._filter_place(own)), own)).all()
+
+
+def test_packed_arrays_are_opened_again():
+    rng = np.random.default_rng(2)
+    arrays = [rng.integers(0, 2**32, 700, dtype=np.uint32), np.zeros(0, np.uint16), np.ones(1, np.uint16), np.full(300, 7, np.uint32), rng.random(9).astype(np.float32), np.arange(-3, 5), np.arange(2, dtype=np.uint8)]
+    for x, y in zip(arrays, quality._unpack(quality._pack(*arrays), *(x.dtype for x in arrays)), strict=True):
+        assert x.dtype == y.dtype and (x == y).all()
+
+
+def test_shuffle_files_end_with_what_is_stored(spark):
+    from contextquarry.scratch import CLEANUP, materialize
+
+    disk, before = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(CLEANUP)
+    shuffled = lambda: {x for x in disk.getAllBlocks().mkString(",").split(",") if x.startswith("shuffle")}
+    rows, had = spark.range(1000).repartition(3, "id"), shuffled()
+    materialize(rows, "freed", free=True)
+    for _ in range(50):
+        if shuffled() <= had:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= had and spark.conf.get(CLEANUP) == before
+    materialize(rows, "kept")
+    assert shuffled() - had
+
+
 def test_quality_reads_long_texts_in_parts(monkeypatch):
     """Parts have the words of the whole, each whole and in its place."""
     rng = np.random.default_rng(3)

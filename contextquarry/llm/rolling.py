@@ -23,30 +23,39 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """The powers of _P and of its inverse modulo 2 ** 64, up to n at least."""
-    if len(_powers[0]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        for i, base in enumerate((_P, inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
+#: Powers of _P and of its inverse modulo 2 ** 64 are products of two: of the last bits of the exponent, and of the others.
+LOW_BITS = 16
+_powers: list[list[np.ndarray]] = []
+
+
+def _power_tables(n: int) -> list[list[np.ndarray]]:
+    """Of _P and of its inverse: the powers up to 2 ** LOW_BITS, and those of the multiples of that up to n at least."""
+    if not _powers or len(_powers[0][1]) <= n >> LOW_BITS:
+        tables = []
+        for base in (int(_P), pow(int(_P), -1, 1 << 64)):
+            pair = []
+            for step, size in ((base, 1 << LOW_BITS), (pow(base, 1 << LOW_BITS, 1 << 64), max(64, 2 << (n >> LOW_BITS).bit_length()))):
+                steps = np.full(size, step, np.uint64)
+                steps[0] = 1
+                pair.append(np.multiply.accumulate(steps))
+            tables.append(pair)
+        _powers[:] = tables
     return _powers
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each range, from running sums of a polynomial."""
-    up, down = _power_tables(len(values) + 1)
+    (low, high), (down_low, down_high) = _power_tables(len(values) + 1)
     terms = np.add(values, np.uint64(1), dtype=np.uint64)
-    terms *= up[: len(values)]
+    for k in range(0, len(terms), 1 << LOW_BITS):
+        part = terms[k : k + (1 << LOW_BITS)]
+        part *= low[: len(part)]
+        part *= high[k >> LOW_BITS]
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
     del terms
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    down = down_low[start & ((1 << LOW_BITS) - 1)] * down_high[start >> LOW_BITS]
+    return mix((sums[end] - sums[start]) * down + (end - start).astype(np.uint64))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

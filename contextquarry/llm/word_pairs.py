@@ -381,15 +381,18 @@ class Filter:
 
     def __init__(self, packed: bytes, bits: int):
         self.words = q._unpack(packed, np.uint8)[0].view(">u8").astype(np.uint64)
-        set_bits = np.bitwise_count(self.words)
-        self.before = np.cumsum(set_bits, dtype=np.uint32) - set_bits
+        set_bits = np.bitwise_count(self.words).reshape(-1, 4).sum(axis=1, dtype=np.uint32)
+        self.before = np.cumsum(set_bits, dtype=np.uint32) - set_bits  # each fourth word
         self.start = self.number(np.arange(1 << bits) << (FILTER_BITS.bit_length() - 1 - bits))
         self.shard = np.uint64(48 - bits)
 
     def number(self, place: np.ndarray) -> np.ndarray:
         """How many places before these it has."""
         at, inside = place >> 6, (place & 63).astype(np.uint64)
-        return self.before[at].astype(np.int64) + np.bitwise_count((self.words[at] >> np.uint64(1)) >> (np.uint64(63) - inside))
+        n = self.before[at >> 2].astype(np.int64) + np.bitwise_count((self.words[at] >> np.uint64(1)) >> (np.uint64(63) - inside))
+        for k in range(3):
+            n += np.where(at & 3 > k, np.bitwise_count(self.words[(at & ~3) + k]), 0)
+        return n
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Which keys it lets pass."""

@@ -14,21 +14,26 @@ from contextquarry.functions.text import estimate_sql, with_costs
 from contextquarry.operators import code_index
 from contextquarry.plans import sample_package
 from contextquarry.scratch import materialize, scratch
+from contextquarry.session import spread
 from contextquarry.sources import tables as T
 
+#: Bytes of a block of parsed files.
+BLOCK = 8 << 20
+
 # what was ordered: a module with a class for each part, and one for each supplier, which imports its parts and calls them once for each order line
 
 
 def market(spark, d):
-    """file, content: the sources of the package `market`."""
-    parts = T.table(spark, d, "part").select(
+    """file, content: the sources of the package `market`. Lines are shuffled once, as numbers, by the module that they go to."""
+    parts = spread(T.table(spark, d, "part")).select(
         F.format_string("market/parts/p%d.py", "p_partkey").alias("file"), F.concat(F.lit("class P"), F.col("p_partkey").cast("string"), F.lit(':\n    """'), F.col("p_name"), F.lit('"""\n')).alias("content")
     )
-    lines = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").cast("string").alias("p")).groupBy("s", "p").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    imports, calls = F.concat(F.lit("from market.parts.p"), "p", F.lit(" import P"), "p", F.lit("\n")), F.repeat(F.concat(F.lit("        P"), "p", F.lit("(),\n")), F.col("n"))
-    own = lines.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(imports.alias("i"), calls.alias("c")))).alias("x"))
-    joined = lambda f: F.array_join(F.transform("x", lambda x: x[f]), "")
-    content = F.concat(F.lit("from __future__ import annotations\n"), joined("i"), F.lit("def supply():\n    return [\n"), joined("c"), F.lit("    ]\n"))
+    lines = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).repartition("s").groupBy("s", "p").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    own = lines.groupBy("s").agg(F.sort_array(F.collect_list(F.struct(F.col("p").cast("string").alias("p"), "n"))).alias("x"))
+    imports = lambda x: F.concat(F.lit("from market.parts.p"), x["p"], F.lit(" import P"), x["p"], F.lit("\n"))
+    calls = lambda x: F.repeat(F.concat(F.lit("        P"), x["p"], F.lit("(),\n")), x["n"])
+    joined = lambda f: F.array_join(F.transform("x", f), "")
+    content = F.concat(F.lit("from __future__ import annotations\n"), joined(imports), F.lit("def supply():\n    return [\n"), joined(calls), F.lit("    ]\n"))
     return parts.unionByName(own.select(F.format_string("market/suppliers/s%d.py", "s").alias("file"), content.alias("content")))
 
 
@@ -38,8 +43,9 @@ sellers AS (SELECT s, count(*) AS kinds, sum(n)::BIGINT AS n, sum(n * (length(p:
 names AS (SELECT s, 'market/suppliers/s' || s || '.py' AS file, kinds, n, chars FROM sellers)"""
 
 
-def _parsed(spark, d):
-    return materialize(code_index.parse(market(spark, d)), "parsed")
+def _parsed(files, *refs):
+    """What exports() and edges() read of files, written in small blocks: a reader holds the references of all files of a block."""
+    return materialize(code_index.outline(code_index.parse(files, refs=refs)), "parsed", free=True, block=BLOCK)
 
 
 @query(
@@ -52,7 +58,7 @@ def _parsed(spark, d):
     SELECT file || '::' || qualname AS id, file, kind, name, qualname, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, {estimate_sql('shown')} AS full_tokens FROM found""",
 )
 def code_symbols(spark, d):
-    rows = with_costs(code_index.symbols(_parsed(spark, d)))
+    rows = with_costs(code_index.symbols(code_index.parse(market(spark, d), refs=())))
     return rows.select("id", "file", "kind", "name", "qualname", "line_start", "line_end", F.col("tokens.full").alias("full_tokens"))
 
 
@@ -63,7 +69,7 @@ def code_symbols(spark, d):
     UNION ALL SELECT n.file, 'P' || p, 'market/parts/p' || p || '.py', 'P' || p FROM lines l JOIN names n ON n.s = l.s JOIN part x ON x.p_partkey = l.p""",
 )
 def code_exports(spark, d):
-    parsed = _parsed(spark, d)
+    parsed = _parsed(market(spark, d), "froms")
     return code_index.exports(parsed, code_index.modules(parsed))
 
 
@@ -73,7 +79,7 @@ def code_exports(spark, d):
     SELECT 'code' AS repo, file || '::<module>' AS src, dst, 'import' AS kind, 1 AS weight FROM e UNION ALL SELECT 'code', file || '::supply', dst, 'call', n FROM e""",
 )
 def code_edges(spark, d):
-    return code_index.edges(_parsed(spark, d))
+    return code_index.edges(_parsed(market(spark, d), "uses", "froms"))
 
 
 # the literal sample, once for each supplier: all that it has to show, in as many packages as there are suppliers
@@ -84,16 +90,12 @@ _SAYS = "Things for sale."
 def shops(spark, d):
     """file, content: the sample for each supplier, as the package shop<key>, with the supplier's name in a docstring."""
     files = spark.createDataFrame(list(sample_package.FILES.items()), "file string, content string")
-    suppliers = T.table(spark, d, "supplier").select(F.concat(F.lit("shop"), F.col("s_suppkey").cast("string")).alias("shop"), "s_name")
+    suppliers = spread(T.table(spark, d, "supplier")).select(F.concat(F.lit("shop"), F.col("s_suppkey").cast("string")).alias("shop"), "s_name")
     rows = suppliers.crossJoin(F.broadcast(files))  # as many rows as the sample has files
     content = F.replace(F.replace("content", F.lit("shop."), F.concat("shop", F.lit("."))), F.lit(_SAYS), F.concat(F.lit("Things of "), "s_name"))
     return rows.select(F.concat("shop", F.substr("file", F.lit(5))).alias("file"), content.alias("content"))
 
 
-def _sample(spark, d):
-    return materialize(code_index.parse(shops(spark, d)), "parsed")
-
-
 def _values(rows, names: str) -> str:
     """What the sample has to show, for each supplier. Paths begin with shop/, and stand for those of the supplier's package."""
     cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -104,18 +106,18 @@ def _values(rows, names: str) -> str:
 
 @query("sample_symbols", _values(sample_package.SYMBOLS, "id, kind, line_start, line_end, signature, doc_first, doc_rest, body"))
 def sample_symbols(spark, d):
-    return code_index.symbols(_sample(spark, d)).select("id", "kind", "line_start", "line_end", "signature", "doc_first", "doc_rest", "body")
+    return code_index.symbols(code_index.parse(shops(spark, d), refs=())).select("id", "kind", "line_start", "line_end", "signature", "doc_first", "doc_rest", "body")
 
 
 @query("sample_exports", _values(sample_package.EXPORTS, "file, name, at_file, at_name"))
 def sample_exports(spark, d):
-    parsed = _sample(spark, d)
+    parsed = _parsed(shops(spark, d), "froms")
     return code_index.exports(parsed, code_index.modules(parsed))
 
 
 @query("sample_edges", _values(sample_package.EDGES, "src, dst, kind, weight"))
 def sample_edges(spark, d):
-    return code_index.edges(_sample(spark, d)).select("src", "dst", "kind", "weight")
+    return code_index.edges(_parsed(shops(spark, d), "uses", "froms")).select("src", "dst", "kind", "weight")
 
 
 def write_files(files, root: str) -> None:

@@ -32,17 +32,18 @@ def scratch(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False, block: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks.
 
     What an application has written lies in one folder of the application's id, to be removed when it has ended. free: the shuffle files of what is written are removed when it is.
+    block: bytes of a block of the files, which a reader of nested columns holds whole.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true" if free else before)
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**({"parquet.block.size": str(block)} if block else {})).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
